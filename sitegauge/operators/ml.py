@@ -142,6 +142,12 @@ def cross_validate(df: DataFrame, key: str, kind: str = "gbt", k: int = 5, setti
     return rank_metrics(held_out, by=["fold"]).select("fold", "n_pos", "n_neg", "auc_roc")
 
 
+def usable_folds(df: DataFrame, k: int = 5, label: str = "label") -> int:
+    """``k``, but no more folds than the smaller class has rows."""
+    smallest = df.groupBy(label).count().agg(F.min("count")).first()[0] or 0
+    return max(2, min(k, smallest))
+
+
 def fold_summary(folds: DataFrame) -> DataFrame:
     return folds.agg(F.avg("auc_roc").alias("mean_auc"), F.stddev_pop("auc_roc").alias("std_auc"))
 
