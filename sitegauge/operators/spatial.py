@@ -2,9 +2,8 @@
 
 Exact copies of a coordinate collapse before any join. Searches start on coarse
 cells and descend into finer ones only where a cell holds many points; at every
-level cells that cannot matter are pruned by the triangle inequality (distance
-to the cell centre plus or minus half its diagonal). A crowded cell therefore
-never meets a crowded cell row by row.
+level cells that cannot matter are pruned by their smallest (or largest) possible
+distance. A crowded cell therefore never meets a crowded cell row by row.
 """
 
 from __future__ import annotations
@@ -14,13 +13,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.scalar import EARTH_RADIUS_KM, cell_floor, degree_distance, haversine_km
+from sitegauge.session import durable
 
 SPLIT_BITS = 2            # one level down halves a cell's sides twice
-LEAF_POINTS = 256         # cells with at most this many distinct points are searched directly
+LEAF_POINTS = 64          # cells with at most this many distinct points are searched directly
 MAX_DEPTH = 9
 SLACK = 1.0 + 1e-9        # keeps pruning safe against rounding
 
@@ -34,10 +35,27 @@ class Metric:
     def distance(self, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
         return (haversine_km if self.wraps else degree_distance)(lat1, lon1, lat2, lon2)
 
-    def half_diagonal(self, cell: float) -> float:
+    def at_most_from_centre(self, cell: float) -> float:
+        """No point of a cell is farther than this from its centre (half the diagonal)."""
         per_degree = EARTH_RADIUS_KM * math.pi / 180.0 if self.wraps else 1.0
         return cell * per_degree * math.sqrt(0.5) * SLACK
 
+    def at_least(self, lat: Column, lon: Column, centre_lat: Column, centre_lon: Column, cell: float) -> Column:
+        """No point of the cell is nearer than this.
+
+        On the sphere a gap in latitude is itself a lower bound, and so is the
+        distance to the nearest meridian of the cell.
+        """
+        dlat = F.greatest(F.lit(0.0), F.abs(lat - centre_lat) - cell / 2)
+        apart = F.abs(lon - centre_lon)
+        if not self.wraps:
+            dlon = F.greatest(F.lit(0.0), apart - cell / 2)
+            return F.sqrt(dlat * dlat + dlon * dlon) / SLACK
+        around = F.least(apart, 360.0 - apart)
+        dlon = F.least(F.lit(90.0), F.greatest(F.lit(0.0), around - cell / 2))
+        to_meridian = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(dlon)))
+        return F.greatest(F.radians(dlat), to_meridian) * F.lit(EARTH_RADIUS_KM / SLACK)
+
 
 DEGREES = Metric(wraps=False)
 KILOMETRES = Metric(wraps=True)
@@ -91,18 +109,27 @@ def build_pyramid(points: DataFrame, point_id: str, cell: float, leaf_points: in
                   max_depth: int = MAX_DEPTH) -> Pyramid:
     """Choose the depth from the data: deep enough that no leaf cell is crowded."""
     distinct = _distinct_points(points, point_id)
-    depth = 0
-    while depth < max_depth:
-        size = cell / (1 << (SPLIT_BITS * depth))
-        crowd = (distinct.groupBy(_index(F.col("plat"), 90.0, size), _index(F.col("plon"), 180.0, size))
-                 .count().agg(F.max("count")).first()[0])
-        if crowd is None or crowd <= leaf_points:
-            break
-        depth += 1
+    depth = _depth(distinct, cell, leaf_points, max_depth)
     size = cell / (1 << (SPLIT_BITS * depth))
     keyed = distinct.select("*", _index(F.col("plat"), 90.0, size).alias("cy"),
                             _index(F.col("plon"), 180.0, size).alias("cx"))
-    return Pyramid(keyed, cell, depth)
+    # Every level rereads the distinct points, so they are kept once they are read often.
+    return Pyramid(durable(keyed) if depth else keyed, cell, depth)
+
+
+def _depth(distinct: DataFrame, cell: float, leaf_points: int, max_depth: int) -> int:
+    """Smallest depth whose fullest cell is small enough; a few levels are measured per job."""
+    for start in range(0, max_depth + 1, 3):
+        levels = range(start, min(start + 3, max_depth + 1))
+        keys = F.array(*[F.struct(
+            F.lit(k).alias("k"), _index(F.col("plat"), 90.0, cell / (1 << (SPLIT_BITS * k))).alias("y"),
+            _index(F.col("plon"), 180.0, cell / (1 << (SPLIT_BITS * k))).alias("x")) for k in levels])
+        full = (distinct.select(F.explode(keys).alias("c")).groupBy("c").count()
+                .groupBy(F.col("c.k").alias("k")).agg(F.max("count").alias("crowd")).collect())   # one row per level
+        fits = [r.k for r in full if r.crowd <= leaf_points]
+        if fits or not full:
+            return min(fits, default=0)
+    return max_depth
 
 
 def _site_rows(sites: DataFrame, site_id: str) -> DataFrame:
@@ -117,9 +144,8 @@ def _descend_nearest(frontier: DataFrame, pyramid: Pyramid, metric: Metric, radi
         reached = frontier.join(
             children, (F.col("ky") == F.col("parent_y")) & (F.col("kx") == F.col("parent_x")))
         to_member = metric.distance(F.col("slat"), F.col("slon"), F.col("mlat"), F.col("mlon"))
-        to_centre = metric.distance(F.col("slat"), F.col("slon"),
-                                    _centre(F.col("ny"), 90.0, size), _centre(F.col("nx"), 180.0, size))
-        at_least = to_centre - metric.half_diagonal(size)
+        at_least = metric.at_least(F.col("slat"), F.col("slon"), _centre(F.col("ny"), 90.0, size),
+                                   _centre(F.col("nx"), 180.0, size), size)
         measured = reached.select("sid", "slat", "slon", F.col("ny").alias("ky"), F.col("nx").alias("kx"),
                                   to_member.alias("near"), at_least.alias("at_least"))
         if radius is not None:
@@ -169,39 +195,64 @@ def nearest_within(sites: DataFrame, points: DataFrame, radius: float, site_id:
                        F.col("hit.distance").alias("distance"))
 
 
-WORLD_CELL = 30.0         # at most 7 x 13 cells cover the globe, bounds included
+WORLD_CELL = 7.5          # at most 25 x 49 cells cover the globe, bounds included
+
+
+def _world_candidates(pyramid: Pyramid) -> DataFrame:
+    """For every cell of the globe, the non-empty cells that may hold the nearest point.
+
+    Bounds between cells use centres and half diagonals, so the table serves all
+    sites of a cell. Both sides are cells of the globe (at most 1225), whatever
+    the size of the data; that also bounds the broadcast of the result.
+    """
+    cells = pyramid.level(0).select("ky", "kx", "mlat", "mlon").collect()   # at most 1225 rows
+    half = math.radians(WORLD_CELL) * math.sqrt(0.5) * SLACK
+    rows = []
+    if cells:
+        ky, kx, mlat, mlon = (np.array(v, dtype=float) for v in zip(*cells))
+        members, centres = _unit(mlat, mlon), _unit((ky + 0.5) * WORLD_CELL - 90.0, (kx + 0.5) * WORLD_CELL - 180.0)
+        for hy in range(int(180 / WORLD_CELL) + 1):
+            hx = np.arange(int(360 / WORLD_CELL) + 1)
+            homes = _unit((np.full(len(hx), hy) + 0.5) * WORLD_CELL - 90.0, (hx + 0.5) * WORLD_CELL - 180.0)
+            # A member is at most (distance to it + half) away from any site of the home cell.
+            reach = np.arccos(np.clip(homes @ members.T, -1, 1)).min(axis=1) + half
+            gap = np.arccos(np.clip(homes @ centres.T, -1, 1)) - 2 * half
+            for x in hx:
+                keep = np.flatnonzero(gap[x] <= reach[x] * SLACK)
+                rows.append((hy, int(x), [tuple(cells[i]) for i in keep]))
+    schema = "hy bigint, hx bigint, cells array<struct<ky: bigint, kx: bigint, mlat: double, mlon: double>>"
+    return pyramid.points.sparkSession.createDataFrame(rows, schema, verifySchema=False)
+
+
+def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    la, lo = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], axis=1)
 
 
 def nearest_feature(sites: DataFrame, points: DataFrame, site_id: str, point_id: str,
                     leaf_points: int = LEAF_POINTS) -> DataFrame:
     """Nearest point on the sphere at any distance; ties go to the smallest id.
 
-    The world has at most 91 level-0 cells. They become a constant array in the
-    plan, so every site prunes them without a join.
+    A site starts from the candidate cells of its own cell of the globe, drops
+    those that its exact position rules out, and descends into the rest.
     """
     pyramid = build_pyramid(points, point_id, WORLD_CELL, leaf_points)
-    world = pyramid.level(0).select("ky", "kx", "mlat", "mlon").collect()   # at most 91 rows
-    base = _site_rows(sites, site_id)
-    if not world:
-        return base.filter(F.lit(False)).select(
-            F.col("sid").alias(site_id), F.lit(None).cast("bigint").alias("nearest_id"),
-            F.lit(None).cast("double").alias("distance"))
-    cells = F.array(*[F.struct(F.lit(r.ky).alias("ky"), F.lit(r.kx).alias("kx"),
-                               F.lit(r.mlat).alias("mlat"), F.lit(r.mlon).alias("mlon")) for r in world])
+    candidates = F.broadcast(_world_candidates(pyramid))
 
     def near(c: Column) -> Column:
         return KILOMETRES.distance(F.col("slat"), F.col("slon"), c["mlat"], c["mlon"])
 
     def at_least(c: Column) -> Column:
-        centre = KILOMETRES.distance(F.col("slat"), F.col("slon"), _centre(c["ky"], 90.0, WORLD_CELL),
-                                     _centre(c["kx"], 180.0, WORLD_CELL))
-        return centre - KILOMETRES.half_diagonal(WORLD_CELL)
+        return KILOMETRES.at_least(F.col("slat"), F.col("slon"), _centre(c["ky"], 90.0, WORLD_CELL),
+                                   _centre(c["kx"], 180.0, WORLD_CELL), WORLD_CELL)
 
-    best = F.array_min(F.transform(cells, near)).alias("best")
+    located = _site_rows(sites, site_id).withColumns({
+        "hy": _index(F.col("slat"), 90.0, WORLD_CELL), "hx": _index(F.col("slon"), 180.0, WORLD_CELL)})
     frontier = (
-        base.select("*", best)
+        located.join(candidates, ["hy", "hx"])
+        .select("sid", "slat", "slon", "cells", F.array_min(F.transform("cells", near)).alias("best"))
         .select("sid", "slat", "slon",
-                F.explode(F.filter(cells, lambda c: at_least(c) <= F.col("best") * SLACK)).alias("c"))
+                F.explode(F.filter("cells", lambda c: at_least(c) <= F.col("best") * SLACK)).alias("c"))
         .select("sid", "slat", "slon", F.col("c.ky").alias("ky"), F.col("c.kx").alias("kx")))
     frontier = _descend_nearest(frontier, pyramid, KILOMETRES, None)
     hits = _nearest_in_leaves(frontier, pyramid, KILOMETRES, None, True)
@@ -255,14 +306,15 @@ def radius_count(sites: DataFrame, points: DataFrame, km: float, site_id: str, p
     frontier = _cells_in_reach(sites, site_id, km, cell).withColumn("settled", F.lit(0).cast("bigint"))
     for k in range(1, pyramid.depth + 1):
         size = pyramid.size(k)
-        half = KILOMETRES.half_diagonal(size)
+        half = KILOMETRES.at_most_from_centre(size)
         children = pyramid.level(k).withColumnsRenamed({"ky": "ny", "kx": "nx"})
         reached = frontier.join(
             children, (F.col("ky") == F.col("parent_y")) & (F.col("kx") == F.col("parent_x")), "left")
-        centre = KILOMETRES.distance(F.col("slat"), F.col("slon"), _centre(F.col("ny"), 90.0, size),
-                                     _centre(F.col("nx"), 180.0, size))
+        middle = (F.col("slat"), F.col("slon"), _centre(F.col("ny"), 90.0, size), _centre(F.col("nx"), 180.0, size))
+        inside = KILOMETRES.distance(*middle) + half <= km
+        touched = KILOMETRES.at_least(*middle, size) <= km
         classed = reached.select("sid", "slat", "slon", "settled", "ny", "nx", "cell_weight",
-                                 (centre + half <= km).alias("inside"), (centre - half <= km * SLACK).alias("touched"))
+                                 inside.alias("inside"), touched.alias("touched"))
         # The cells on the circle are few at every level, so the list stays short.
         edge = F.collect_list(F.when(F.col("touched") & ~F.col("inside"), F.struct("ny", "nx")))
         summed = classed.groupBy("sid", "slat", "slon").agg(
@@ -388,18 +440,18 @@ def ring_bbox(ring: Column) -> dict[str, Column]:
     return {"xmin": F.array_min(lons), "ymin": F.array_min(lats), "xmax": F.array_max(lons), "ymax": F.array_max(lats)}
 
 
-def ring_contains(ring: Column, lat: Column, lon: Column) -> Column:
-    """Even-odd test, evaluated in the row: no edge is exploded or shuffled."""
-    edges = F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("p"),
-                         F.slice(ring, F.lit(2), F.size(ring) - 1).alias("q"))
+def ring_edges(ring: Column) -> Column:
+    """Edges of a closed ring as (px, py, qx, qy) structs."""
+    return F.zip_with(
+        F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1),
+        lambda p, q: F.struct(p["lon"].alias("px"), p["lat"].alias("py"), q["lon"].alias("qx"), q["lat"].alias("qy")))
 
-    def crossings(total: Column, edge: Column) -> Column:
-        p, q = edge["p"], edge["q"]
-        spans = (p["lat"] > lat) != (q["lat"] > lat)
-        at = p["lon"] + (lat - p["lat"]) / F.nullif(q["lat"] - p["lat"], F.lit(0.0)) * (q["lon"] - p["lon"])
-        return total + F.when(spans & (lon < at), F.lit(1)).otherwise(F.lit(0))
 
-    return F.aggregate(edges, F.lit(0), crossings) % 2 == 1
+def edges_contain(edges: Column, lat: Column, lon: Column) -> Column:
+    """Even-odd test, evaluated in the row: no edge is exploded or shuffled."""
+    crossed = F.filter(edges, lambda e: ((e["py"] > lat) != (e["qy"] > lat)) & (
+        lon < e["px"] + (lat - e["py"]) / F.nullif(e["qy"] - e["py"], F.lit(0.0)) * (e["qx"] - e["px"])))
+    return F.size(crossed) % 2 == 1
 
 
 CELL_SIZES = (0.1, 0.4, 1.6, 6.4, 25.6, 102.4, 409.6)
@@ -410,9 +462,9 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly
 
     A polygon is indexed at the finest cell size that its box spans at most
     twice, so it fills at most nine cells whatever its extent. Points with the
-    same coordinate are tested once.
+    same coordinate are tested once. Edges are built once per polygon.
     """
-    boxed = polygons.select(F.col(polygon_id).alias("gid"), "ring", *[c.alias(n) for n, c in ring_bbox(F.col("ring")).items()])
+    boxed = polygons.select(F.col(polygon_id).alias("gid"), ring_edges(F.col("ring")).alias("edges"), *[c.alias(n) for n, c in ring_bbox(F.col("ring")).items()])
     extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
     level = reduce(lambda rest, i: F.when(extent <= 2 * CELL_SIZES[i], F.lit(i)).otherwise(rest),
                    range(len(CELL_SIZES) - 2, -1, -1), F.lit(len(CELL_SIZES) - 1))
@@ -431,7 +483,7 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, poly
     near = probes.join(indexed, (F.col("plevel") == F.col("level")) & (F.col("px") == F.col("gx")) & (F.col("py") == F.col("gy"))
                        & F.col("plon").between(F.col("xmin"), F.col("xmax"))
                        & F.col("plat").between(F.col("ymin"), F.col("ymax")))
-    inside = near.filter(ring_contains(F.col("ring"), F.col("plat"), F.col("plon"))).select("plat", "plon", "gid")
+    inside = near.filter(edges_contain(F.col("edges"), F.col("plat"), F.col("plon"))).select("plat", "plon", "gid")
     rows = points.select(F.col(point_id), F.col("lat"), F.col("lon"))
     return rows.join(inside, (F.col("lat") == F.col("plat")) & (F.col("lon") == F.col("plon"))).select(
         point_id, F.col("gid").alias(polygon_id))
