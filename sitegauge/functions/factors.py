@@ -1,7 +1,12 @@
 """The nineteen suitability factors and their weights.
 
 A factor maps one row of measurements to a score in [0, 1]. A missing
-measurement never zeroes a factor: each one names its own fallback.
+measurement never zeroes a factor: each one names its own fallback, so a
+built-in score is never NULL. Factors expect rows from ``with_measurements``,
+which makes NaN and absent columns NULL once, ahead of all of them.
+
+Keep the expressions small. A stage compiles to one method, and the JVM does not
+optimise methods above 8 000 bytes: factors read plain columns and repeat nothing.
 """
 
 from __future__ import annotations
@@ -12,13 +17,38 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.functions.scalar import ENERGY_TYPES, cases, clamp, measured
+from sitegauge.functions.scalar import ENERGY_TYPES, cases, measured
 
 NEUTRAL = 0.5
 
 
+# The measurements that the factors read, and their types.
+MEASUREMENTS = {
+    "ghi_kwh_m2_day": "double", "wind_speed_ms": "double", "avg_temp_c": "double", "cloud_fraction": "double",
+    "precipitation_mm_day": "double", "elevation_m": "double", "slope_degrees": "double", "head_m": "double",
+    "discharge_m3s": "double", "earthquake_density": "double", "direction_consistency": "double",
+    "roughness_length_m": "double", "watershed_ndvi": "double", "heat_flow_mwm2": "double",
+    "fault_distance_km": "double", "grid_distance_km": "double", "road_distance_km": "double", "flood_zone": "string",
+    "flood_probability": "double", "in_protected_area": "boolean", "protected_area_distance_km": "double",
+}
+
+
+def with_measurements(df: DataFrame) -> DataFrame:
+    """Rows with every measurement column: NaN becomes NULL, an absent column is all NULL."""
+    have = set(df.columns)
+    return df.withColumns({
+        name: F.lit(None).cast(kind) if name not in have else
+        measured(F.col(name).cast(kind)) if kind == "double" else F.col(name)
+        for name, kind in MEASUREMENTS.items()})
+
+
 def _reading(name: str) -> Column:
-    return measured(F.col(name))
+    return F.col(name)
+
+
+def _share(x: Column) -> Column:
+    """A reading that is a score already: clipped to [0, 1], neutral when missing."""
+    return cases((x.isNull(), F.lit(NEUTRAL)), (x <= 0, F.lit(0.0)), (x >= 1, F.lit(1.0)), otherwise=F.coalesce(x, F.lit(NEUTRAL)))
 
 
 def _steps(x: Column, bounds: tuple[tuple[float, float], ...], top: float, closed: bool = False) -> Column:
@@ -27,13 +57,28 @@ def _steps(x: Column, bounds: tuple[tuple[float, float], ...], top: float, close
     return cases((x.isNull(), F.lit(NEUTRAL)), *rows, otherwise=F.lit(top))
 
 
+def _with_estimate(x: Column, estimates: tuple, table: tuple[tuple[float, float], ...], top: float,
+                   closed: bool = False) -> Column:
+    """Score of a reading; a missing one is estimated by rules (condition, value), the last without condition.
+
+    The estimates are constants, so their scores are looked up here and not per row.
+    """
+    def constant(value: float) -> Column:
+        hits = (score for bound, score in table if (value <= bound if closed else value < bound))
+        return F.lit(next(hits, top))
+
+    *rules, (_, last) = estimates
+    estimated = cases(*[(condition, constant(value)) for condition, value in rules], otherwise=constant(last))
+    return F.when(x.isNull(), estimated).otherwise(_steps(x, table, top, closed))
+
+
 def land_cover() -> Column:
     # No land-cover model is attached to the measurements, so every site is neutral.
     return F.lit(NEUTRAL)
 
 
 def terrain_slope() -> Column:
-    return F.coalesce(clamp(1.0 - _reading("slope_degrees") / 15.0), F.lit(NEUTRAL))
+    return _share(1.0 - _reading("slope_degrees") / 15.0)
 
 
 def terrain_elevation() -> Column:
@@ -46,43 +91,36 @@ def terrain_elevation() -> Column:
 
 def solar_irradiance() -> Column:
     north = F.abs(F.col("lat"))
-    by_latitude = cases(
-        (north <= 25, F.lit(6.0)), (north <= 35, F.lit(5.5)), (north <= 45, F.lit(4.5)),
-        (north <= 55, F.lit(3.5)), otherwise=F.lit(2.5),
-    )
-    ghi = F.coalesce(_reading("ghi_kwh_m2_day"), by_latitude)
-    return _steps(ghi, ((2.0, 0.1), (3.0, 0.3), (4.0, 0.5), (5.0, 0.7), (6.0, 0.85)), 1.0, closed=True)
+    by_latitude = ((north <= 25, 6.0), (north <= 35, 5.5), (north <= 45, 4.5), (north <= 55, 3.5), (None, 2.5))
+    table = ((2.0, 0.1), (3.0, 0.3), (4.0, 0.5), (5.0, 0.7), (6.0, 0.85))
+    return _with_estimate(_reading("ghi_kwh_m2_day"), by_latitude, table, 1.0, closed=True)
 
 
 def cloud_coverage() -> Column:
-    return F.coalesce(clamp(1.0 - _reading("cloud_fraction")), F.lit(NEUTRAL))
+    return _share(1.0 - _reading("cloud_fraction"))
 
 
 def temperature_effect() -> Column:
     t = _reading("avg_temp_c")
-    return cases(
-        (t.isNull(), F.lit(NEUTRAL)),
+    return F.coalesce(cases(
         (t < -10, F.lit(0.3)),
         (t < 10, 0.6 + 0.4 * (t + 10.0) / 20.0),
         (t <= 25, F.lit(1.0)),
         (t <= 35, 1.0 - 0.2 * (t - 25.0) / 10.0),
         (t <= 45, 0.8 - 0.3 * (t - 35.0) / 10.0),
-        otherwise=F.lit(0.3),
-    )
+        (t > 45, F.lit(0.3)),
+    ), F.lit(NEUTRAL))
 
 
 def wind_speed() -> Column:
     north = F.abs(F.col("lat"))
-    by_latitude = cases(
-        (north.between(35, 55), F.lit(7.0)), (north.between(25, 35), F.lit(5.5)), (north < 25, F.lit(4.5)),
-        otherwise=F.lit(6.0),
-    )
-    speed = F.coalesce(_reading("wind_speed_ms"), by_latitude)
-    return _steps(speed, ((3.0, 0.0), (4.0, 0.1), (5.0, 0.3), (6.0, 0.5), (7.0, 0.7), (9.0, 0.9)), 1.0)
+    by_latitude = ((north < 25, 4.5), (north < 35, 5.5), (north <= 55, 7.0), (None, 6.0))
+    table = ((3.0, 0.0), (4.0, 0.1), (5.0, 0.3), (6.0, 0.5), (7.0, 0.7), (9.0, 0.9))
+    return _with_estimate(_reading("wind_speed_ms"), by_latitude, table, 1.0)
 
 
 def wind_direction_consistency() -> Column:
-    return F.coalesce(clamp(_reading("direction_consistency")), F.lit(NEUTRAL))
+    return _share(_reading("direction_consistency"))
 
 
 def terrain_roughness() -> Column:
@@ -104,14 +142,13 @@ def elevation_drop() -> Column:
 
 def watershed_health() -> Column:
     ndvi, rain = _reading("watershed_ndvi"), _reading("precipitation_mm_day")
-    return cases(
+    return F.coalesce(cases(
         (ndvi >= 0.6, F.lit(1.0)),
         (ndvi >= 0.3, 0.4 + (ndvi - 0.3) / 0.3 * 0.6),
         (ndvi.isNotNull(), F.lit(0.2)),
         (rain >= 5, F.lit(0.95)), (rain >= 3, F.lit(0.8)), (rain >= 1.5, F.lit(0.6)), (rain >= 0.5, F.lit(0.4)),
         (rain.isNotNull(), F.lit(0.2)),
-        otherwise=F.lit(NEUTRAL),
-    )
+    ), F.lit(NEUTRAL))
 
 
 def heat_flow() -> Column:
@@ -145,7 +182,7 @@ def flood_risk() -> Column:
         (zone.isin("A", "AE", "AO", "AH"), F.lit(0.2)),
         (zone.isin("V", "VE"), F.lit(0.0)),
         (zone.isNotNull(), F.lit(NEUTRAL)),
-        otherwise=F.coalesce(clamp(1.0 - _reading("flood_probability")), F.lit(NEUTRAL)),
+        otherwise=_share(1.0 - _reading("flood_probability")),
     )
 
 

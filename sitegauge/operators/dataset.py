@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions.scalar import (
     cell_key, cell_round, cell_trunc, hash_order, hash_uniform, is_land_rough, is_land_sampled,
     region_boxes, region_rules, region_rules_negative)
-from sitegauge.operators.ranking import exact_rank, keep_first, top_n
+from sitegauge.operators.ranking import exact_rank, hash_cuts, keep_first, top_n
 from sitegauge.operators.spatial import exclude_near, exclude_same_cell
 
 LOCATION_COLUMNS = ("lat", "lon", "energy_type", "source", "name", "capacity_mw", "country_code", "operating_year")
@@ -140,17 +140,29 @@ def build_dataset(locations: DataFrame, targets: Mapping[str, tuple[int, int]],
 
 
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.2, seed: object = 42) -> DataFrame:
-    """Add ``is_test``: exactly round(fraction x size) rows of every label."""
+    """Add ``is_test``: exactly round(fraction x size) rows of every label.
+
+    Only the hash order of the keys is examined; the rows themselves, however
+    wide, are compared with one cut per label and not shuffled.
+    """
     ordered = df.withColumn("_u", hash_order(F.col(key), seed))
-    ranked = exact_rank(ordered, [label], ["_u", key], "_place")
-    # One row per label value.
-    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.bround(F.count(F.lit(1)) * F.lit(fraction), 0).alias("_take"))
-    joined = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
-    return joined.select(*df.columns, (F.col("_place") <= F.col("_take")).alias("is_test"))
+    take = F.bround(F.col("n") * F.lit(fraction), 0).cast("bigint")
+    cuts = hash_cuts(ordered, label, "_u", key, F.array(take))
+    joined = ordered.join(F.broadcast(cuts), label, "left")   # one row per label
+    last = F.col("cut")[0]
+    is_test = F.coalesce(F.struct(F.col("_u"), F.col(key).alias("_k")) <= last, F.lit(False))
+    return joined.select(*df.columns, is_test.alias("is_test"))
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: object = 42) -> DataFrame:
-    """Add ``fold`` in [0, k), dealt out evenly within every label."""
+    """Add ``fold`` in [0, k): consecutive parts of the hash order, even within every label."""
     ordered = df.withColumn("_u", hash_order(F.col(key), seed))
-    ranked = exact_rank(ordered, [label], ["_u", key], "_place")
-    return ranked.select(*df.columns, F.pmod(F.col("_place") - 1, F.lit(k)).cast("int").alias("fold"))
+    n = F.col("n")
+    # The first n mod k folds get one row more.
+    ends = F.transform(F.array(*[F.lit(i).cast("bigint") for i in range(1, k)]),
+                       lambda i: i * F.floor(n / k) + F.least(i, n % k))
+    cuts = hash_cuts(ordered, label, "_u", key, F.array_distinct(ends))
+    joined = ordered.join(F.broadcast(cuts), label, "left")   # one row per label
+    here = F.struct(F.col("_u"), F.col(key).alias("_k"))
+    fold = F.coalesce(F.size(F.filter("cut", lambda c: c < here)), F.lit(0))
+    return joined.select(*df.columns, fold.alias("fold"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions.scalar import cases
 from sitegauge.operators.ranking import top_n
-from sitegauge.operators.spatial import bbox_join
+from sitegauge.operators.spatial import BOX, bbox_join
 
 # Mean and standard deviation of each spectral band.
 BAND_STATS = {
@@ -26,13 +26,20 @@ def _cloud() -> Column:
 
 def search_scenes(sites: DataFrame, scenes: DataFrame, max_cloud: float = 20.0, max_items: int = 5,
                   site_id: str = "site_id") -> DataFrame:
-    """Scenes over each site: box overlap, cloud limit, the newest ``max_items`` per season."""
+    """Scenes over each site: box overlap, cloud limit, the newest ``max_items`` per season.
+
+    Scenes come on fixed tiles. All scenes of one footprint cover the same sites,
+    so only the newest of each footprint and season can be among the newest of a
+    site; the others leave before the join.
+    """
     half = SITE_HALF_BOX_DEG
     boxes = sites.select(site_id, (F.col("lon") - half).alias("xmin"), (F.col("lat") - half).alias("ymin"),
                          (F.col("lon") + half).alias("xmax"), (F.col("lat") + half).alias("ymax"))
-    clear = scenes.filter(F.col("cloud") < max_cloud)
-    hits = bbox_join(boxes, clear, [site_id], ["scene_id", "season", "acquired", "cloud"], cell=0.5)
-    return top_n(hits, [site_id, "season"], [F.col("acquired").desc(), "scene_id"], max_items)
+    newest = [F.col("acquired").desc(), "scene_id"]
+    clear = scenes.filter(F.col("cloud") < max_cloud).select("scene_id", "season", "acquired", "cloud", *BOX)
+    recent = top_n(clear, [*BOX, "season"], newest, max_items)
+    hits = bbox_join(boxes, recent, [site_id], ["scene_id", "season", "acquired", "cloud"], cell=0.5)
+    return top_n(hits, [site_id, "season"], newest, max_items)
 
 
 def best_scene(found: DataFrame, by: tuple[str, ...] = ("site_id", "season")) -> DataFrame:

@@ -85,3 +85,30 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str | Co
 def exact_rank(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "rank") -> DataFrame:
     """Row number (from 1) within a group of any size."""
     return running_totals(df, group, order, {name: F.lit(1).cast("bigint")})
+
+
+def hash_cuts(df: DataFrame, group: str, u: str, key: str, ranks: Column) -> DataFrame:
+    """Rows at given ranks of a hash order: (group, cut = array of (u, key) in order).
+
+    ``u`` is uniform in [0, 2^32) and ``ranks`` an array computed from ``n``, the
+    size of the group. A histogram of the leading bits locates the bucket of every
+    rank; only rows of those buckets are ordered. Nothing is sorted as a whole.
+    ``group`` must have few values (classes), as the result has one row for each.
+    """
+    slim = df.select(F.col(group), F.col(u).alias("_u"), F.col(key).alias("_k"),
+                     F.shiftright(F.col(u), HASH_BUCKET_SHIFT).alias("_b"))
+    order = Window.partitionBy(group).orderBy("_b")
+    counts = slim.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = counts.select(group, "_b", "_c", F.sum("_c").over(order).alias("_to"),
+                         F.sum("_c").over(Window.partitionBy(group)).alias("n"))
+    start = F.col("_to") - F.col("_c")
+    wanted = F.filter(ranks, lambda r: (r > start) & (r <= F.col("_to")))
+    buckets = upto.select(group, "_b", F.transform(wanted, lambda r: r - start).alias("_places")).filter(F.size("_places") > 0)
+    # At most one bucket per rank and class.
+    near = slim.join(F.broadcast(buckets), [group, "_b"])
+    placed = near.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_b").orderBy("_u", "_k")))
+    hits = placed.filter(F.array_contains("_places", F.col("_place").cast("bigint")))
+    return hits.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_u", "_k"))).alias("cut"))
+
+
+HASH_BUCKET_SHIFT = 16   # 65 536 buckets

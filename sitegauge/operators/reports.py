@@ -55,19 +55,18 @@ def time_split(df: DataFrame, year: int = 2020) -> DataFrame:
 def data_quality(df: DataFrame) -> DataFrame:
     """Fifteen checks as rows (check, passed).
 
-    Everything is counted per (coordinate, type, label, region) first, so copies
-    collapse on the map side and the final step sees small partial counts.
+    Everything is counted per (coordinate, type) first. Copies collapse on the
+    map side, and the final step sees one short line per place.
     """
-    one = F.count(F.lit(1))
-    slim = df.groupBy("lat", "lon", "energy_type", "label", "region").agg(one.alias("n"))
-    # Copies of a coordinate differ at most in label and region here.
-    places = slim.groupBy("lat", "lon", "energy_type").agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("label").isNull(), F.col("n")).otherwise(0)).alias("null_label"),
-        F.sum(F.when(F.col("label").isNotNull() & ~F.col("label").isin(0, 1), F.col("n")).otherwise(0)).alias("bad_label"),
-        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg"),
-        F.collect_set(F.when(F.col("label") == 1, F.col("region"))).alias("regions"))
+    def rows_with(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.lit(1)).otherwise(0))
+
+    label = F.col("label")
+    places = df.groupBy("lat", "lon", "energy_type").agg(
+        F.count(F.lit(1)).alias("n"), rows_with(label.isNull()).alias("null_label"),
+        rows_with(~label.isin(0, 1)).alias("bad_label"),
+        rows_with(label == 1).alias("pos"), rows_with(label == 0).alias("neg"),
+        F.collect_set(F.when(label == 1, F.col("region"))).alias("regions"))
     n = F.col("n")
 
     def rows_where(condition: Column) -> Column:

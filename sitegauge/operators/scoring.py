@@ -5,11 +5,13 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.functions.factors import CATALOG, ENERGY_TYPES, Factor, default_weights
+from sitegauge.functions.factors import (
+    CATALOG, ENERGY_TYPES, MEASUREMENTS, Factor, default_weights, with_measurements)
 from sitegauge.functions.scalar import clamp, confidence_band, report_round
 from sitegauge.operators.spatial import nearest_within
 
@@ -96,17 +98,22 @@ class Scorecard:
     def active(self) -> tuple[Factor, ...]:
         return tuple(f for f in self.factors if f.name not in self.disabled)
 
-    def factor_columns(self) -> dict[str, Column]:
-        return {f.name: clamp(f.score()) for f in self.active}
-
-    def overall(self, scores: Mapping[str, Column] | None = None) -> Column:
-        """Weighted mean of the active factors; a factor that gave NULL is left out."""
-        columns = scores or self.factor_columns()
-        total = weight = F.lit(0.0)
-        for name, score in columns.items():
-            w = float(self.weights[name])
-            total = total + F.coalesce(F.lit(w) * score, F.lit(0.0))
-            weight = weight + F.when(score.isNotNull(), F.lit(w)).otherwise(F.lit(0.0))
+    def overall(self, scores: Mapping[str, Column]) -> Column:
+        """Weighted mean of the active factors; a user's factor that gave NULL is left out.
+
+        Built-in scores are never NULL: their weights add up here, not per row.
+        """
+        own = [f for f in self.active if f not in CATALOG]
+        fixed = sum(float(self.weights[f.name]) for f in self.active if f in CATALOG)
+        terms = [F.lit(float(self.weights[f.name])) * scores[f.name] for f in self.active if f in CATALOG]
+        terms += [F.coalesce(F.lit(float(self.weights[f.name])) * scores[f.name], F.lit(0.0)) for f in own]
+        if not terms:
+            return F.lit(0.0)
+        total = reduce(lambda a, b: a + b, terms)
+        if not own:
+            return total / F.lit(fixed) if fixed > 0 else F.lit(0.0)
+        weight = reduce(lambda a, b: a + b, [F.lit(fixed)] + [
+            F.when(scores[f.name].isNotNull(), F.lit(float(self.weights[f.name]))).otherwise(F.lit(0.0)) for f in own])
         return F.when(weight > 0, total / weight).otherwise(F.lit(0.0))
 
 
@@ -118,7 +125,12 @@ def register_factor(name: str, energy_types: tuple[str, ...], weight: float,
 
 def factor_matrix(df: DataFrame, keep: Iterable[str] = ("site_id",)) -> DataFrame:
     """All nineteen factor scores side by side."""
-    return df.select(*keep, *[clamp(f.score()).alias(f.key) for f in CATALOG])
+    return with_measurements(df).select(*keep, *[f.score().alias(f.key) for f in CATALOG])
+
+
+def _score_columns(factors: Iterable[Factor]) -> list[Column]:
+    """Scores under their inner names. Built-in factors stay in [0, 1] by themselves."""
+    return [(f.score() if f in CATALOG else clamp(f.score())).alias(f"_f_{f.key}") for f in factors]
 
 
 def score_sites(df: DataFrame, card: Scorecard, detail: bool = False) -> DataFrame:
@@ -128,7 +140,7 @@ def score_sites(df: DataFrame, card: Scorecard, detail: bool = False) -> DataFra
     inner projection, so the weighted mean does not evaluate them again.
     """
     active = card.active
-    wide = df.select("*", *[clamp(f.score()).alias(f"_f_{f.key}") for f in active])
+    wide = with_measurements(df).select("*", *_score_columns(active))
     scores = {f.name: F.col(f"_f_{f.key}") for f in active}
     out = wide.withColumns({"overall_score": card.overall(scores), "energy_type": F.lit(card.energy_type)})
     if detail:
@@ -137,12 +149,13 @@ def score_sites(df: DataFrame, card: Scorecard, detail: bool = False) -> DataFra
         weights = F.array(*[F.lit(float(card.weights[f.name])) for f in active]) if active else F.array().cast("array<double>")
         out = out.withColumns({"factor_scores": F.map_from_arrays(names, values),
                                "factor_weights": F.map_from_arrays(names, weights)})
-    return out.drop(*[f"_f_{f.key}" for f in active])
+    absent = [m for m in MEASUREMENTS if m not in df.columns]
+    return out.drop(*[f"_f_{f.key}" for f in active], *absent)
 
 
 def score_all_types(df: DataFrame, keep: Iterable[str | Column] = ("site_id",)) -> DataFrame:
     """One row per site and energy type; shared factors are computed once per site."""
-    wide = df.select(*keep, *[clamp(f.score()).alias(f"_f_{f.key}") for f in CATALOG])
+    wide = with_measurements(df).select(*keep, *_score_columns(CATALOG))
     kept = [c for c in wide.columns if not c.startswith("_f_")]
     rows = []
     for energy_type in ENERGY_TYPES:
@@ -184,9 +197,10 @@ def combined_score(factor_score: Column, ml_score: Column) -> Column:
 def ml_score_nearest(sites: DataFrame, scored_points: DataFrame, site_id: str = "site_id",
                      point_id: str = "vec_id", inclusive: bool = False) -> DataFrame:
     """Attach the model score of the nearest embedded location within half a degree."""
-    hits = nearest_within(sites, scored_points, 0.5, site_id, point_id, inclusive)
-    scores = scored_points.select(F.col(point_id).alias("nearest_id"), "ml_score")
-    found = hits.join(scores, "nearest_id")
+    # The score travels with the id, so a point that serves many sites is never a join key.
+    tagged = scored_points.select("lat", "lon", F.struct(point_id, "ml_score").alias("_point"))
+    found = nearest_within(sites, tagged, 0.5, site_id, "_point", inclusive).select(
+        site_id, "distance", F.col(f"nearest_id.{point_id}").alias("nearest_id"), "nearest_id.ml_score")
     return sites.join(found, site_id, "left").withColumn("ml_available", F.col("ml_score").isNotNull())
 
 

@@ -376,8 +376,10 @@ def idw(sites: DataFrame, points: DataFrame, value: str, km: float, site_id: str
 def reverse_geocode(df: DataFrame, cities: DataFrame, row_id: str, city_id: str = "city_id") -> DataFrame:
     """Fill missing country codes from the nearest city; other rows pass unchanged."""
     missing = df.filter(F.coalesce(F.col("country_code"), F.lit("")) == "")
-    hits = nearest_feature(missing, cities, row_id, city_id).select(row_id, F.col("nearest_id").alias(city_id))
-    named = hits.join(cities.select(city_id, F.col("country_code").alias("city_country")), city_id).drop(city_id)
+    # The code travels with the id, so a city that serves many rows is never a join key.
+    tagged = cities.select("lat", "lon", F.struct(city_id, "country_code").alias("_city"))
+    named = nearest_feature(missing, tagged, row_id, "_city").select(
+        row_id, F.col("nearest_id.country_code").alias("city_country"))
     joined = df.join(named, row_id, "left")
     code = F.coalesce(F.nullif(F.col("country_code"), F.lit("")), F.col("city_country"), F.col("country_code"))
     return joined.select(*[code.alias(c) if c == "country_code" else F.col(c) for c in df.columns])
@@ -495,10 +497,15 @@ def on_land(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: s
                        point_id, "left_semi")
 
 
-def region_box_join(df: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Every (row, box) that contains the row; boxes overlap, so rows may repeat.
+def region_box_rows(df: DataFrame, boxes: Sequence[tuple[str, float, float, float, float]]) -> DataFrame:
+    """One row per box (name, south, west, north, east) that contains the point.
 
-    ``boxes`` is a constant table (a few dozen rows), hence the broadcast.
+    Boxes overlap, so a row may come out more than once. They are constants of
+    the plan and tested inside the row: there is nothing to join. ``box_seq`` is
+    the position of the box in the list.
     """
-    b = F.broadcast(boxes)
-    return df.join(b, F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
+    listed = F.array(*[F.struct(F.lit(i).alias("seq"), *[F.lit(v).alias(n) for n, v in zip(
+        ("box", "south", "west", "north", "east"), b)]) for i, b in enumerate(boxes)])
+    hits = F.filter(listed, lambda b: F.col("lat").between(b["south"], b["north"]) & F.col("lon").between(b["west"], b["east"]))
+    return df.select("*", F.explode(hits).alias("_b")).select(
+        *df.columns, F.col("_b.box").alias("box"), F.col("_b.seq").alias("box_seq"))

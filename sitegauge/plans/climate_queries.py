@@ -64,10 +64,11 @@ def ssp_interpolate(spark, d):
 @query("segment_lead", cte("sites") + ", " + _SEGMENTS + f", base AS (SELECT site_id, greatest(2030, least(2099, {_YEAR})) AS yr FROM sites) "
        "SELECT site_id, scenario, round(d0+(yr-y0)/(y1-y0)::double*(d1-d0), 9) AS dt FROM base JOIN seg ON yr>=y0 AND yr<y1 WHERE variable='temperature'")
 def segment_lead(spark, d):
-    """The same interpolation as a range join on the segment table (a constant of 24 rows)."""
+    """The same interpolation through the segment table, unrolled to a row per year (a constant of 280 rows)."""
     seg = climate.segments(climate.knots_frame(spark)).filter((F.col("variable") == "temperature") & F.col("y1").isNotNull())
     rows = frame(spark, d, "sites").select("site_id", F.greatest(F.lit(2030), F.least(F.lit(2099), F.expr(_YEAR))).alias("yr"))
-    joined = rows.join(F.broadcast(seg), (F.col("yr") >= F.col("y0")) & (F.col("yr") < F.col("y1")))
+    yearly = seg.select("*", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("yr"))
+    joined = rows.join(F.broadcast(yearly), "yr")
     dt = F.col("d0") + (F.col("yr") - F.col("y0")) / (F.col("y1") - F.col("y0")).cast("double") * (F.col("d1") - F.col("d0"))
     return joined.select("site_id", "scenario", F.round(dt, 9).alias("dt"))
 

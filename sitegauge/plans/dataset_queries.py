@@ -170,7 +170,7 @@ def stratified_split(spark, d):
     return dataset.stratified_split(_labelled(spark, d), "label", "loc_id").select("loc_id", "label", "is_test")
 
 
-@query("stratified_kfold", cte("locations") + _LAB + f" SELECT loc_id, cast((row_number() OVER (PARTITION BY label ORDER BY {u_sql('loc_id')}, loc_id)-1)%5 AS int) AS fold FROM lab")
+@query("stratified_kfold", cte("locations") + _LAB + f" SELECT loc_id, cast(ntile(5) OVER (PARTITION BY label ORDER BY {u_sql('loc_id')}, loc_id)-1 AS int) AS fold FROM lab")
 def stratified_kfold(spark, d):
     return dataset.stratified_folds(_labelled(spark, d), "label", "loc_id", 5).select("loc_id", "fold")
 

@@ -121,7 +121,7 @@ _BOXES = ", ".join(f"('{n}', {s}::double, {w}::double, {t}::double, {e}::double)
 @query("assign_source_region_box", cte("locations") + f" SELECT l.loc_id, b.box FROM locations l JOIN (VALUES {_BOXES}) b(box, south, west, north, east) ON l.lat BETWEEN south AND north AND l.lon BETWEEN west AND east WHERE l.energy_type='wind'")
 def assign_source_region_box(spark, d):
     wind = frame(spark, d, "locations").filter(F.col("energy_type") == "wind").select("loc_id", "lat", "lon")
-    return spatial.region_box_join(wind, osm.query_boxes(spark, "wind")).select("loc_id", "box")
+    return spatial.region_box_rows(wind, osm.query_boxes("wind")).select("loc_id", "box")
 
 
 # -- cells, regions, distances ----------------------------------------------

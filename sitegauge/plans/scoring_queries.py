@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.functions.factors import CATALOG, TYPE_WEIGHTS, catalog_frame, weights_frame
+from sitegauge.functions.factors import CATALOG, TYPE_WEIGHTS, catalog_frame, weights_frame, with_measurements
 from sitegauge.functions.scalar import (
     ENERGY_TYPES, confidence_band, event_risk_band, hash_order, ml_verdict, report_round, risk_gauge_band)
 from sitegauge.operators import scoring
@@ -59,7 +59,7 @@ def _rounded(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
 def _one_factor(key: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         f = next(f for f in CATALOG if f.key == key)
-        return sites(spark, d).select("site_id", F.round(f.score(), 9).alias("score"))
+        return with_measurements(sites(spark, d)).select("site_id", F.round(f.score(), 9).alias("score"))
     add(f"factor_{key}", run,
         cte("sites") + f" SELECT site_id, round(cast({FACTOR_SQL[key]} AS double), 9) AS score FROM sites")
 
@@ -84,9 +84,10 @@ _CATALOG_SQL = " UNION ALL ".join(
 def factor_catalog(spark, d):
     """Which factors apply to how many sites; both catalog sides are constants."""
     counts = sites(spark, d).groupBy("energy_type").agg(F.count(F.lit(1)).alias("n_sites"))
-    cat = catalog_frame(spark).select("position", "factor", F.explode("energy_types").alias("kind"))
-    apply = F.broadcast(cat).join(counts, (F.col("kind") == "all") | (F.col("kind") == F.col("energy_type")))
-    return apply.select("energy_type", "position", "factor", "n_sites")
+    every = F.array(*[F.lit(t) for t in ENERGY_TYPES])
+    kinds = F.when(F.array_contains("energy_types", "all"), every).otherwise(F.col("energy_types"))
+    cat = catalog_frame(spark).select("position", "factor", F.explode(kinds).alias("energy_type"))
+    return F.broadcast(cat).join(counts, "energy_type").select("energy_type", "position", "factor", "n_sites")
 
 
 @query("default_weights", cte("sites") + f", w AS ({_CATALOG_SQL}) SELECT s.energy_type, count(*) AS n_rows, "

@@ -181,11 +181,9 @@ def way_node_join(spark, d):
 @query("dedup_features", cte("locations") + f", b(box, south, west, north, east, seq) AS (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {s}::double, {w}::double, {t}::double, {e}::double, {i})' for i, (n, s, w, t, e) in enumerate(osm.QUERY_BOXES))}), "
        "hits AS (SELECT l.loc_id, b.box, row_number() OVER (PARTITION BY l.loc_id ORDER BY b.seq) AS rn FROM locations l JOIN b ON lat BETWEEN south AND north AND lon BETWEEN west AND east) SELECT loc_id AS osm_id, box FROM hits WHERE rn=1")
 def dedup_features(spark, d):
-    from sitegauge.operators.spatial import region_box_join
-    boxes = osm.query_boxes(spark)
-    order = F.create_map(*[F.lit(x) for i, b in enumerate(osm.QUERY_BOXES) for x in (b[0], i)])
-    hits = region_box_join(frame(spark, d, "locations").select(F.col("loc_id").alias("osm_id"), "lat", "lon"), boxes)
-    return osm.first_per_feature(hits.withColumn("region_seq", order[F.col("box")])).select("osm_id", "box")
+    from sitegauge.operators.spatial import region_box_rows
+    hits = region_box_rows(frame(spark, d, "locations").select(F.col("loc_id").alias("osm_id"), "lat", "lon"), osm.query_boxes())
+    return osm.first_per_feature(hits.withColumnRenamed("box_seq", "region_seq")).select("osm_id", "box")
 
 
 _GEO_TYPES = ("Point", "LineString", "Polygon", "MultiLineString", "MultiPolygon")

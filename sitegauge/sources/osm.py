@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.scalar import cases, parse_capacity
@@ -45,10 +45,9 @@ ELEMENT_SCHEMA = (
 )
 
 
-def query_boxes(spark: SparkSession, energy_type: str = "wind") -> DataFrame:
+def query_boxes(energy_type: str = "wind") -> list[tuple[str, float, float, float, float]]:
     """Continent boxes of one energy type: only wind is collected over North America too."""
-    rows = [b for b in QUERY_BOXES if energy_type == "wind" or b[0] != "North America"]
-    return spark.createDataFrame(rows, "box string, south double, west double, north double, east double")
+    return [b for b in QUERY_BOXES if energy_type == "wind" or b[0] != "North America"]
 
 
 def elements(pages: DataFrame, value: str = "value") -> DataFrame:

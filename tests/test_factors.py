@@ -6,7 +6,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from sitegauge.functions.factors import CATALOG, TYPE_WEIGHTS, catalog_frame, default_weights
+from sitegauge.functions.factors import CATALOG, TYPE_WEIGHTS, Factor, catalog_frame, default_weights, with_measurements
 from sitegauge.operators.scoring import Scorecard, combined_score, score_all_types, score_sites, split_measured
 
 COLUMNS = (
@@ -45,7 +45,7 @@ CASES = {
 
 def _frame(spark, rows):
     full = [tuple(r.get(n) for n in NAMES) for r in rows]
-    return spark.createDataFrame(full, COLUMNS)
+    return with_measurements(spark.createDataFrame(full, COLUMNS))
 
 
 def _factor(key):
@@ -144,6 +144,22 @@ def test_all_types_agree_with_single_scorecards(spark):
         assert score == pytest.approx(score_sites(df, Scorecard.of(t)).first()["overall_score"])
 
 
+def test_absent_columns_are_missing(spark):
+    bare = spark.createDataFrame([(1, 30.0, 0.0)], "site_id int, lat double, lon double")
+    out = score_sites(bare, Scorecard.of("solar"))
+    assert out.columns == ["site_id", "lat", "lon", "overall_score", "energy_type"]
+    full = score_sites(_frame(spark, [{"lat": 30.0}]), Scorecard.of("solar")).first()
+    assert out.first()["overall_score"] == pytest.approx(full["overall_score"])
+
+
+def test_user_factor_that_fails_is_left_out(spark):
+    extra = Factor("x", "X", ("solar",), 2.0, lambda: F.when(F.col("lat") > 0, F.lit(9.0)))
+    rows = [r for r in score_sites(_frame(spark, [{"lat": 30.0}, {"lat": -30.0}]).coalesce(1), Scorecard.of("solar", extra=[extra]), detail=True).collect()]
+    plain = score_sites(_frame(spark, [{"lat": -30.0}]), Scorecard.of("solar")).first()["overall_score"]
+    assert rows[0]["factor_scores"]["X"] == 1.0 and rows[1]["factor_scores"]["X"] == 0.0
+    assert rows[1]["overall_score"] == pytest.approx(plain) and rows[0]["overall_score"] > plain
+
+
 def test_combined_score(spark):
     row = spark.range(1).select(combined_score(F.lit(0.5), F.lit(1.0)), combined_score(F.lit(0.5), F.lit(None).cast("double"))).first()
     assert tuple(row) == (pytest.approx(0.8), 0.5)
