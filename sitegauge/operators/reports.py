@@ -66,7 +66,8 @@ def data_quality(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), rows_with(label.isNull()).alias("null_label"),
         rows_with(~label.isin(0, 1)).alias("bad_label"),
         rows_with(label == 1).alias("pos"), rows_with(label == 0).alias("neg"),
-        F.collect_set(F.when(label == 1, F.col("region"))).alias("regions"))
+        F.min(F.when(label == 1, F.col("region"))).alias("first_region"),
+        F.max(F.when(label == 1, F.col("region"))).alias("last_region"))
     n = F.col("n")
 
     def rows_where(condition: Column) -> Column:
@@ -88,8 +89,9 @@ def data_quality(df: DataFrame) -> DataFrame:
         # A type without negatives has an infinite ratio.
         ratio_ok = F.when(neg > 0, (pos / neg > 0.3) & (pos / neg < 3.0)).when(neg == 0, F.lit(False))
         aggregates.append(ratio_ok.alias(f"balance_{t}"))
-        regions = F.array_distinct(F.flatten(F.collect_set(F.when(mine, F.col("regions")))))
-        aggregates.append(F.when(F.max(mine.cast("int")) == 1, F.size(regions) >= 2).alias(f"geo_diversity_{t}"))
+        # At least two regions: the first and the last by name differ.
+        diverse = F.min(F.when(mine, F.col("first_region"))) != F.max(F.when(mine, F.col("last_region")))
+        aggregates.append(F.when(F.max(mine.cast("int")) == 1, F.coalesce(diverse, F.lit(False))).alias(f"geo_diversity_{t}"))
     wide = places.agg(*aggregates)
     checks = wide.unpivot([], [F.col(c) for c in wide.columns], "check", "passed")
     # Types that do not occur are not checked.

@@ -147,6 +147,27 @@ def build_dataset(spark, d):
     return out.select("sample_id", "energy_type", "label", "country_code", "region", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "shuffle_key")
 
 
+def _goals(sql: str, targets: dict) -> str:
+    """The positives oracle for other targets, without its final SELECT."""
+    old = " ".join(f"WHEN '{t}' THEN {n}" for t, n in _TARGETS.items())
+    new = " ".join(f"WHEN '{t}' THEN {p}" for t, (p, _) in targets.items())
+    return sql.replace(old, new).replace("SELECT loc_id, energy_type FROM f WHERE k<=goal", "").rstrip()
+
+
+_SMALL_TARGETS = {t: (p // 4, n // 4) for t, (p, n) in dataset.TARGETS_POLYGONS.items()}
+_NEG_SPACED = ", ".join(negatives_sql(f"neg_{t}", str(n), str(n * 4), f"42:{t}", "spaced", f"SELECT * FROM locations WHERE energy_type='{t}'") for t, (_, n) in _SMALL_TARGETS.items())
+_BOXES_SQL = "CASE " + " ".join(f"WHEN lat>={s} AND lat<={n} AND lon>={w} AND lon<={e} THEN '{name}'" for name, s, n, w, e in scalar.CONTINENT_BOXES) + " ELSE 'Other' END"
+
+
+@query("build_dataset_polygons", _goals(_positives_sql(_ROUND_CELL, "ceil(goal/cells*3)"), _SMALL_TARGETS) + f", {_NEG_SPACED}, al AS (SELECT 'p' || cast(f.loc_id AS varchar) AS sample_id, f.energy_type, 1 AS label, l.lat, l.lon FROM f JOIN locations l ON f.loc_id=l.loc_id AND f.k<=f.goal"
+       + "".join(f" UNION ALL SELECT 'n{t}' || cast(candidate AS varchar), '{t}', 0, lat, lon FROM neg_{t}" for t in _SMALL_TARGETS)
+       + f") SELECT sample_id, energy_type, label, {_BOXES_SQL} AS region FROM al")
+def build_dataset_polygons(spark, d):
+    """The polygon-based variant: spaced negatives per type, continent boxes."""
+    out = dataset.build_dataset(frame(spark, d, "locations"), _SMALL_TARGETS, "loc_id", attempts=4, style="spaced")
+    return out.select("sample_id", "energy_type", "label", "region")
+
+
 @query("per_group_sample", cte("locations") + f" SELECT loc_id, energy_type FROM (SELECT *, row_number() OVER (PARTITION BY energy_type ORDER BY {u_sql('loc_id')}, loc_id) AS rn FROM locations) WHERE rn<=50")
 def per_group_sample(spark, d):
     return dataset.sample_per_group(frame(spark, d, "locations"), ["energy_type"], 50, "loc_id").select("loc_id", "energy_type")

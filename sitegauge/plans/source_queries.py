@@ -308,7 +308,12 @@ def keep_columns(spark, d):
 def plant_summary(spark, d):
     out = eia.plant_summary(frame(spark, d, "generators"))
     return out.select("plant_code", "plant_name", "state", F.round("total_capacity_mw", 6).alias("total_capacity_mw"),
-                      F.size("generators").cast("bigint").alias("n_generators"), F.array_join("energy_sources", "|").alias("energy_sources"))
+                      "n_generators", F.array_join("energy_sources", "|").alias("energy_sources"))
+
+
+@query("plant_generators", cte("generators") + " SELECT generator_id, capacity_mw FROM generators WHERE plant_code=77")
+def plant_generators(spark, d):
+    return eia.plant_generators(frame(spark, d, "generators"), 77).select("generator_id", "capacity_mw")
 
 
 @query("generators_query", cte("generators") + ", p AS (SELECT generator_id, capacity_mw FROM generators WHERE fuel_code='WND' AND status='OP' ORDER BY capacity_mw DESC NULLS LAST, generator_id LIMIT 200 OFFSET 20) SELECT * FROM p WHERE capacity_mw>=300")

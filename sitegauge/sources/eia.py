@@ -72,20 +72,25 @@ def parse_pages(pages: DataFrame, need_fuel: bool = True, value: str = "value")
 
 
 def plant_summary(generators: DataFrame) -> DataFrame:
-    """One row per plant: leading attributes, capacity, energy sources, generator list.
+    """One row per plant: leading attributes, capacity, energy sources, number of generators.
 
-    The attributes of the first generator come from a single ``min_by``; a plant
-    has a handful of generators, so its list stays small.
+    The attributes are those of the first generator. The generators themselves
+    stay rows (see ``plant_generators``): a list per plant would grow without bound.
     """
     first = F.min_by(F.struct("name", "state", "entity_name", "lat", "lon"), "generator_id")
     return generators.groupBy("plant_code").agg(
         first.alias("f"),
         F.sum(safe_double(F.col("capacity_mw"))).alias("total_capacity_mw"),
+        F.count(F.lit(1)).alias("n_generators"),
         F.array_sort(F.collect_set(F.coalesce("fuel_code", F.lit("")))).alias("energy_sources"),
-        F.array_sort(F.collect_list(F.struct("generator_id", "fuel_code", "capacity_mw"))).alias("generators"),
     ).select("plant_code", F.coalesce("f.name", F.lit("Unknown")).alias("plant_name"), "f.state", "f.entity_name",
              safe_double(F.col("f.lat")).alias("latitude"), safe_double(F.col("f.lon")).alias("longitude"),
-             "total_capacity_mw", "energy_sources", "generators")
+             "total_capacity_mw", "n_generators", "energy_sources")
+
+
+def plant_generators(generators: DataFrame, plant_code: int) -> DataFrame:
+    """The generators of one plant."""
+    return generators.filter(F.col("plant_code") == plant_code)
 
 
 def generators_page(df: DataFrame, state: str | None = None, fuel_type: str | None = None,
