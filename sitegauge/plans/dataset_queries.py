@@ -151,7 +151,9 @@ def _goals(sql: str, targets: dict) -> str:
     """The positives oracle for other targets, without its final SELECT."""
     old = " ".join(f"WHEN '{t}' THEN {n}" for t, n in _TARGETS.items())
     new = " ".join(f"WHEN '{t}' THEN {p}" for t, (p, _) in targets.items())
-    return sql.replace(old, new).replace("SELECT loc_id, energy_type FROM f WHERE k<=goal", "").rstrip()
+    kinds = ", ".join(f"'{t}'" for t in targets)
+    return sql.replace(old, new).replace("AS u FROM locations)", f"AS u FROM locations WHERE energy_type IN ({kinds}))").replace(
+        "SELECT loc_id, energy_type FROM f WHERE k<=goal", "").rstrip()
 
 
 _SMALL_TARGETS = {t: (p // 4, n // 4) for t, (p, n) in dataset.TARGETS_POLYGONS.items()}
