@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions.scalar import (
     cell_key, cell_round, cell_trunc, hash_order, hash_uniform, is_land_rough, is_land_sampled,
     region_boxes, region_rules, region_rules_negative)
-from sitegauge.operators.ranking import exact_rank, hash_cuts, keep_first, top_n
+from sitegauge.operators.ranking import exact_rank, hash_cuts, keep_first, lookup, top_n
 from sitegauge.operators.spatial import exclude_near, exclude_same_cell
 
 LOCATION_COLUMNS = ("lat", "lon", "energy_type", "source", "name", "capacity_mw", "country_code", "operating_year")
@@ -148,7 +148,7 @@ def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.2,
     ordered = df.withColumn("_u", hash_order(F.col(key), seed))
     take = F.bround(F.col("n") * F.lit(fraction), 0).cast("bigint")
     cuts = hash_cuts(ordered, label, "_u", key, F.array(take))
-    joined = ordered.join(F.broadcast(cuts), label, "left")   # one row per label
+    joined = ordered.join(lookup(cuts), label, "left")   # one row per label
     last = F.col("cut")[0]
     is_test = F.coalesce(F.struct(F.col("_u"), F.col(key).alias("_k")) <= last, F.lit(False))
     return joined.select(*df.columns, is_test.alias("is_test"))
@@ -162,7 +162,7 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: obje
     ends = F.transform(F.array(*[F.lit(i).cast("bigint") for i in range(1, k)]),
                        lambda i: i * F.floor(n / k) + F.least(i, n % k))
     cuts = hash_cuts(ordered, label, "_u", key, F.array_distinct(ends))
-    joined = ordered.join(F.broadcast(cuts), label, "left")   # one row per label
+    joined = ordered.join(lookup(cuts), label, "left")   # one row per label
     here = F.struct(F.col("_u"), F.col(key).alias("_k"))
     fold = F.coalesce(F.size(F.filter("cut", lambda c: c < here)), F.lit(0))
     return joined.select(*df.columns, fold.alias("fold"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions.scalar import hash_uniform
 from sitegauge.operators.dataset import stratified_folds, stratified_split
 from sitegauge.operators.metrics import accuracy, rank_metrics
-from sitegauge.operators.ranking import exact_rank
+from sitegauge.operators.ranking import exact_rank, lookup
 
 
 @dataclass(frozen=True)
@@ -153,12 +153,12 @@ def fold_summary(folds: DataFrame) -> DataFrame:
 
 
 def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Weight n / (2 n_class) per row; the class sizes are two rows."""
+    """Weight n / (2 n_class) per row; the class sizes are one row each."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_all")).withColumn("_one", F.lit(1))
     table = sizes.withColumn("_one", F.lit(1)).join(total, "_one").select(
         label, (F.col("_all") / (2.0 * F.col("_n"))).alias("weight"))
-    return df.join(F.broadcast(table), label)
+    return df.join(lookup(table), label)
 
 
 def leave_one_out(df: DataFrame, group: str, values: Sequence[str], key: str, kind: str = "logistic",

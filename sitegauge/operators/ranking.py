@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 from sitegauge.session import durable
 
 
+BROADCAST_ROWS = 100_000
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A derived table for a keyed join: broadcast when it proves small, else joined by shuffle.
+
+    The table is materialised before it is counted, so the check costs no second pass.
+    """
+    kept = durable(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def _named(columns: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in columns]
 
@@ -105,7 +117,7 @@ def hash_cuts(df: DataFrame, group: str, u: str, key: str, ranks: Column) -> Dat
     wanted = F.filter(ranks, lambda r: (r > start) & (r <= F.col("_to")))
     buckets = upto.select(group, "_b", F.transform(wanted, lambda r: r - start).alias("_places")).filter(F.size("_places") > 0)
     # At most one bucket per rank and class.
-    near = slim.join(F.broadcast(buckets), [group, "_b"])
+    near = slim.join(lookup(buckets), [group, "_b"])
     placed = near.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_b").orderBy("_u", "_k")))
     hits = placed.filter(F.array_contains("_places", F.col("_place").cast("bigint")))
     return hits.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_u", "_k"))).alias("cut"))

@@ -14,7 +14,7 @@ from sitegauge.operators.features import external_features, geo_features
 from sitegauge.plans.fixtures import cte, frame
 from sitegauge.plans.registry import query
 
-SMALL = ml.Settings(lr_iterations=50, trees=5, depth=4, hidden=(16, 8), mlp_iterations=20)
+SMALL = ml.Settings(lr_iterations=20, trees=5, depth=4, hidden=(16, 8), mlp_iterations=20)
 
 
 def _rows(spark, d):
