@@ -90,23 +90,29 @@ def candidate_points(spark: SparkSession, n: int, seed: object, equal_area: bool
     return ids.select("candidate", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), u.alias("u"))
 
 
-def sample_negatives(positives: DataFrame, n: int, candidates: int, seed: object = 42, style: str = "spaced") -> DataFrame:
-    """The first n acceptable candidates.
-
-    ``spaced`` keeps clear of the 3x3 cells around any positive and uses the
-    coarse land rule; ``sampled`` keeps out of occupied cells only and thins the
-    far north. ``candidates`` is the number of attempts.
+def negatives_by_type(occupied: DataFrame, wanted: Mapping[str, int], attempts: Mapping[str, int], seed: object = 42,
+                      style: str = "spaced") -> DataFrame:
+    """The first acceptable candidates of every energy type: (energy_type, candidate, lat, lon).
+
+    ``spaced`` keeps clear of the 3x3 cells around positives of the same type and
+    uses the coarse land rule; ``sampled`` keeps out of cells occupied by any type
+    and thins the far north. ``attempts`` is the number of candidates drawn per
+    type. All types share one exclusion join.
     """
-    spark = positives.sparkSession
-    if style == "spaced":
-        pool = candidate_points(spark, candidates, seed, equal_area=True)
-        land = pool.filter((F.col("lat") > -56) & (F.col("lat") < 72) & is_land_rough(F.col("lat"), F.col("lon")))
-        free = exclude_near(land, positives)
+    spark = occupied.sparkSession
+    spaced = style == "spaced"
+    pool = reduce(DataFrame.unionByName, [
+        candidate_points(spark, attempts[t], f"{seed}:{t}", equal_area=spaced).withColumn("energy_type", F.lit(t))
+        for t in wanted])
+    lat, lon = F.col("lat"), F.col("lon")
+    if spaced:
+        land = pool.filter((lat > -56) & (lat < 72) & is_land_rough(lat, lon))
+        free = exclude_near(land, occupied, by=["energy_type"])
     else:
-        pool = candidate_points(spark, candidates, seed, equal_area=False)
-        land = pool.filter(is_land_sampled(F.col("lat"), F.col("lon"), F.col("u")))
-        free = exclude_same_cell(land, positives)
-    return top_n(free, [], ["candidate"], n).drop("u")
+        free = exclude_same_cell(pool.filter(is_land_sampled(lat, lon, F.col("u"))), occupied)
+    goal = F.create_map(*[F.lit(x) for t, n in wanted.items() for x in (t, n)])[F.col("energy_type")]
+    slim = free.select("energy_type", "candidate", "lat", "lon")
+    return top_n(slim, ["energy_type"], ["candidate"], goal)
 
 
 def build_dataset(locations: DataFrame, targets: Mapping[str, tuple[int, int]], key: str, attempts: int,
@@ -123,18 +129,16 @@ def build_dataset(locations: DataFrame, targets: Mapping[str, tuple[int, int]],
         F.concat(F.lit("p"), F.col(key).cast("string")).alias("sample_id"), "lat", "lon", "energy_type",
         F.lit(1).alias("label"), "source", "country_code", positive_region(F.col("lat"), F.col("lon")).alias("region"),
         "operating_year", "capacity_mw")
-    parts = [labelled]
-    for energy_type, (_, n) in targets.items():
-        occupied = locations if style == "sampled" else locations.filter(F.col("energy_type") == energy_type)
-        negatives = sample_negatives(occupied, n, n * attempts, f"{seed}:{energy_type}", style)
-        parts.append(negatives.select(
-            F.concat(F.lit(f"n{energy_type}"), F.col("candidate").cast("string")).alias("sample_id"), "lat", "lon",
-            F.lit(energy_type).alias("energy_type"), F.lit(0).alias("label"), F.lit("negative_sample").alias("source"),
-            F.lit("").alias("country_code"), negative_region(F.col("lat"), F.col("lon")).alias("region"),
-            F.lit("").alias("operating_year"), F.lit(0.0).alias("capacity_mw")))
+    wanted = {t: n for t, (_, n) in targets.items()}
+    negatives = negatives_by_type(locations, wanted, {t: n * attempts for t, n in wanted.items()}, seed, style)
+    unlabelled = negatives.select(
+        F.concat(F.lit("n"), "energy_type", F.col("candidate").cast("string")).alias("sample_id"), "lat", "lon",
+        "energy_type", F.lit(0).alias("label"), F.lit("negative_sample").alias("source"), F.lit("").alias("country_code"),
+        negative_region(F.col("lat"), F.col("lon")).alias("region"), F.lit("").alias("operating_year"),
+        F.lit(0.0).alias("capacity_mw"))
     # An energy type without any location is left out altogether, negatives included.
     present = locations.select("energy_type").distinct()
-    every = reduce(DataFrame.unionByName, parts).join(F.broadcast(present.filter(
+    every = labelled.unionByName(unlabelled).join(F.broadcast(present.filter(
         F.col("energy_type").isin(*targets))), "energy_type", "left_semi")
     return every.withColumn("shuffle_key", hash_order(F.col("sample_id"), seed))
 

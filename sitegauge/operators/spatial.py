@@ -387,23 +387,32 @@ def reverse_geocode(df: DataFrame, cities: DataFrame, row_id: str, city_id: str
 
 # -- cell exclusion ---------------------------------------------------------
 
-def exclude_near(candidates: DataFrame, occupied: DataFrame, cell: float = 0.05) -> DataFrame:
-    """Drop candidates in, or next to, a floor cell that holds an occupied point."""
-    held = occupied.select(cell_floor(F.col("lat"), cell).alias("oy"), cell_floor(F.col("lon"), cell).alias("ox")).distinct()
+def _floor_cell(column: str, cell: float) -> Column:
+    return cell_floor(F.col(column), cell)
+
+
+def _round_cell(column: str, cell: float) -> Column:
+    return F.bround(F.col(column) / F.lit(cell), 0).cast("bigint")
+
+
+def exclude_near(candidates: DataFrame, occupied: DataFrame, cell: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """Drop candidates in, or next to, a floor cell that holds an occupied point.
+
+    ``by`` names columns (such as the energy type) that must agree as well.
+    """
+    held = occupied.select(*by, _floor_cell("lat", cell).alias("oy"), _floor_cell("lon", cell).alias("ox")).distinct()
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     around = held.select("*", F.explode(steps).alias("dy")).select("*", F.explode(steps).alias("dx"))
-    blocked = around.select((F.col("oy") + F.col("dy")).alias("by"), (F.col("ox") + F.col("dx")).alias("bx")).distinct()
-    keyed = candidates.withColumns({"_cy": cell_floor(F.col("lat"), cell), "_cx": cell_floor(F.col("lon"), cell)})
-    return keyed.join(blocked, (F.col("_cy") == F.col("by")) & (F.col("_cx") == F.col("bx")), "left_anti").drop("_cy", "_cx")
+    blocked = around.select(*by, (F.col("oy") + F.col("dy")).alias("_cy"), (F.col("ox") + F.col("dx")).alias("_cx")).distinct()
+    keyed = candidates.withColumns({"_cy": _floor_cell("lat", cell), "_cx": _floor_cell("lon", cell)})
+    return keyed.join(blocked, [*by, "_cy", "_cx"], "left_anti").select(*candidates.columns)
 
 
 def exclude_same_cell(candidates: DataFrame, occupied: DataFrame, cell: float = 0.05) -> DataFrame:
     """Drop candidates whose rounded cell holds an occupied point."""
-    def key(c: str) -> Column:
-        return F.bround(F.col(c) / F.lit(cell), 0).cast("bigint")
-    held = occupied.select(key("lat").alias("by"), key("lon").alias("bx")).distinct()
-    keyed = candidates.withColumns({"_cy": key("lat"), "_cx": key("lon")})
-    return keyed.join(held, (F.col("_cy") == F.col("by")) & (F.col("_cx") == F.col("bx")), "left_anti").drop("_cy", "_cx")
+    held = occupied.select(_round_cell("lat", cell).alias("_cy"), _round_cell("lon", cell).alias("_cx")).distinct()
+    keyed = candidates.withColumns({"_cy": _round_cell("lat", cell), "_cx": _round_cell("lon", cell)})
+    return keyed.join(held, ["_cy", "_cx"], "left_anti").select(*candidates.columns)
 
 
 # -- boxes and polygons -----------------------------------------------------

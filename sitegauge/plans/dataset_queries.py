@@ -117,18 +117,18 @@ _N_SOLAR = "(SELECT count(*) FROM locations WHERE energy_type='solar')"
 
 
 def _negatives(spark, d, style):
+    """As many negatives as there are solar sites, from four candidates each."""
     locs = frame(spark, d, "locations")
-    occupied = locs.filter(F.col("energy_type") == "solar") if style == "spaced" else locs
     n = locs.filter(F.col("energy_type") == "solar").count()
-    return dataset.sample_negatives(occupied, n, 4 * n, "42", style).select("candidate", "lat", "lon")
+    return dataset.negatives_by_type(locs, {"solar": n}, {"solar": 4 * n}, 42, style).select("candidate", "lat", "lon")
 
 
-@query("negatives_v1", cte("locations") + ", " + negatives_sql("neg", _N_SOLAR, f"4*{_N_SOLAR}", "42", "spaced", "SELECT * FROM locations WHERE energy_type='solar'") + " SELECT * FROM neg")
+@query("negatives_v1", cte("locations") + ", " + negatives_sql("neg", _N_SOLAR, f"4*{_N_SOLAR}", "42:solar", "spaced", "SELECT * FROM locations WHERE energy_type='solar'") + " SELECT * FROM neg")
 def negatives_v1(spark, d):
     return _negatives(spark, d, "spaced")
 
 
-@query("negatives_v2", cte("locations") + ", " + negatives_sql("neg", _N_SOLAR, f"4*{_N_SOLAR}", "42", "sampled", "SELECT * FROM locations") + " SELECT * FROM neg")
+@query("negatives_v2", cte("locations") + ", " + negatives_sql("neg", _N_SOLAR, f"4*{_N_SOLAR}", "42:solar", "sampled", "SELECT * FROM locations") + " SELECT * FROM neg")
 def negatives_v2(spark, d):
     return _negatives(spark, d, "sampled")
 

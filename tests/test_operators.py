@@ -95,8 +95,8 @@ def test_sampling_uses_every_row_when_short(spark):
 
 
 def test_negatives_keep_their_distance(spark):
-    occupied = spark.range(2000).select(((F.col("id") % 100) - 50).cast("double").alias("lat"), (F.col("id") % 300 - 150).cast("double").alias("lon"))
-    got = dataset.sample_negatives(occupied, 50, 400).collect()
+    occupied = spark.range(2000).select(((F.col("id") % 100) - 50).cast("double").alias("lat"), (F.col("id") % 300 - 150).cast("double").alias("lon"), F.lit("wind").alias("energy_type"))
+    got = dataset.negatives_by_type(occupied, {"wind": 50}, {"wind": 400}).collect()
     assert len(got) == 50
     cells = {(math.floor(r["lat"] / 0.05), math.floor(r["lon"] / 0.05)) for r in occupied.collect()}
     for r in got:
