@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import packing, token_files
+from sitegauge.llm import packing, simhash, token_files, url_filter
 from sitegauge.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,34 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path)
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(r"""
+    WITH RECURSIVE urls AS (
+        SELECT page_id, html, url,
+               CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+        FROM pages),
+    parts AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM urls),
+    judged AS (
+        SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+        FROM parts),
+    rules(rule_host, rule_path, block) AS (VALUES ('org', '/', false), ('example.org', '/es/', true),
+        ('example.org', '/en/1', true), ('com', '/fr/', false), ('com', '/de/', true)),
+    fitting AS (
+        SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+               arg_max(block, length(rule_host || rule_path)) AS block
+        FROM judged JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        GROUP BY page_id)
+    -- The given pages hold no canonical or refresh link, so no verdict is inherited.
+    SELECT page_id, host, path, rule, CASE WHEN block THEN 'block' ELSE 'allow' END AS verdict
+    FROM judged LEFT JOIN fitting USING (page_id)""")
+def op1_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.page_edges(pages), keep=["page_id"])
