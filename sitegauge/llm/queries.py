@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import packing, simhash, token_files, url_filter
+from sitegauge.llm import exact_dedup, mixing, packing, simhash, token_files, url_filter
 from sitegauge.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.filter_urls(pages, url_filter.page_edges(pages), keep=["page_id"])
+
+
+@query(r"""
+    WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+                      sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+               FROM documents),
+    w AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
+                 count(*) OVER (PARTITION BY text_sha256) AS group_size, text_sha256
+          FROM t)
+    SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM w""")
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.resolve(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query()
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("sources", F.array("source"))
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "size", F.col("source_size"), "target", "taken")
