@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import exact_dedup, mixing, packing, simhash, token_files, url_filter
+from sitegauge.llm import exact_dedup, mixing, packing, quality, simhash, token_files, url_filter
 from sitegauge.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("sources", F.array("source"))
     mixed = mixing.mix(docs)
     return mixed.select("doc_id", "size", F.col("source_size"), "target", "taken")
+
+
+@query()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
