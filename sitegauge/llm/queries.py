@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import exact_dedup, mixing, packing, quality, simhash, token_files, url_filter
+from sitegauge.llm import exact_dedup, html_text, mixing, packing, quality, simhash, token_files, url_filter
 from sitegauge.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs, model, ["doc_id"])
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
+@query()
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
