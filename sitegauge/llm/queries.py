@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import exact_dedup, html_text, mixing, packing, quality, simhash, token_files, url_filter
+from sitegauge.llm import exact_dedup, hnsw, html_text, mixing, packing, quality, simhash, token_files, url_filter
 from sitegauge.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query()
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return hnsw.search(hnsw.build_index(vectors), vectors.filter("vec_id % 20 = 0"))

@@ -1,10 +1,11 @@
 """Token ids on disk: one zstandard frame per document, all frames sharing one trained dictionary.
 
-A data set is a folder of two tables, written by Spark so that any store it can write to will do:
+A data set is a folder of three tables, written by Spark so that any store it can write to will do:
 
 * ``blocks``: one row per block of neighbouring documents: ``shard``, ``block``, ``start`` (ids before it in the shard), ``doc_ids``,
   ``counts`` (ids per document), ``offsets`` (byte offsets of the frames, one more than documents), ``data`` (the
   frames), ``lowest`` and ``highest`` document id, ``dictionary`` (SHA-256 of the dictionary).
+* ``shards``: ``shard``, ``base`` (ids in all shards before it).
 * ``dictionary``: its SHA-256, its bytes (empty: none), the width of an id in bytes.
 
 Documents are in ascending id order over shards and blocks, NULL first; rows with the same id are ordered by their ids. A frame
@@ -123,13 +124,19 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     (ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
         .mapInArrow(_compress(dictionary), _BLOCK)
         .write.option("compression", "none").parquet(f"{path}/blocks"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    # One row per shard, that is per task of the writing job.
+    (load(spark, f"{path}/blocks").groupBy("shard").agg(held.alias("n"))
+        .select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).write.parquet(f"{path}/shards"))
 
 
 def _opened(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
     kept = load(spark, f"{path}/dictionary").first()
     if hashlib.sha256(kept["bytes"]).hexdigest() != kept["dictionary"]:
         raise ValueError("the dictionary does not match its hash")
-    return load(spark, f"{path}/blocks"), bytes(kept["bytes"])
+    # The shards join the blocks while these are still compressed.
+    return load(spark, f"{path}/blocks").join(load(spark, f"{path}/shards"), "shard"), bytes(kept["bytes"])
 
 
 def _decompress(dictionary: bytes, wanted: frozenset[int] | None = None):
@@ -145,30 +152,24 @@ def _decompress(dictionary: bytes, wanted: frozenset[int] | None = None):
                     raise ValueError("a block was written with another dictionary")
                 data, offsets = row["data"].as_buffer(), row["offsets"].values.to_numpy()
                 counts = row["counts"].values.to_numpy()
-                starts = row["start"].as_py() + np.cumsum(counts) - counts
+                starts = row["base"].as_py() + row["start"].as_py() + np.cumsum(counts) - counts
                 docs = row["doc_ids"].as_py()
                 take = range(len(docs)) if wanted is None else [k for k, d in enumerate(docs) if d in wanted]
                 for part in (take[k:k + 256] for k in range(0, len(take), 256)):
                     ids = [expand.decompress(data[int(offsets[k]):int(offsets[k + 1])]) for k in part]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["shard"].as_py()] * len(part), pa.int32()), pa.array([docs[k] for k in part], pa.int64()),
-                         pa.array(starts[list(part)]), pa.array(counts[list(part)]), pa.array(ids, pa.binary())],
-                        names=["shard", "doc_id", "start", "n_tokens", "ids"])
+                        [pa.array([docs[k] for k in part], pa.int64()), pa.array(starts[list(part)]), pa.array(counts[list(part)]),
+                         pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
     return run
 
 
-_DOCUMENT = "shard int, doc_id bigint, start bigint, n_tokens bigint, ids binary"
+_DOCUMENT = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """All documents: ``doc_id``, ``start`` (ids of all documents before), ``n_tokens``, ``ids``."""
     blocks, dictionary = _opened(spark, path)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per shard, that is per task of the writing job.
-    shards = (blocks.groupBy("shard").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"))
-              .select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    return (blocks.mapInArrow(_decompress(dictionary), _DOCUMENT).join(shards, "shard")
-            .select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids"))
+    return blocks.mapInArrow(_decompress(dictionary), _DOCUMENT)
 
 
 def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -178,4 +179,4 @@ def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     for doc in doc_ids:
         near = near | ((F.col("lowest") <= doc) & (F.col("highest") >= doc))
     found = blocks.filter(near).mapInArrow(_decompress(dictionary, frozenset(doc_ids)), _DOCUMENT)
-    return found.select("doc_id", "n_tokens", "ids")
+    return found
