@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import exact_dedup, hnsw, html_text, mixing, packing, quality, simhash, token_files, url_filter
+from sitegauge.llm import exact_dedup, hnsw, html_text, mixing, packing, pii, quality, simhash, token_files, url_filter
 from sitegauge.session import scratch_path
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,12 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return hnsw.search(hnsw.build_index(vectors), vectors.filter("vec_id % 20 = 0"))
+
+
+#: Stands in for a secret that a cluster would read from its own store.
+PII_KEY = "sitegauge"
+
+
+@query()
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY, ["doc_id"])
