@@ -1,23 +1,61 @@
-"""From raw documents to packed training sequences: the stages in order, each reading what the one before wrote."""
+"""From raw documents to packed training sequences: the stages in order, each reading what the one before wrote.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``. All but the last return the columns of ``docs``.
+
+* NULL and empty texts are scored like any other text; as empties are equal, one of them can stay.
+* Rows that share an id count as one document in the near-duplicate and mixing stages: they stay or go, and are repeated, together.
+* Without ``labels`` rows of both classes the classifier is a constant and keeps everything (0.5 for no labels at all).
+* Empty tables pass through as empty tables. Extra columns pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitegauge.llm import packing
+from sitegauge.llm import exact_dedup, mixing, packing, quality, simhash
 from sitegauge.llm.storage import saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. It learns from the raw documents, wherever it stands in the pipeline."""
+    raw, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    scored = quality.score(docs, quality.fit(raw, labels), docs.columns)
+    return scored.filter(F.col("score") >= quality.ACCEPT).select(*docs.columns)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts."""
+    return exact_dedup.keep_unique(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of linked fingerprints."""
+    found = simhash.near_duplicates(docs)
+    groups = saved(found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")), "near")
+    gone = groups.filter("NOT stays").select("doc_id")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(docs.withColumn("sources", F.array("source")))
+    copies = saved(mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id"), "copies")
+    taken = docs.join(copies.filter("_copies > 0"), docs["doc_id"].eqNullSafe(copies["_id"]))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", packed)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_filter), ("exact", exact_duplicates), ("near", near_duplicates), ("mixing", mixture), ("packing", packed)]
 
 #: Models, hashes and token layouts have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
