@@ -24,8 +24,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the raw documents, wherever it stands in the pipeline."""
     raw, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
-    scored = quality.score(docs, quality.fit(raw, labels), docs.columns)
-    return scored.filter(F.col("score") >= quality.ACCEPT).select(*docs.columns)
+    scored = quality.score(docs, quality.fit(raw, labels), docs.columns, "_score")
+    return scored.filter(F.col("_score") >= quality.ACCEPT).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,23 +47,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _roots(edges: DataFrame) -> str:
     """Path of a table (node, parent) where every parent is a root."""
     spark = edges.sparkSession
-    # edges.a < edges.b, so only b can have a smaller neighbour through this edge.
-    smaller = edges.select(F.col("b").alias("node"), F.col("a").alias("parent"))
+    # edges.a < edges.b, so only b can have a smaller neighbour through this edge; roots point at themselves.
+    smaller = edges.select(F.col("b").alias("node"), F.col("a").alias("parent")).unionByName(
+        edges.select(F.col("a").alias("node"), F.col("a").alias("parent")))
     path = save(smaller.groupBy("node").agg(F.min("parent").alias("parent")), "parents")
     while True:
-        # Nodes that point nowhere are roots and have no row here.
         now = load(spark, path)
         up = now.select(F.col("node").alias("parent"), F.col("parent").alias("upper"))
-        jumped = now.join(up, "parent", "left").select(
-            "node", F.coalesce("upper", "parent").alias("parent"), F.col("upper").isNotNull().alias("moved"))
+        jumped = now.join(up, "parent").select(
+            "node", F.col("upper").alias("parent"), (F.col("upper") != F.col("parent")).alias("moved"))
         next_path = save(jumped, "parents")
         moved = not load(spark, next_path).filter("moved").isEmpty()
         remove(spark, path)
         path = next_path
         if not moved:
-            break
-    pointing = load(spark, path).select("node", "parent")
-    top = pointing.select(F.col("parent").alias("node")).distinct()
-    done = save(pointing.unionByName(top.select("node", F.col("node").alias("parent"))), "roots")
-    remove(spark, path)
-    return done
+            return path

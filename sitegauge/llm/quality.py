@@ -45,11 +45,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def blocks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Zero-padded bytes of all texts, each starting a block and followed by ``REACH`` zeros at least, and the first block of every text."""
-    counts = np.array([(len(t) + REACH) // BLOCK + 1 for t in texts], np.int64)
+    """Zero-padded bytes of all texts, each in blocks of its own after ``PAD`` zeros, and the first block of every text."""
+    counts = np.array([(len(t) + PAD) // BLOCK + 1 for t in texts], np.int64)
     first = np.cumsum(counts) - counts
     data = np.zeros(int(counts.sum()) * BLOCK + PAD, np.uint8)
-    for start, text in zip((first * BLOCK).tolist(), texts):
+    for start, text in zip((first * BLOCK + PAD).tolist(), texts):
         data[start:start + len(text)] = np.frombuffer(text, np.uint8)
     return data, first
 
@@ -196,9 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | f
     return train([r["text"].encode("utf-8", "surrogatepass") for r in rows], good, share)
 
 
-def score(docs: DataFrame, model: Network | float, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with the score of the whole text."""
-    schema = docs.select(*keep).schema.add("score", "double")
+def score(docs: DataFrame, model: Network | float, keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` columns of ``docs`` with the score of the whole text as column ``name``."""
+    schema = docs.select(*keep).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = None if isinstance(model, float) else model.pairs()
