@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions.scalar import (
     cell_key, cell_round, cell_trunc, hash_order, hash_uniform, is_land_rough, is_land_sampled,
     region_boxes, region_rules, region_rules_negative)
-from sitegauge.operators.ranking import exact_rank, hash_cuts, keep_first, lookup, top_n
+from sitegauge.operators.ranking import exact_rank, first_in_order, hash_cuts, keep_first, lookup, top_n
 from sitegauge.operators.spatial import exclude_near, exclude_same_cell
 
 LOCATION_COLUMNS = ("lat", "lon", "energy_type", "source", "name", "capacity_mw", "country_code", "operating_year")
@@ -74,7 +74,8 @@ def sample_positives(df: DataFrame, targets: Mapping[str, int], key: str, cells:
     slim = pool.select(key, "energy_type", "_cell", "_u")
     ranked = exact_rank(slim, ["energy_type", "_cell"], ["_u", key], "_place").join(F.broadcast(stats), "energy_type")
     late = F.when(F.col("_place") <= F.col("_quota"), F.lit(0)).otherwise(F.lit(1))
-    chosen = top_n(ranked.withColumn("_late", late), ["energy_type"], ["_late", "_u", key], F.col("_goal"))
+    # Late rows rank behind all others: the hash has 32 bits.
+    chosen = first_in_order(ranked, "energy_type", F.shiftleft(late.cast("bigint"), 32) + F.col("_u"), key, F.col("_goal"), 16)
     return df.join(chosen.select(key), key, "left_semi")
 
 
@@ -90,37 +91,54 @@ def candidate_points(spark: SparkSession, n: int, seed: object, equal_area: bool
     return ids.select("candidate", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), u.alias("u"))
 
 
-def negatives_by_type(occupied: DataFrame, wanted: Mapping[str, int], attempts: Mapping[str, int], seed: object = 42,
-                      style: str = "spaced") -> DataFrame:
+MAX_BATCHES = 200
+DRAWS = 2
+
+
+def negatives_by_type(occupied: DataFrame, wanted: Mapping[str, int], seed: object = 42, style: str = "spaced",
+                      draws: int = DRAWS, max_batches: int = MAX_BATCHES) -> DataFrame:
     """The first acceptable candidates of every energy type: (energy_type, candidate, lat, lon).
 
     ``spaced`` keeps clear of the 3x3 cells around positives of the same type and
     uses the coarse land rule; ``sampled`` keeps out of cells occupied by any type
-    and thins the far north. ``attempts`` is the number of candidates drawn per
-    type. All types share one exclusion join.
+    and thins the far north. A batch draws ``draws`` candidates per wanted row;
+    candidates rejected for water or for a neighbour count as drawn. Types that
+    are short get further batches, twice as many each time. If ``max_batches``
+    batches do not do, there is no room for as many rows, which is an error. The
+    result does not depend on the size of the batches. All types share one
+    exclusion join.
     """
     spark = occupied.sparkSession
     spaced = style == "spaced"
-    pool = reduce(DataFrame.unionByName, [
-        candidate_points(spark, attempts[t], f"{seed}:{t}", equal_area=spaced).withColumn("energy_type", F.lit(t))
-        for t in wanted])
     lat, lon = F.col("lat"), F.col("lon")
-    if spaced:
-        land = pool.filter((lat > -56) & (lat < 72) & is_land_rough(lat, lon))
-        free = exclude_near(land, occupied, by=["energy_type"])
-    else:
-        free = exclude_same_cell(pool.filter(is_land_sampled(lat, lon, F.col("u"))), occupied)
     goal = F.create_map(*[F.lit(x) for t, n in wanted.items() for x in (t, n)])[F.col("energy_type")]
-    slim = free.select("energy_type", "candidate", "lat", "lon")
-    return top_n(slim, ["energy_type"], ["candidate"], goal)
 
-
-def build_dataset(locations: DataFrame, targets: Mapping[str, tuple[int, int]], key: str, attempts: int,
+    def accepted(batches: Mapping[str, int]) -> DataFrame:
+        pool = reduce(DataFrame.unionByName, [
+            candidate_points(spark, wanted[t] * draws * n, f"{seed}:{t}", equal_area=spaced).withColumn("energy_type", F.lit(t))
+            for t, n in batches.items()])
+        if spaced:
+            land = pool.filter((lat > -56) & (lat < 72) & is_land_rough(lat, lon))
+            free = exclude_near(land, occupied, by=["energy_type"])
+        else:
+            free = exclude_same_cell(pool.filter(is_land_sampled(lat, lon, F.col("u"))), occupied)
+        return free.select("energy_type", "candidate", "lat", "lon")
+
+    batches, open_ = dict.fromkeys(wanted, 1), set(wanted)
+    while open_:
+        # One row per energy type.
+        counts = dict(accepted({t: batches[t] for t in sorted(open_)}).groupBy("energy_type").count().collect())
+        open_ = {t for t in open_ if counts.get(t, 0) < wanted[t]}
+        for t in open_:
+            if batches[t] >= max_batches:
+                raise ValueError(f"only {counts.get(t, 0)} of {wanted[t]} negatives for {t} after {max_batches} batches")
+            batches[t] = min(max_batches, 2 * batches[t])
+    return first_in_order(accepted(batches), "energy_type", F.col("candidate"), "candidate", goal, 12)
+
+
+def build_dataset(locations: DataFrame, targets: Mapping[str, tuple[int, int]], key: str,
                   seed: object = 42, style: str = "sampled") -> DataFrame:
-    """Balanced labelled samples of every energy type, in random order of ``shuffle_key``.
-
-    ``attempts`` is the number of candidates drawn per wanted negative.
-    """
+    """Balanced labelled samples of every energy type, in random order of ``shuffle_key``."""
     cells = "trunc" if style == "sampled" else "round"
     positive_region = region_rules if style == "sampled" else region_boxes
     negative_region = region_rules_negative if style == "sampled" else region_boxes
@@ -130,7 +148,7 @@ def build_dataset(locations: DataFrame, targets: Mapping[str, tuple[int, int]],
         F.lit(1).alias("label"), "source", "country_code", positive_region(F.col("lat"), F.col("lon")).alias("region"),
         "operating_year", "capacity_mw")
     wanted = {t: n for t, (_, n) in targets.items()}
-    negatives = negatives_by_type(locations, wanted, {t: n * attempts for t, n in wanted.items()}, seed, style)
+    negatives = negatives_by_type(locations, wanted, seed, style)
     unlabelled = negatives.select(
         F.concat(F.lit("n"), "energy_type", F.col("candidate").cast("string")).alias("sample_id"), "lat", "lon",
         "energy_type", F.lit(0).alias("label"), F.lit("negative_sample").alias("source"), F.lit("").alias("country_code"),

@@ -22,6 +22,8 @@ QUAKE_RADIUS_KM = 100.0
 QUAKE_MIN_MAGNITUDE = 2.0
 QUAKE_FROM, QUAKE_TO = "2016-01-01", "2026-01-01"
 
+DISCHARGE_DAYS = 365
+
 
 def hub_height_wind(ws10: Column) -> Column:
     """Wind at hub height from a 10 m mast by the power law."""
@@ -64,10 +66,18 @@ def terrain_features(stencil: DataFrame, site: str = "site_id") -> DataFrame:
                        F.when(full, F.greatest(*five) - F.least(*five)).alias("head_m"))
 
 
-def discharge_features(readings: DataFrame, site: str = "site_id", value: str = "discharge") -> DataFrame:
-    """Mean of the valid (non-negative) daily discharges per site."""
+def in_trailing_days(ts: Column, as_of: Column, days: int = DISCHARGE_DAYS) -> Column:
+    """True for times in the ``days`` days up to ``as_of``, which counts in."""
+    return (ts > as_of - F.make_interval(days=F.lit(days))) & (ts <= as_of)
+
+
+def discharge_features(readings: DataFrame, as_of: Column, site: str = "site_id", value: str = "discharge", ts: str = "ts") -> DataFrame:
+    """Mean of the valid (non-negative) daily discharges per site over the year up to ``as_of``.
+
+    Sites without a reading in that year have no row.
+    """
     v = F.col(value)
-    return readings.groupBy(site).agg(F.avg(F.when(v >= 0, v)).alias("discharge_m3s"))
+    return readings.filter(in_trailing_days(F.col(ts), as_of)).groupBy(site).agg(F.avg(F.when(v >= 0, v)).alias("discharge_m3s"))
 
 
 def discharge_mean(series: Column) -> Column:

@@ -124,3 +124,25 @@ def hash_cuts(df: DataFrame, group: str, u: str, key: str, ranks: Column) -> Dat
 
 
 HASH_BUCKET_SHIFT = 16   # 65 536 buckets
+
+
+def first_in_order(df: DataFrame, group: str, position: Column, key: str, goal: Column, shift: int) -> DataFrame:
+    """The first ``goal`` rows of each group along (position, key), for goals that may grow with the group.
+
+    ``position`` is a non-negative integer, ``goal`` constant within a group and ``group`` has few values. Rows are counted
+    per bucket of ``2 ** shift`` positions; only the bucket in which the goal is reached is ordered. All other
+    rows are compared with the cut found there, so no window or task sees a whole group.
+    """
+    placed = df.select("*", position.cast("bigint").alias("_at"), goal.cast("bigint").alias("_rows"))
+    slim = placed.select(group, "_rows", "_at", F.col(key).alias("_k"), F.shiftright("_at", shift).alias("_b"))
+    counts = slim.groupBy(group, "_rows", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = counts.withColumn("_to", F.sum("_c").over(Window.partitionBy(group).orderBy("_b")))
+    edge = upto.filter((F.col("_to") >= F.col("_rows")) & (F.col("_to") - F.col("_c") < F.col("_rows")))
+    # At most one bucket, and then one cut, per group.
+    near = slim.join(F.broadcast(edge.select(group, "_b", (F.col("_rows") - F.col("_to") + F.col("_c")).alias("_want"))), [group, "_b"])
+    order = Window.partitionBy(group, "_b").orderBy("_at", "_k")
+    cut = near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == F.col("_want")).select(
+        group, F.struct("_at", "_k").alias("_cut"))
+    joined = placed.join(F.broadcast(cut), group, "left")
+    inside = F.col("_cut").isNull() | (F.struct(F.col("_at"), F.col(key).alias("_k")) <= F.col("_cut"))
+    return joined.filter(inside & (F.col("_rows") > 0)).select(*df.columns)

@@ -202,8 +202,8 @@ def _world_candidates(pyramid: Pyramid) -> DataFrame:
     """For every cell of the globe, the non-empty cells that may hold the nearest point.
 
     Bounds between cells use centres and half diagonals, so the table serves all
-    sites of a cell. Both sides are cells of the globe (at most 1225), whatever
-    the size of the data; that also bounds the broadcast of the result.
+    sites of a cell. Points are on the globe, so both sides are at most 1225 cells,
+    whatever the size of the data; that also bounds the broadcast of the result.
     """
     cells = pyramid.level(0).select("ky", "kx", "mlat", "mlon").collect()   # at most 1225 rows
     half = math.radians(WORLD_CELL) * math.sqrt(0.5) * SLACK
@@ -229,14 +229,21 @@ def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], axis=1)
 
 
+def on_globe(lat: Column, lon: Column) -> Column:
+    return F.coalesce(lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0), F.lit(False))
+
+
 def nearest_feature(sites: DataFrame, points: DataFrame, site_id: str, point_id: str,
                     leaf_points: int = LEAF_POINTS) -> DataFrame:
     """Nearest point on the sphere at any distance; ties go to the smallest id.
 
+    Points without valid coordinates are no candidates. Every site has a row; one
+    without valid coordinates, or without any point, has no nearest one (NULL).
+
     A site starts from the candidate cells of its own cell of the globe, drops
     those that its exact position rules out, and descends into the rest.
     """
-    pyramid = build_pyramid(points, point_id, WORLD_CELL, leaf_points)
+    pyramid = build_pyramid(points.filter(on_globe(F.col("lat"), F.col("lon"))), point_id, WORLD_CELL, leaf_points)
     candidates = F.broadcast(_world_candidates(pyramid))
 
     def near(c: Column) -> Column:
@@ -246,7 +253,7 @@ def nearest_feature(sites: DataFrame, points: DataFrame, site_id: str, point_id:
         return KILOMETRES.at_least(F.col("slat"), F.col("slon"), _centre(c["ky"], 90.0, WORLD_CELL),
                                    _centre(c["kx"], 180.0, WORLD_CELL), WORLD_CELL)
 
-    located = _site_rows(sites, site_id).withColumns({
+    located = _site_rows(sites, site_id).filter(on_globe(F.col("slat"), F.col("slon"))).withColumns({
         "hy": _index(F.col("slat"), 90.0, WORLD_CELL), "hx": _index(F.col("slon"), 180.0, WORLD_CELL)})
     frontier = (
         located.join(candidates, ["hy", "hx"])
@@ -256,8 +263,9 @@ def nearest_feature(sites: DataFrame, points: DataFrame, site_id: str, point_id:
         .select("sid", "slat", "slon", F.col("c.ky").alias("ky"), F.col("c.kx").alias("kx")))
     frontier = _descend_nearest(frontier, pyramid, KILOMETRES, None)
     hits = _nearest_in_leaves(frontier, pyramid, KILOMETRES, None, True)
-    return hits.select(F.col("sid").alias(site_id), F.col("hit.pid").alias("nearest_id"),
-                       F.col("hit.distance").alias("distance"))
+    found = hits.select(F.col("sid").alias(site_id), F.col("hit.pid").alias("nearest_id"),
+                        F.col("hit.distance").alias("distance"))
+    return sites.select(site_id).join(found, site_id, "left")
 
 
 def _no_cell() -> Column:

@@ -113,22 +113,31 @@ def negatives_sql(name: str, n: str, m: str, seed: str, style: str, occupied: st
             f"{name} AS (SELECT candidate, lat, lon FROM (SELECT *, row_number() OVER (ORDER BY candidate) AS rn FROM {name}_cand c WHERE {land} AND NOT {near}) WHERE rn<={n})")
 
 
-_N_SOLAR = "(SELECT count(*) FROM locations WHERE energy_type='solar')"
+def _n_type(energy_type: str) -> str:
+    return f"(SELECT count(*) FROM locations WHERE energy_type='{energy_type}')"
 
 
 def _negatives(spark, d, style):
-    """As many negatives as there are solar sites, from four candidates each."""
+    """As many negatives of every type as it has sites."""
     locs = frame(spark, d, "locations")
-    n = locs.filter(F.col("energy_type") == "solar").count()
-    return dataset.negatives_by_type(locs, {"solar": n}, {"solar": 4 * n}, 42, style).select("candidate", "lat", "lon")
+    wanted = {r[0]: r[1] for r in locs.groupBy("energy_type").count().collect()}   # one row per energy type
+    return dataset.negatives_by_type(locs, wanted, 42, style).select("energy_type", "candidate", "lat", "lon")
 
 
-@query("negatives_v1", cte("locations") + ", " + negatives_sql("neg", _N_SOLAR, f"4*{_N_SOLAR}", "42:solar", "spaced", "SELECT * FROM locations WHERE energy_type='solar'") + " SELECT * FROM neg")
+def _negatives_sql(style: str) -> str:
+    """Eight candidates per wanted row are more than enough here."""
+    own = lambda t: f"SELECT * FROM locations WHERE energy_type='{t}'" if style == "spaced" else "SELECT * FROM locations"
+    parts = ", ".join(negatives_sql(f"neg_{t}", _n_type(t), f"8*{_n_type(t)}", f"42:{t}", style, own(t)) for t in scalar.ENERGY_TYPES)
+    return cte("locations") + ", " + parts + " " + " UNION ALL ".join(
+        f"SELECT '{t}' AS energy_type, candidate, lat, lon FROM neg_{t}" for t in scalar.ENERGY_TYPES)
+
+
+@query("negatives_v1", _negatives_sql("spaced"))
 def negatives_v1(spark, d):
     return _negatives(spark, d, "spaced")
 
 
-@query("negatives_v2", cte("locations") + ", " + negatives_sql("neg", _N_SOLAR, f"4*{_N_SOLAR}", "42:solar", "sampled", "SELECT * FROM locations") + " SELECT * FROM neg")
+@query("negatives_v2", _negatives_sql("sampled"))
 def negatives_v2(spark, d):
     return _negatives(spark, d, "sampled")
 
@@ -143,7 +152,7 @@ _NEG_PARTS = ", ".join(negatives_sql(f"neg_{t}", str(n), str(n * 4), f"42:{t}",
     f" UNION ALL SELECT 'n{t}' || cast(candidate AS varchar), '{t}', 0, '', lat, lon, {REGION_NEG} FROM neg_{t}" for t in dataset.TARGETS) +
     f") SELECT sample_id, energy_type, label, country_code, region, round(lat, 6) AS lat, round(lon, 6) AS lon, {u_sql('sample_id')} AS shuffle_key FROM al")
 def build_dataset(spark, d):
-    out = dataset.build_dataset(frame(spark, d, "locations"), dataset.TARGETS, "loc_id", attempts=4)
+    out = dataset.build_dataset(frame(spark, d, "locations"), dataset.TARGETS, "loc_id")
     return out.select("sample_id", "energy_type", "label", "country_code", "region", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "shuffle_key")
 
 
@@ -156,17 +165,16 @@ def _goals(sql: str, targets: dict) -> str:
         "SELECT loc_id, energy_type FROM f WHERE k<=goal", "").rstrip()
 
 
-_SMALL_TARGETS = {t: (p // 4, n // 4) for t, (p, n) in dataset.TARGETS_POLYGONS.items()}
-_NEG_SPACED = ", ".join(negatives_sql(f"neg_{t}", str(n), str(n * 4), f"42:{t}", "spaced", f"SELECT * FROM locations WHERE energy_type='{t}'") for t, (_, n) in _SMALL_TARGETS.items())
+_NEG_SPACED = ", ".join(negatives_sql(f"neg_{t}", str(n), str(n * 4), f"42:{t}", "spaced", f"SELECT * FROM locations WHERE energy_type='{t}'") for t, (_, n) in dataset.TARGETS_POLYGONS.items())
 _BOXES_SQL = "CASE " + " ".join(f"WHEN lat>={s} AND lat<={n} AND lon>={w} AND lon<={e} THEN '{name}'" for name, s, n, w, e in scalar.CONTINENT_BOXES) + " ELSE 'Other' END"
 
 
-@query("build_dataset_polygons", _goals(_positives_sql(_ROUND_CELL, "ceil(goal/cells*3)"), _SMALL_TARGETS) + f", {_NEG_SPACED}, al AS (SELECT 'p' || cast(f.loc_id AS varchar) AS sample_id, f.energy_type, 1 AS label, l.lat, l.lon FROM f JOIN locations l ON f.loc_id=l.loc_id AND f.k<=f.goal"
-       + "".join(f" UNION ALL SELECT 'n{t}' || cast(candidate AS varchar), '{t}', 0, lat, lon FROM neg_{t}" for t in _SMALL_TARGETS)
+@query("build_dataset_polygons", _goals(_positives_sql(_ROUND_CELL, "ceil(goal/cells*3)"), dataset.TARGETS_POLYGONS) + f", {_NEG_SPACED}, al AS (SELECT 'p' || cast(f.loc_id AS varchar) AS sample_id, f.energy_type, 1 AS label, l.lat, l.lon FROM f JOIN locations l ON f.loc_id=l.loc_id AND f.k<=f.goal"
+       + "".join(f" UNION ALL SELECT 'n{t}' || cast(candidate AS varchar), '{t}', 0, lat, lon FROM neg_{t}" for t in dataset.TARGETS_POLYGONS)
        + f") SELECT sample_id, energy_type, label, {_BOXES_SQL} AS region FROM al")
 def build_dataset_polygons(spark, d):
     """The polygon-based variant: spaced negatives per type, continent boxes."""
-    out = dataset.build_dataset(frame(spark, d, "locations"), _SMALL_TARGETS, "loc_id", attempts=4, style="spaced")
+    out = dataset.build_dataset(frame(spark, d, "locations"), dataset.TARGETS_POLYGONS, "loc_id", style="spaced")
     return out.select("sample_id", "energy_type", "label", "region")
 
 

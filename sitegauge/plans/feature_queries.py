@@ -55,16 +55,26 @@ def slope_from_stencil(spark, d):
     return features.terrain_features(_stencil(spark, d)).withColumn("slope_degrees", F.round("slope_degrees", 6))
 
 
-@query("discharge_mean", cte("readings") + " SELECT site_id, round(avg(CASE WHEN discharge>=0 THEN discharge END), 9) AS discharge_m3s FROM readings GROUP BY 1")
+# The readings are of January 2024; the year up to this day leaves the first half of them out.
+_AS_OF = "2025-01-16"
+_YEAR_SQL = f"ts>TIMESTAMP '{_AS_OF}'-INTERVAL 365 DAY AND ts<=TIMESTAMP '{_AS_OF}'"
+
+
+def _as_of():
+    return F.lit(_AS_OF).cast("timestamp_ntz")
+
+
+@query("discharge_mean", cte("readings") + f" SELECT site_id, round(avg(CASE WHEN discharge>=0 THEN discharge END), 9) AS discharge_m3s FROM readings WHERE {_YEAR_SQL} GROUP BY 1")
 def discharge_mean(spark, d):
-    return features.discharge_features(frame(spark, d, "readings")).withColumn("discharge_m3s", F.round("discharge_m3s", 9))
+    return features.discharge_features(frame(spark, d, "readings"), _as_of()).withColumn("discharge_m3s", F.round("discharge_m3s", 9))
 
 
-@query("discharge_mean_array", cte("readings") + ", g AS (SELECT site_id, cast(ts AS date) AS day, sum(discharge) AS q FROM readings GROUP BY 1,2) "
+@query("discharge_mean_array", cte("readings") + f", g AS (SELECT site_id, cast(ts AS date) AS day, sum(discharge) AS q FROM readings WHERE {_YEAR_SQL} GROUP BY 1,2) "
        "SELECT site_id, round(avg(CASE WHEN q>=0 THEN q END), 9) AS discharge_m3s FROM g GROUP BY 1")
 def discharge_mean_array(spark, d):
-    """One array per site with a value per day (at most a year of days)."""
-    days = frame(spark, d, "readings").groupBy("site_id", F.col("ts").cast("date").alias("day")).agg(F.sum("discharge").alias("q"))
+    """One array per site with a value per day of a year."""
+    recent = frame(spark, d, "readings").filter(features.in_trailing_days(F.col("ts"), _as_of()))
+    days = recent.groupBy("site_id", F.col("ts").cast("date").alias("day")).agg(F.sum("discharge").alias("q"))
     series = days.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("day", "q"))).alias("s"))
     values = F.transform("s", lambda x: x["q"])
     return series.select("site_id", F.round(features.discharge_mean(values), 9).alias("discharge_m3s"))
@@ -92,14 +102,14 @@ def watershed_ndvi(spark, d):
 
 
 @query("assemble_measurements", cte("sites", "climatology", "terrain", "readings", "quakes") + f", pw AS ({_POWER}), te AS ({_TERRAIN}), "
-       "di AS (SELECT site_id, round(avg(CASE WHEN discharge>=0 THEN discharge END), 9) AS discharge_m3s FROM readings GROUP BY 1), " + _QUAKES +
+       f"di AS (SELECT site_id, round(avg(CASE WHEN discharge>=0 THEN discharge END), 9) AS discharge_m3s FROM readings WHERE {_YEAR_SQL} GROUP BY 1), " + _QUAKES +
        " SELECT s.site_id, pw.* EXCLUDE (site_id), te.* EXCLUDE (site_id), di.discharge_m3s, qf.earthquake_count_10yr, qf.earthquake_density FROM sites s "
        "LEFT JOIN pw USING (site_id) LEFT JOIN te USING (site_id) LEFT JOIN di USING (site_id) LEFT JOIN qf USING (site_id)")
 def assemble_measurements(spark, d):
     sites = frame(spark, d, "sites").select("site_id", "lat", "lon")
     out = features.assemble(
         sites, _power(spark, d), features.terrain_features(_stencil(spark, d)),
-        features.discharge_features(frame(spark, d, "readings")), features.quake_features(sites, frame(spark, d, "quakes")))
+        features.discharge_features(frame(spark, d, "readings"), _as_of()), features.quake_features(sites, frame(spark, d, "quakes")))
     return out.drop("lat", "lon").withColumns({
         "slope_degrees": F.round("slope_degrees", 6), "discharge_m3s": F.round("discharge_m3s", 9),
         "earthquake_density": F.round("earthquake_density", 9)})

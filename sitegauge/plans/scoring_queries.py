@@ -9,7 +9,7 @@ from sitegauge.functions.factors import CATALOG, TYPE_WEIGHTS, catalog_frame, we
 from sitegauge.functions.scalar import (
     ENERGY_TYPES, confidence_band, event_risk_band, hash_order, ml_verdict, report_round, risk_gauge_band)
 from sitegauge.operators import scoring
-from sitegauge.operators.ranking import top_n
+from sitegauge.operators.ranking import exact_rank, top_n
 from sitegauge.operators.scoring import Scorecard
 from sitegauge.plans.fixtures import cte, frame
 from sitegauge.plans.registry import add, query
@@ -245,20 +245,23 @@ _BARE = ", ".join(f"NULL::double AS {c}" for c in (
     "ghi_kwh_m2_day", "wind_speed_ms", "avg_temp_c", "cloud_fraction", "precipitation_mm_day", "elevation_m", "slope_degrees",
     "head_m", "discharge_m3s", "earthquake_density", "direction_consistency", "roughness_length_m", "watershed_ndvi",
     "heat_flow_mwm2", "fault_distance_km", "grid_distance_km", "road_distance_km", "flood_probability", "protected_area_distance_km"))
-_COMPARE_SQL = (cte("sites") + f", everything AS (SELECT * EXCLUDE (energy_type, label), 'site' AS name FROM sites UNION ALL BY NAME "
+_COMPARE_SQL = (cte("sites", "embedded") + f", everything AS (SELECT * EXCLUDE (energy_type, label), 'site' AS name FROM sites UNION ALL BY NAME "
                 f"SELECT p.id AS site_id, p.lat, p.lon, {_BARE}, NULL::varchar AS flood_zone, NULL::boolean AS in_protected_area, p.name FROM (VALUES {_PRESETS}) p(id, name, lat, lon)), "
+                "near AS (SELECT site_id, ml_score FROM (SELECT s.site_id, e.ml_score, row_number() OVER (PARTITION BY s.site_id ORDER BY sqrt((s.lat-e.lat)*(s.lat-e.lat)+(s.lon-e.lon)*(s.lon-e.lon)), e.vec_id) AS rn "
+                "FROM everything s JOIN embedded e ON abs(s.lat-e.lat)<=0.5 AND abs(s.lon-e.lon)<=0.5 AND sqrt((s.lat-e.lat)*(s.lat-e.lat)+(s.lon-e.lon)*(s.lon-e.lon))<0.5) WHERE rn=1), "
                 f"factors AS (SELECT *, {_MATRIX} FROM everything), s AS (SELECT site_id, name, round({overall_sql('solar')}, 9) AS overall_score FROM factors) "
-                "SELECT site_id, name, overall_score, place FROM (SELECT *, row_number() OVER (ORDER BY overall_score DESC, site_id) AS place FROM s) WHERE place<=20")
+                "SELECT site_id, name, overall_score, ml_score, row_number() OVER (ORDER BY overall_score DESC, site_id) AS place FROM s LEFT JOIN near USING (site_id)")
 
 
 @query("compare_presets", _COMPARE_SQL)
 def compare_presets(spark, d):
-    """The twenty best of all sites and the presets, ranked (a top-k report)."""
+    """All sites and all presets with factor and model score, ranked by the former."""
     own = sites(spark, d).drop("energy_type", "label").withColumn("name", F.lit("site"))
     both = own.unionByName(scoring.presets_frame(spark).drop("state"), allowMissingColumns=True)
-    scored = _rounded(scoring.score_sites(both, Scorecard.of("solar")), "overall_score")
-    ranked = top_n(scored.select("site_id", "name", "overall_score"), [], [F.col("overall_score").desc(), "site_id"], 20, "place")
-    return ranked.select("site_id", "name", "overall_score", F.col("place").cast("bigint").alias("place"))
+    scored = _rounded(scoring.score_sites(both, Scorecard.of("solar")), "overall_score").select("site_id", "name", "overall_score")
+    model = scoring.ml_score_nearest(both, frame(spark, d, "embedded")).select("site_id", "ml_score")
+    ranked = exact_rank(scored.withColumn("_low", -F.col("overall_score")), [], ["_low", "site_id"], "place")
+    return ranked.join(model, "site_id", "left").select("site_id", "name", "overall_score", "ml_score", "place")
 
 
 @query("pos_neg_mean_score", FACTORS_CTE + ", s AS (SELECT site_id, energy_type, label, CASE energy_type "
