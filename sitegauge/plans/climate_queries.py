@@ -61,16 +61,18 @@ def ssp_interpolate(spark, d):
         for n, v in (("dt", "temperature"), ("dp", "precipitation"))])
 
 
-@query("segment_lead", cte("sites") + ", " + _SEGMENTS + f", base AS (SELECT site_id, greatest(2030, least(2099, {_YEAR})) AS yr FROM sites) "
-       "SELECT site_id, scenario, round(d0+(yr-y0)/(y1-y0)::double*(d1-d0), 9) AS dt FROM base JOIN seg ON yr>=y0 AND yr<y1 WHERE variable='temperature'")
+@query("segment_lead", cte("sites") + ", " + _SEGMENTS + f", base AS (SELECT site_id, greatest(2030, least(2100, {_YEAR})) AS yr FROM sites) "
+       "SELECT site_id, scenario, variable, round(d0+(yr-y0)/(y1-y0)::double*(d1-d0), 9) AS delta FROM base JOIN seg ON yr>=y0 AND (yr<y1 OR yr=y1 AND y1=2100)")
 def segment_lead(spark, d):
-    """The same interpolation through the segment table, unrolled to a row per year (a constant of 280 rows)."""
-    seg = climate.segments(climate.knots_frame(spark)).filter((F.col("variable") == "temperature") & F.col("y1").isNotNull())
-    rows = frame(spark, d, "sites").select("site_id", F.greatest(F.lit(2030), F.least(F.lit(2099), F.expr(_YEAR))).alias("yr"))
-    yearly = seg.select("*", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("yr"))
+    """The same interpolation through the segment table, unrolled to a row per year (a constant of some 570 rows)."""
+    seg = climate.segments(climate.knots_frame(spark)).filter(F.col("y1").isNotNull())
+    rows = frame(spark, d, "sites").select("site_id", F.greatest(F.lit(2030), F.least(F.lit(2100), F.expr(_YEAR))).alias("yr"))
+    # The last segment of a scenario holds its end as well.
+    last = F.when(F.col("y1") == 2100, F.col("y1")).otherwise(F.col("y1") - 1)
+    yearly = seg.select("*", F.explode(F.sequence(F.col("y0"), last)).alias("yr"))
     joined = rows.join(F.broadcast(yearly), "yr")
-    dt = F.col("d0") + (F.col("yr") - F.col("y0")) / (F.col("y1") - F.col("y0")).cast("double") * (F.col("d1") - F.col("d0"))
-    return joined.select("site_id", "scenario", F.round(dt, 9).alias("dt"))
+    delta = F.col("d0") + (F.col("yr") - F.col("y0")) / (F.col("y1") - F.col("y0")).cast("double") * (F.col("d1") - F.col("d0"))
+    return joined.select("site_id", "scenario", "variable", F.round(delta, 9).alias("delta"))
 
 
 @query("climate_defaults", cte("sites") + f" SELECT site_id, {_KNOWN} AS scenario, coalesce(ghi_kwh_m2_day, 4.5::double) AS ghi, coalesce(wind_speed_ms, 5::double) AS wind, "

@@ -295,15 +295,12 @@ def spatial_cv_eligibility(spark, d):
     return reports.eligible_groups(frame(spark, d, "embedded"), "country_code")
 
 
-_HOLD = (cte("locations") + ", y AS (SELECT *, try_cast(operating_year AS int) AS built FROM locations WHERE energy_type='geothermal'), tr AS (SELECT DISTINCT lat, lon FROM y WHERE built<2020 AND country_code='NATION_1'), "
+_HOLD = (cte("locations") + ", y AS (SELECT *, try_cast(operating_year AS int) AS built FROM locations), tr AS (SELECT DISTINCT lat, lon FROM y WHERE built<2020), "
          "te AS (SELECT * FROM y WHERE built>=2020), tp AS (SELECT DISTINCT lat, lon FROM te), "
          f"nr AS (SELECT tp.lat, tp.lon, min({hav('tp', 'tr')}) AS km FROM tp, tr GROUP BY 1,2)")
 
 
 @query("temporal_holdout", _HOLD + " SELECT te.loc_id, round(km, 6) AS train_km, km>200 AS independent FROM te JOIN nr ON nr.lat=te.lat AND nr.lon=te.lon")
 def temporal_holdout(spark, d):
-    """Late geothermal sites against the early ones of one country."""
-    geo = frame(spark, d, "locations").filter(F.col("energy_type") == "geothermal")
-    early = (F.col("operating_year") < "2020") & (F.col("country_code") != "NATION_1")
-    out = reports.temporal_holdout(geo.filter(~early), "loc_id")
+    out = reports.temporal_holdout(frame(spark, d, "locations"), "loc_id")
     return out.select("loc_id", F.round("train_km", 6).alias("train_km"), "independent")

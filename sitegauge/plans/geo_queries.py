@@ -75,11 +75,10 @@ def exclude_near_cells(spark, d):
     return spatial.exclude_near(frame(spark, d, "sites").select("site_id", "lat", "lon"), occupied).select("site_id")
 
 
-@query("exclude_same_cell", cte("sites", "locations") + ", pos AS (SELECT DISTINCT round_even(lat/0.05::double, 0) AS cy, round_even(lon/0.05::double, 0) AS cx FROM locations WHERE energy_type='wind') "
+@query("exclude_same_cell", cte("sites", "locations") + ", pos AS (SELECT DISTINCT round_even(lat/0.05::double, 0) AS cy, round_even(lon/0.05::double, 0) AS cx FROM locations) "
        "SELECT site_id FROM sites s WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE p.cy=round_even(s.lat/0.05::double, 0) AND p.cx=round_even(s.lon/0.05::double, 0))")
 def exclude_same_cell(spark, d):
-    occupied = frame(spark, d, "locations").filter(F.col("energy_type") == "wind")
-    return spatial.exclude_same_cell(frame(spark, d, "sites").select("site_id", "lat", "lon"), occupied).select("site_id")
+    return spatial.exclude_same_cell(frame(spark, d, "sites").select("site_id", "lat", "lon"), frame(spark, d, "locations")).select("site_id")
 
 
 def _crossings(point: str) -> str:
@@ -93,10 +92,9 @@ def point_in_polygon(spark, d):
     return spatial.point_in_polygon(frame(spark, d, "sites"), ring_frame(frame(spark, d, "polygons")), "site_id", "osm_id")
 
 
-@query("land_mask_polygons", cte("sites", "polygons") + f" SELECT DISTINCT s.site_id FROM sites s JOIN polygons g ON abs(s.lat-g.y1)<3 AND abs(s.lon-g.x1)<3 WHERE ({_crossings('s')})%2=1 AND g.osm_id%3=0")
+@query("land_mask_polygons", cte("sites", "polygons") + f" SELECT DISTINCT s.site_id FROM sites s JOIN polygons g ON abs(s.lat-g.y1)<3 AND abs(s.lon-g.x1)<3 WHERE ({_crossings('s')})%2=1")
 def land_mask_polygons(spark, d):
-    land = ring_frame(frame(spark, d, "polygons")).filter(F.col("osm_id") % 3 == 0)
-    return spatial.on_land(frame(spark, d, "sites"), land, "site_id", "osm_id").select("site_id")
+    return spatial.on_land(frame(spark, d, "sites"), ring_frame(frame(spark, d, "polygons")), "site_id", "osm_id").select("site_id")
 
 
 @query("idw_interpolate", cte("sites", "heat_points") + f", p AS (SELECT s.site_id, h.heat_flow_mwm2 AS v, {hav('s', 'h')} AS dist FROM sites s JOIN heat_points h ON abs(s.lat-h.lat)<1), "
@@ -118,10 +116,14 @@ def reverse_geocode(spark, d):
 _BOXES = ", ".join(f"('{n}', {s}::double, {w}::double, {t}::double, {e}::double)" for n, s, w, t, e in osm.QUERY_BOXES)
 
 
-@query("assign_source_region_box", cte("locations") + f" SELECT l.loc_id, b.box FROM locations l JOIN (VALUES {_BOXES}) b(box, south, west, north, east) ON l.lat BETWEEN south AND north AND l.lon BETWEEN west AND east WHERE l.energy_type='wind'")
+@query("assign_source_region_box", cte("locations") + f" SELECT l.loc_id, b.box FROM locations l JOIN (VALUES {_BOXES}) b(box, south, west, north, east) ON l.lat BETWEEN south AND north AND l.lon BETWEEN west AND east WHERE l.energy_type='wind' OR b.box<>'North America'")
 def assign_source_region_box(spark, d):
-    wind = frame(spark, d, "locations").filter(F.col("energy_type") == "wind").select("loc_id", "lat", "lon")
-    return spatial.region_box_rows(wind, osm.query_boxes("wind")).select("loc_id", "box")
+    """Wind is collected in all boxes, every other type in all but one."""
+    locs = frame(spark, d, "locations")
+    wind, rest = locs.filter(F.col("energy_type") == "wind"), locs.filter(F.col("energy_type") != "wind")
+    hits = [spatial.region_box_rows(part.select("loc_id", "lat", "lon"), osm.query_boxes(kind)).select("loc_id", "box")
+            for part, kind in ((wind, "wind"), (rest, "solar"))]
+    return hits[0].unionByName(hits[1])
 
 
 # -- cells, regions, distances ----------------------------------------------

@@ -106,9 +106,7 @@ def pred_label_pairing(spark, d):
        "SELECT round(sum(neg*(tp-pos/2.0::double))/(sum(pos)*sum(neg)), 9) AS auc_roc, count(*) AS n_scores FROM c")
 def temporal_distance_auc(spark, d):
     """The distance-only baseline of the temporal hold-out: nearer to an early site means more likely."""
-    geo = frame(spark, d, "locations").filter(F.col("energy_type") == "geothermal")
-    early = (F.col("operating_year") < "2020") & (F.col("country_code") != "NATION_1")
-    late = temporal_holdout(geo.filter(~early), "loc_id")
+    late = temporal_holdout(frame(spark, d, "locations"), "loc_id")
     rows = late.select((-F.round("train_km", 6)).alias("y_prob"), (F.col("loc_id") % 8 == 3).cast("int").alias("y_true"))
     scores = rows.select("y_prob").distinct().agg(F.count(F.lit(1)).alias("n_scores")).withColumn("_one", F.lit(1))
     return metrics.rank_metrics(rows).withColumn("_one", F.lit(1)).join(F.broadcast(scores), "_one").select(
