@@ -36,15 +36,21 @@ SAMPLE_BYTES = 8 << 10
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 BLOCK_BYTES = 1 << 20
-WIDTH = 4
 
 _IDS = "doc_id bigint, n_tokens bigint, ids binary"
 _BLOCK = ("shard int, block int, start bigint, doc_ids array<bigint>, counts array<bigint>, offsets array<bigint>, "
           "data binary, lowest bigint, highest bigint, dictionary string")
 
 
+def id_width(vocabulary: str | None = None) -> int:
+    """Bytes that hold every id of the vocabulary: 2 or 4."""
+    return 2 if encoder(vocabulary or public_vocabulary()).tokenizer.get_vocab_size() <= 1 << 16 else 4
+
+
 def serialise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Each document's ids, end id included, as little-endian 32-bit integers."""
+    """Each document's ids, end id included, as little-endian integers of ``id_width`` bytes."""
+    width = id_width(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(vocabulary or public_vocabulary())
         for batch in batches:
@@ -52,7 +58,7 @@ def serialise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             for first, ids, ends in words.documents(batch.column(1)):
                 offsets = np.concatenate([[0], ends])
                 binary = pa.Array.from_buffers(pa.large_binary(), len(ends), [
-                    None, pa.py_buffer((offsets * WIDTH).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
+                    None, pa.py_buffer((offsets * width).astype(np.int64)), pa.py_buffer(ids.astype(f"<u{width}"))])
                 yield pa.RecordBatch.from_arrays(
                     [docs.slice(first, len(ends)), pa.array(np.diff(offsets)), binary.cast(pa.binary())],
                     names=["doc_id", "n_tokens", "ids"])
@@ -118,7 +124,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
     ids = load(spark, save(serialise(docs, vocabulary), "ids"))
     dictionary = train(ids)
     spark.createDataFrame(
-        [(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary), WIDTH)],
+        [(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary), id_width(vocabulary))],
         "dictionary string, bytes binary, width int").write.parquet(f"{path}/dictionary")
     # Frames are compressed already; the ids travel in Spark's own compressed shuffle.
     (ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
@@ -131,15 +137,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
         .select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).write.parquet(f"{path}/shards"))
 
 
-def _opened(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
+def _opened(spark: SparkSession, path: str) -> tuple[DataFrame, bytes, int]:
     kept = load(spark, f"{path}/dictionary").first()
     if hashlib.sha256(kept["bytes"]).hexdigest() != kept["dictionary"]:
         raise ValueError("the dictionary does not match its hash")
     # The shards join the blocks while these are still compressed.
-    return load(spark, f"{path}/blocks").join(load(spark, f"{path}/shards"), "shard"), bytes(kept["bytes"])
+    return load(spark, f"{path}/blocks").join(load(spark, f"{path}/shards"), "shard"), bytes(kept["bytes"]), kept["width"]
 
 
-def _decompress(dictionary: bytes, wanted: frozenset[int] | None = None):
+def _decompress(dictionary: bytes, width: int, wanted: frozenset[int] | None = None):
     name = hashlib.sha256(dictionary).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +162,8 @@ def _decompress(dictionary: bytes, wanted: frozenset[int] | None = None):
                 docs = row["doc_ids"].as_py()
                 take = range(len(docs)) if wanted is None else [k for k, d in enumerate(docs) if d in wanted]
                 for part in (take[k:k + 256] for k in range(0, len(take), 256)):
-                    ids = [expand.decompress(data[int(offsets[k]):int(offsets[k + 1])]) for k in part]
+                    frames = (expand.decompress(data[int(offsets[k]):int(offsets[k + 1])]) for k in part)
+                    ids = [f if width == 4 else np.frombuffer(f, "<u2").astype("<u4").tobytes() for f in frames]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([docs[k] for k in part], pa.int64()), pa.array(starts[list(part)]), pa.array(counts[list(part)]),
                          pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
@@ -167,16 +174,16 @@ _DOCUMENT = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """All documents: ``doc_id``, ``start`` (ids of all documents before), ``n_tokens``, ``ids``."""
-    blocks, dictionary = _opened(spark, path)
-    return blocks.mapInArrow(_decompress(dictionary), _DOCUMENT)
+    """All documents: ``doc_id``, ``start`` (ids of all documents before), ``n_tokens``, ``ids`` (little-endian 32-bit)."""
+    blocks, dictionary, width = _opened(spark, path)
+    return blocks.mapInArrow(_decompress(dictionary, width), _DOCUMENT)
 
 
 def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """The ids of single documents: only blocks that may hold them are read, only their frames decompressed."""
-    blocks, dictionary = _opened(spark, path)
+    blocks, dictionary, width = _opened(spark, path)
     near = F.lit(False)
     for doc in doc_ids:
         near = near | ((F.col("lowest") <= doc) & (F.col("highest") >= doc))
-    found = blocks.filter(near).mapInArrow(_decompress(dictionary, frozenset(doc_ids)), _DOCUMENT)
+    found = blocks.filter(near).mapInArrow(_decompress(dictionary, width, frozenset(doc_ids)), _DOCUMENT)
     return found
