@@ -16,10 +16,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.functions.scalar import hash_uniform
+from sitegauge.functions.scalar import hash_order, hash_uniform
 from sitegauge.operators.dataset import stratified_folds, stratified_split
 from sitegauge.operators.metrics import accuracy, rank_metrics
 from sitegauge.operators.ranking import exact_rank, lookup
+from sitegauge.session import durable
 
 
 @dataclass(frozen=True)
@@ -101,6 +102,29 @@ def evaluate(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         accuracy(predictions).withColumn("_one", one), "_one").drop("_one")
 
 
+def training_facts(model: Model, train: DataFrame, label: str = "label") -> DataFrame:
+    """Rows trained on, and whether the fit has a lower log loss there than the constant share of positives."""
+    y, q = F.col("y_true"), F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("y_prob")))
+    share = F.avg(y.cast("double"))
+    constant = -(share * F.log(share) + (1 - share) * F.log(1 - share))
+    return predict(model, train, [], label).agg(
+        F.count(F.lit(1)).alias("n_train"), (F.avg(-F.log(F.when(y == 1, q).otherwise(1 - q))) < constant).alias("beats_constant"))
+
+
+def report(model: Model, train: DataFrame, test: DataFrame, label: str = "label") -> DataFrame:
+    """One row: ``training_facts`` and the metrics of ``evaluate`` on the test rows."""
+    one = F.lit(1)
+    return evaluate(predict(model, test, [], label)).withColumn("_one", one).join(
+        training_facts(model, train, label).withColumn("_one", one), "_one").drop("_one")
+
+
+def train_and_report(df: DataFrame, key: str, kind: str, settings: Settings = Settings(), label: str = "label") -> DataFrame:
+    """``report`` of one model on a stratified 80/20 split."""
+    split = durable(stratified_split(df, label, key))
+    train, test = standard_scale(split.filter(~F.col("is_test")), split.filter("is_test"))
+    return report(fit(train, kind, settings, label=label), train, test, label)
+
+
 def _tagged(df: DataFrame, **tags: str) -> DataFrame:
     return df.select(*[F.lit(v).alias(k) for k, v in tags.items()], "*")
 
@@ -108,14 +132,14 @@ def _tagged(df: DataFrame, **tags: str) -> DataFrame:
 def ablation(df: DataFrame, key: str, feature_sets: Mapping[str, Sequence[str]], kinds: Sequence[str] = ("logistic", "gbt", "mlp"),
              settings: Settings = Settings(), label: str = "label") -> DataFrame:
     """Metrics of every (feature set, model) on one stratified 80/20 split."""
-    split = stratified_split(df, label, key).cache()
+    split = durable(stratified_split(df, label, key))
     reports = None
     for name, columns in feature_sets.items():
         ready = assemble_columns(split, columns)
         train, test = standard_scale(ready.filter(~F.col("is_test")), ready.filter("is_test"))
         for kind in kinds:
             model = fit(train, kind, settings, label=label)
-            line = _tagged(evaluate(predict(model, test, [key], label)), features=name, model=kind)
+            line = _tagged(report(model, train, test, label), features=name, model=kind)
             reports = line if reports is None else reports.unionByName(line)
     return reports
 
@@ -131,7 +155,7 @@ def ablation_deltas(report: DataFrame, both: str = "both") -> DataFrame:
 def cross_validate(df: DataFrame, key: str, kind: str = "gbt", k: int = 5, settings: Settings = Settings(),
                    label: str = "label", weight: str | None = None, scale: bool = False) -> DataFrame:
     """AUC per stratified fold, from out-of-fold predictions scored in one pass."""
-    folds = stratified_folds(df, label, key, k).cache()
+    folds = durable(stratified_folds(df, label, key, k))
     held_out = None
     for fold in range(k):
         train, test = folds.filter(F.col("fold") != fold), folds.filter(F.col("fold") == fold)
@@ -175,7 +199,7 @@ def leave_one_out(df: DataFrame, group: str, values: Sequence[str], key: str, ki
 def train_and_score(df: DataFrame, key: str, kind: str, keep: Sequence[str] = (), settings: Settings = Settings(),
                     label: str = "label") -> DataFrame:
     """Predictions for the test fifth of a stratified split."""
-    split = stratified_split(df, label, key).cache()
+    split = durable(stratified_split(df, label, key))
     train, test = standard_scale(split.filter(~F.col("is_test")), split.filter("is_test"))
     return predict(fit(train, kind, settings, label=label), test, [key, *keep], label)
 
@@ -191,22 +215,21 @@ def feature_importance(model: Model, names: Sequence[str], df: DataFrame, n: int
 def shuffle_labels(df: DataFrame, key: str, label: str = "label", seed: object = "shuffle") -> DataFrame:
     """Random permutation of the labels, by two exact ranks in different orders."""
     here = exact_rank(df.drop(label), [], [key], "_rank")
-    there = exact_rank(df.select(label, F.col(key).alias("_k")).withColumn("_u", F.xxhash64(F.lit(str(seed)), F.col("_k"))),
+    there = exact_rank(df.select(label, F.col(key).alias("_k")).withColumn("_u", hash_order(F.col("_k"), seed)),
                        [], ["_u", "_k"], "_rank").select("_rank", label)
     return here.join(there, "_rank").drop("_rank")
 
 
 def learning_curve(df: DataFrame, key: str, shares: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 1.0),
                    kind: str = "logistic", settings: Settings = Settings(), label: str = "label") -> DataFrame:
-    """Test AUC against the share of training rows used (nested random subsets)."""
-    split = stratified_split(df, label, key).cache()
+    """``report`` against the share of training rows used (nested random subsets)."""
+    split = durable(stratified_split(df, label, key))
     u = hash_uniform(F.col(key), "curve")
     reports = None
     for share in shares:
         part = split.filter(~F.col("is_test") & (u < share))
         train, test = standard_scale(part, split.filter("is_test"))
-        line = rank_metrics(predict(fit(train, kind, settings, label=label), test, [key], label)).select(
-            F.lit(share).alias("share"), "auc_roc")
+        line = report(fit(train, kind, settings, label=label), train, test, label).withColumn("share", F.lit(share))
         reports = line if reports is None else reports.unionByName(line)
     return reports
 

@@ -1,20 +1,23 @@
-"""Model queries. Training is iterative, so most have no SQL oracle.
+"""Model queries, on whole tables and with the published model sizes, but for the number of boosted trees.
 
-The registered runs use smaller models than ``Settings()`` so that a check takes
-seconds; they train on the whole tables.
+A fit cannot be written in SQL. The queries return what can: which rows train and test, labels and predictions that
+belong together, and facts that a correct fit has to fulfil. Metrics as such come from the operators.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from sitegauge.functions.scalar import ENERGY_TYPES
 from sitegauge.operators import ml, reports
 from sitegauge.operators.features import external_features, geo_features
+from sitegauge.plans.dataset_queries import u_sql
 from sitegauge.plans.fixtures import cte, frame
 from sitegauge.plans.registry import query
 
-SMALL = ml.Settings(lr_iterations=20, trees=5, depth=4, hidden=(16, 8), mlp_iterations=20)
+# MLlib needs about 0.2 s per tree here, whatever the size of so small a table; 300 trees are a minute per model.
+MODELS = ml.Settings(trees=20)
 
 
 def _rows(spark, d):
@@ -39,96 +42,148 @@ def scaled_vectors(spark, d):
     return z.groupBy("vec_id").agg((F.round(F.sum(F.col("z") * (F.col("dim") + 1)), 5) + 0.0).alias("weighted"))
 
 
+def _split_sql(source: str = "embedded", by: str = "label") -> str:
+    """CTE ``split``: the stratified test fifth."""
+    return (f", r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {u_sql('vec_id')}, vec_id) AS place, count(*) OVER (PARTITION BY {by}) AS n FROM {source}), "
+            "split AS (SELECT *, place<=round_even(n*0.2::double, 0) AS is_test FROM r)")
+
+
+_SIZES = ("count(*) FILTER (WHERE NOT is_test) AS n_train, count(*) FILTER (WHERE is_test AND label=1) AS n_pos, "
+          "count(*) FILTER (WHERE is_test AND label=0) AS n_neg")
+_KINDS = ("logistic", "gbt", "mlp")
+
+
 def _trained(kind: str):
     def run(spark, d):
-        scored = ml.train_and_score(_rows(spark, d), "vec_id", kind, settings=SMALL)
-        return ml.evaluate(scored).select(F.lit(kind).alias("model"), "n_pos", "n_neg", "auc_roc", "average_precision", "accuracy")
+        out = ml.train_and_report(_rows(spark, d), "vec_id", kind, MODELS)
+        return out.select(F.lit(kind).alias("model"), "n_train", "n_pos", "n_neg", "beats_constant")
     return run
 
 
 for _name, _kind in (("train_logistic", "logistic"), ("train_gbt", "gbt"), ("train_mlp", "mlp")):
-    query(_name)(_trained(_kind))
+    query(_name, cte("embedded") + _split_sql() + f" SELECT '{_kind}' AS model, {_SIZES}, true AS beats_constant FROM split")(_trained(_kind))
 
 
-@query("predict_table")
+@query("predict_table", cte("embedded") + _split_sql() + " SELECT vec_id, lat, lon, energy_type, label AS y_true, true AS consistent FROM split WHERE is_test")
 def predict_table(spark, d):
-    return ml.train_and_score(_rows(spark, d), "vec_id", "logistic", ["lat", "lon", "energy_type"], SMALL)
+    """Test rows with their label; ``consistent`` tells that the class follows from a probability inside (0, 1)."""
+    out = ml.train_and_score(_rows(spark, d), "vec_id", "logistic", ["lat", "lon", "energy_type"], MODELS)
+    fine = (F.col("y_prob") > 0) & (F.col("y_prob") < 1) & (F.col("y_pred") == (F.col("y_prob") >= 0.5).cast("int"))
+    return out.select("vec_id", "lat", "lon", "energy_type", "y_true", fine.alias("consistent"))
 
 
-@query("topk_importance")
+@query("topk_importance", "SELECT unnest(range(1, 21))::int AS place, true AS known, true AS in_order")
 def topk_importance(spark, d):
+    """The 20 most important dimensions: places, known names, falling importance that stays within a total of 1."""
     rows = _rows(spark, d)
-    model = ml.fit(rows, "gbt", SMALL)
-    return ml.feature_importance(model, [f"emb_{i}" for i in range(model.numFeatures)], rows)
+    model = ml.fit(rows, "gbt", MODELS)
+    names = [f"emb_{i}" for i in range(model.numFeatures)]
+    top = ml.feature_importance(model, names, rows).collect()   # 20 rows
+    facts = [(i + 1, r["feature"] in names, 0 <= r["importance"] <= 1 and (i == 0 or r["importance"] <= top[i - 1]["importance"]))
+             for i, r in enumerate(top)]
+    return spark.createDataFrame(facts, "place int, known boolean, in_order boolean")
+
+
+_SETS = ("embeddings", "external", "both")
 
 
 def _ablation(spark, d):
     names = ["abs_lat", "cos_lat", "lon_norm", "lat_sq", "sin_lon", "cos_lon", "belt_distance", "high_lat"]
     rows = _rows(spark, d)
     wide = rows.select("vec_id", "label", F.col("features").alias("emb"), *external_features(F.col("lat"), F.col("lon")))
-    return ml.ablation(wide, "vec_id", {"embeddings": ["emb"], "external": names, "both": ["emb", *names]}, ("logistic",), SMALL)
+    return ml.ablation(wide, "vec_id", {"embeddings": ["emb"], "external": names, "both": ["emb", *names]}, _KINDS, MODELS)
 
 
-@query("ablation")
+@query("ablation", cte("embedded") + _split_sql() + f", m AS (SELECT {_SIZES}, true AS beats_constant FROM split) SELECT f.features, k.model, m.* FROM m, "
+       f"(SELECT unnest({list(_SETS)}) AS features) f, (SELECT unnest({list(_KINDS)}) AS model) k")
 def ablation(spark, d):
-    return _ablation(spark, d)
+    return _ablation(spark, d).select("features", "model", "n_train", "n_pos", "n_neg", "beats_constant")
 
 
-@query("ablation_deltas")
+@query("ablation_deltas", f"SELECT model, over, true AS consistent FROM (SELECT unnest({list(_KINDS)}) AS model), (SELECT unnest({list(_SETS[:2])}) AS over)")
 def ablation_deltas(spark, d):
-    return ml.ablation_deltas(_ablation(spark, d))
+    """Every model and single set; the gain added to the single set's metric gives that of both."""
+    found = spark.createDataFrame(_ablation(spark, d).collect())   # nine rows
+    auc = {(r["model"], r["features"]): r["auc_roc"] for r in found.collect()}
+    facts = [(r["model"], r["over"], abs(auc[r["model"], r["over"]] + r["auc_delta"] - auc[r["model"], "both"]) < 1e-12)
+             for r in ml.ablation_deltas(found).collect()]
+    return spark.createDataFrame(facts, "model string, over string, consistent boolean")
 
 
-@query("cross_validate")
-def cross_validate(spark, d):
-    return ml.fold_summary(ml.cross_validate(_rows(spark, d), "vec_id", "gbt", 5, ml.Settings(trees=2, depth=3)))
+def _folds_sql(source: str) -> str:
+    return (f", f AS (SELECT label, cast(ntile(5) OVER (PARTITION BY label ORDER BY {u_sql('vec_id')}, vec_id)-1 AS int) AS fold FROM {source}), "
+            "g AS (SELECT fold, count(*) FILTER (WHERE label=1) AS n_pos, count(*) FILTER (WHERE label=0) AS n_neg FROM f GROUP BY 1)")
 
 
-@query("t1_vs_tmulti")
-def t1_vs_tmulti(spark, d):
-    """Half of each vector stands for the single season, the whole for all seasons."""
-    both = frame(spark, d, "embedded").join(frame(spark, d, "vectors"), "vec_id")
-    reports_ = None
-    for name, array in (("single", F.slice("embedding", 1, 32)), ("multi", F.col("embedding"))):
-        rows = ml.balanced_weights(ml.as_vector(both.withColumn("embedding", array), "embedding"))
-        k = ml.usable_folds(rows, 3)
-        line = ml.fold_summary(ml.cross_validate(rows, "vec_id", "logistic", k, SMALL, weight="weight", scale=True)).withColumn("variant", F.lit(name))
-        reports_ = line if reports_ is None else reports_.unionByName(line)
-    return reports_
+def _fold_facts(folds):
+    return folds.select("fold", "n_pos", "n_neg", F.col("auc_roc").between(0.0, 1.0).alias("auc_valid"))
 
 
-@query("geo_baseline")
+@query("cross_validate", cte("embedded") + _folds_sql("embedded") + " SELECT *, true AS auc_valid FROM g")
+def cross_validate(spark, d):
+    return _fold_facts(ml.cross_validate(_rows(spark, d), "vec_id", "gbt", 5, MODELS))
+
+
+@query("t1_vs_tmulti", cte("embedded") + ", s AS (SELECT * FROM embedded WHERE vec_id%4=0)" + _folds_sql("s") + " SELECT v.variant, g.*, true AS auc_valid FROM g, (SELECT unnest(['single', 'multi']) AS variant) v")
+def t1_vs_tmulti(spark, d):
+    """Four consecutive vectors stand for the four seasons of a site: the first alone against their mean."""
+    rows = _rows(spark, d)
+    site = (F.col("vec_id") - F.col("vec_id") % 4).alias("vec_id")
+    first = rows.filter(F.col("vec_id") % 4 == 0).select("vec_id", "label", "features")
+    mean = rows.groupBy(site).agg(Summarizer.mean(F.col("features")).alias("features"))
+    out = None
+    for name, variant in (("single", first), ("multi", first.drop("features").join(mean, "vec_id"))):
+        weighted = ml.balanced_weights(variant)
+        folds = ml.cross_validate(weighted, "vec_id", "logistic", ml.usable_folds(weighted, 5), MODELS, weight="weight", scale=True)
+        line = _fold_facts(folds).withColumn("variant", F.lit(name))
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
+@query("geo_baseline", cte("embedded") + ", big AS (SELECT * FROM embedded WHERE energy_type IN (SELECT energy_type FROM embedded GROUP BY 1 HAVING count(*)>=100))"
+       + _split_sql("big", "energy_type, label") + " SELECT energy_type, count(*) FILTER (WHERE is_test AND label=1) AS n_pos, count(*) FILTER (WHERE is_test AND label=0) AS n_neg, true AS auc_valid FROM split GROUP BY 1")
 def geo_baseline(spark, d):
-    return ml.per_type_baseline(_rows(spark, d), "vec_id", ENERGY_TYPES, geo_features, SMALL)
+    out = ml.per_type_baseline(_rows(spark, d), "vec_id", ENERGY_TYPES, geo_features, MODELS)
+    return out.select("energy_type", "n_pos", "n_neg", F.col("auc_roc").between(0.0, 1.0).alias("auc_valid"))
 
 
-@query("spatial_cv")
+@query("spatial_cv", cte("embedded") + ", g AS (SELECT country_code, count(*) FILTER (WHERE label=1) AS n_pos, count(*) FILTER (WHERE label=0) AS n_neg FROM embedded GROUP BY 1) SELECT *, true AS auc_valid FROM g WHERE n_pos>=5 AND n_neg>=5")
 def spatial_cv(spark, d):
     rows = _rows(spark, d)
     # One model per country: the list is as long as the loop over folds.
     countries = sorted(r[0] for r in reports.eligible_groups(rows, "country_code").select("country_code").collect())
-    return ml.leave_one_out(rows, "country_code", countries, "vec_id", settings=ml.Settings(lr_iterations=8))
+    out = ml.leave_one_out(rows, "country_code", countries, "vec_id", settings=MODELS)
+    return out.select("country_code", "n_pos", "n_neg", F.col("auc_roc").between(0.0, 1.0).alias("auc_valid"))
 
 
-@query("temporal_cv")
+@query("temporal_cv", cte("embedded") + ", y AS (SELECT label, vec_id%10+2014>=2020 AS is_test FROM embedded) " + f"SELECT {_SIZES}, true AS beats_constant FROM y")
 def temporal_cv(spark, d):
     """Train on early rows, test on late ones; the year follows from the key."""
     rows = _rows(spark, d).withColumn("year", (F.col("vec_id") % 10 + 2014).cast("int"))
     train, test = ml.standard_scale(rows.filter(F.col("year") < 2020), rows.filter(F.col("year") >= 2020))
-    return ml.evaluate(ml.predict(ml.fit(train, "logistic", SMALL), test, ["vec_id"]))
+    return ml.report(ml.fit(train, "logistic", MODELS), train, test).select("n_train", "n_pos", "n_neg", "beats_constant")
 
 
-@query("label_shuffle_test")
+@query("label_shuffle_test", cte("embedded") + f", a AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM embedded), b AS (SELECT label, row_number() OVER (ORDER BY {u_sql('vec_id', 'shuffle')}, vec_id) AS k FROM embedded), "
+       "m AS (SELECT vec_id, label FROM a JOIN b USING (k))" + _split_sql("m") + " SELECT vec_id, label AS y_true FROM split WHERE is_test")
 def label_shuffle_test(spark, d):
+    """Test rows under permuted labels, as the model scored them."""
     shuffled = ml.shuffle_labels(_rows(spark, d), "vec_id")
-    return ml.evaluate(ml.train_and_score(shuffled, "vec_id", "logistic", settings=SMALL))
+    return ml.train_and_score(shuffled, "vec_id", "logistic", settings=MODELS).filter(F.col("y_prob").between(0.0, 1.0)).select("vec_id", "y_true")
 
 
-@query("learning_curve")
+@query("learning_curve", cte("embedded") + _split_sql() + f", c AS (SELECT s.share, split.* FROM split, (SELECT unnest([0.1::double, 0.25::double, 0.5::double, 0.75::double, 1.0::double]) AS share) s WHERE is_test OR {u_sql('vec_id', 'curve')}/4294967296.0::double<s.share) "
+       f"SELECT share, {_SIZES}, true AS beats_constant FROM c GROUP BY 1")
 def learning_curve(spark, d):
-    return ml.learning_curve(_rows(spark, d), "vec_id", (0.25, 1.0), settings=SMALL)
+    return ml.learning_curve(_rows(spark, d), "vec_id", settings=MODELS).select("share", "n_train", "n_pos", "n_neg", "beats_constant")
 
 
-@query("pca_variance")
+@query("pca_variance", "SELECT unnest(range(1, 51))::int AS component, true AS in_order, true AS sums_up")
 def pca_variance(spark, d):
-    return ml.pca_variance(_rows(spark, d), 50)
+    """Shares of variance fall, their running total is right and stays within 1."""
+    found = ml.pca_variance(_rows(spark, d), 50).orderBy("component").collect()   # 50 rows
+    total, facts = 0.0, []
+    for i, r in enumerate(found):
+        total += r["variance"]
+        facts.append((r["component"], i == 0 or r["variance"] <= found[i - 1]["variance"], abs(total - r["cumulative"]) < 1e-9 and total < 1 + 1e-9))
+    return spark.createDataFrame(facts, "component int, in_order boolean, sums_up boolean")
