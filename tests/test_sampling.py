@@ -60,7 +60,7 @@ def test_nearest_feature_keeps_every_site(spark):
 
 def test_discharge_of_the_last_year_only(spark):
     day = lambda y, m, d: datetime.datetime(y, m, d)
-    rows = [(1, day(2020, 6, 1), 100.0), (1, day(2024, 6, 1), 10.0), (1, day(2024, 5, 1), -5.0), (1, day(2024, 6, 2), 90.0), (2, day(2023, 6, 2), 7.0)]
+    rows = [(1, day(2020, 6, 1), 100.0), (1, day(2024, 6, 1), 10.0), (1, day(2024, 5, 1), -5.0), (1, day(2024, 6, 2), 90.0), (2, day(2023, 6, 3), 7.0), (2, day(2023, 6, 2), 70.0)]
     df = spark.createDataFrame(rows, "site_id long, ts timestamp_ntz, discharge double")
     got = {r["site_id"]: r["discharge_m3s"] for r in features.discharge_features(df, F.lit("2024-06-01").cast("timestamp_ntz")).collect()}
     assert got == {1: 10.0, 2: 7.0}
