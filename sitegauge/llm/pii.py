@@ -17,6 +17,7 @@ collide after ``ATTEMPTS`` draws (the space of their format is used up) raise an
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,18 @@ GIVEN = {
 }
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Mme", "господин", "госпожа")
 
-_NAMES = "|".join(n for group in GIVEN.values() for n in group)
-_TITLES = "|".join(TITLES)
+
+
+def _any_of(words: Iterable[str]) -> str:
+    """Alternation grouped by first letter, so that most places are given up after one character."""
+    heads: dict[str, list[str]] = {}
+    for word in sorted(words):
+        heads.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{head}(?:{'|'.join(sorted(tails, key=len, reverse=True))})" for head, tails in heads.items())
+
+
+_NAMES = _any_of(n for group in GIVEN.values() for n in group)
+_TITLES = _any_of(TITLES)
 _GAP = r"[^\p{L}\p{N}\r\n]{1,6}"  # between groups of digits
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _WORD = r"\p{Lu}[\p{L}'’-]*+"
@@ -55,13 +66,15 @@ CARD = r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)|(?<![\d.])\d{4}[ -]?
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 ACCESS = r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])"
 HEX = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])"
-SECRET = r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[ \"']{0,2}[=:][ \"']{0,2})[A-Za-z0-9_./+-]{8,}"
-PERSON = (rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_NAMES})(?=\s\p{{Lu}}\p{{L}})"
+SECRET = r"(?<=[=:][ \"']{0,2})(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[ \"']{0,2}[=:][ \"']{0,2})[A-Za-z0-9_./+-]{8,}"
+PERSON = (rf"(?=\p{{Lu}})(?<!\p{{L}})(?:(?:{_NAMES})(?=\s\p{{Lu}}\p{{L}})"
           rf"|(?<=(?:^|[^\p{{L}}])(?:{_TITLES})\.?\s){_WORD}|(?<=(?:^|[^\p{{L}}])(?:{_NAMES})\s){_WORD})")
 
-ENTITY = "|".join((ACCESS, HEX, SECRET, EMAIL, IP, IBAN, CARD, PHONE, PERSON))
-#: Holds for every text with an entity; cheap to test.
-MAYBE = rf"[\d@]|(?i:password|passwd|pwd|secret|token|api_?key)|(?:{_TITLES}|{_NAMES})\.?\s"
+PLAIN = "|".join((ACCESS, HEX, SECRET, EMAIL, IP, IBAN, CARD, PHONE))
+ENTITY = f"{PLAIN}|{PERSON}"
+#: One of these holds for every text with an entity; they are cheap to test.
+MAYBE_PLAIN = r"[\d@=:]|[a-fA-F]{32}"
+MAYBE_PERSON = rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLES}|{_NAMES})\.?\s\p{{Lu}}"
 
 _VOWELS = {"latin": "aeiou", "accented": "áéíóúàèìòùâêîôû", "cyrillic": "аеиоуыэюя", "greek": "αεηιοω"}
 _CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзклмнпрстфхцчшщ", "greek": "βγδζθκλμνξπρσφχψ"}
@@ -69,8 +82,14 @@ _CONSONANTS = {"latin": "bcdfghjklmnpqrstvwxyz", "cyrillic": "бвгджзклм
 
 def mentions(text: Column) -> Column:
     """All entity mentions of a text in order; empty for NULL."""
-    found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    return F.when(text.rlike(MAYBE), found).otherwise(F.array().cast("array<string>"))
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(MAYBE_PERSON), found(ENTITY)).when(text.rlike(MAYBE_PLAIN), found(PLAIN)).otherwise(
+        F.array().cast("array<string>"))
+
+
+def between(text: Column) -> Column:
+    """What stands between the mentions, one part more than there are mentions."""
+    return F.when(text.rlike(MAYBE_PERSON), F.split(text, ENTITY, -1)).otherwise(F.split(text, PLAIN, -1))
 
 
 def _whole(pattern: str) -> str:
@@ -197,8 +216,7 @@ def pseudonymise(docs: DataFrame, key: str, keep: list[str]) -> DataFrame:
         "mentions", F.transform("pairs", lambda p: p["spelled"]).alias("spelled")), "mapped")
     hit = tagged.filter(F.size("mentions") > 0).join(mapped, "mentions")
     # What stands between mentions, then each mention's surrogate.
-    between = F.split("text", ENTITY, -1)
-    woven = F.array_join(F.zip_with(between, F.col("spelled"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    woven = F.array_join(F.zip_with(between(F.col("text")), F.col("spelled"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     names = [F.col(f"kept_{k}").alias(k) for k in keep]
     clean = tagged.filter(F.size("mentions") == 0).select(*names, "text", F.lit(0).alias("entities"))
     return hit.select(*names, woven.alias("text"), F.size("mentions").alias("entities")).unionByName(clean)
