@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 1
-CHUNK_BYTES = 16 << 20
-CACHED_WORDS = 1_000_000
+CHUNK_BYTES = 4 << 20   # workers live on, and so does the most memory that a chunk has needed
+CACHED_WORDS = 500_000
 _MARKS = r"([A-Za-z])([,.!%#$&*]+)"
 
 
@@ -67,8 +67,11 @@ class WordEncoder:
         if len(self.words) + len(words) > CACHED_WORDS:
             self._forget()
         known = pc.index_in(words, value_set=self.words)
-        self._learn(words.filter(pc.is_null(known)))
-        at = pc.index_in(words, value_set=self.words).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = pc.is_null(known)
+        at = pc.fill_null(known, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = new.to_numpy(zero_copy_only=False)
+        at[fresh] = len(self.words) + np.arange(fresh.sum())
+        self._learn(words.filter(new))
         at = at[lower.indices.to_numpy(zero_copy_only=False)][coded.indices.to_numpy(zero_copy_only=False)] \
             if len(words) else np.zeros(0, np.int64)
         counts = (self.first[1:] - self.first[:-1])[at]
