@@ -213,6 +213,8 @@ def keep_unique(docs: DataFrame, history: Index | None = None) -> DataFrame:
     stay = tagged.join(gone, same(tagged, gone), "left_anti")
     # Rows alike in id and digest of which one is to stay: not in a clean table.
     twice = keys.filter("kept AND copies > 1").select("doc_id", "digest")
+    if twice.isEmpty():
+        return stay.select(*docs.columns)
     single = stay.join(twice, same(stay, twice), "left_anti")
     longest = stay.join(twice, same(stay, twice), "left_semi").groupBy("doc_id", "_digest").agg(
         F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), F.xxhash64(*docs.columns))).alias("best"))
