@@ -300,6 +300,31 @@ def test_surrogates_stay_distinct(spark):
         pii.assign(spark.createDataFrame([("name", v) for v in "aeiou"], "kind string, canonical string"), "key", attempts=2)
 
 
+def test_surrogates_of_full_formats(spark, monkeypatch):
+    """Every name of the format exists, or all but a few: the rest of the format is used up, then surrogates become longer."""
+    monkeypatch.setattr(pii, "ATTEMPTS", 3)
+    full = [c + v for c in "bcdfghjklmnpqrstvwxyz" for v in "aeiou"]
+    entities = [("name", n) for n in [*full[:104], *"aeiou", "ab", "eb"]] + [("phone", str(n)) for n in range(20000, 100000, 7)] + [
+        ("card", "4" * 15 + str(d)) for d in range(10)] + [("ip", "1.1.1.1"), ("email", "a@b.co"), ("email", "e@c.co")]
+    got = pii.assign(spark.createDataFrame(entities, "kind string, canonical string"), "key").collect()
+    made = [(r["kind"], r["surrogate"]) for r in got]
+    assert sorted((r["kind"], r["canonical"]) for r in got) == sorted(entities) and len(set(made)) == len(made) and not set(made) & set(entities)
+    names = [r["surrogate"] for r in got if r["canonical"] in full]
+    assert sum(len(n) == 2 for n in names) == 1 and all(re.fullmatch("[^aeiou][aeiou][^aeiou]?", n) for n in names)
+    assert all(r["wide"] == 0 for r in got if r["kind"] in ("phone", "ip", "email"))
+    docs = spark.createDataFrame([(k, f"Mr. {c.upper()}{v} and MRS. X") for k, (c, v) in enumerate(full)], "doc_id long, text string")
+    texts = [r["text"] for r in pii.pseudonymise(docs, "key", ["doc_id"]).collect()]
+    assert len(set(texts)) == len(full) and all(re.fullmatch("Mr. [B-Z][aeiou][^aeiou] and MRS. X", t) for t in texts)
+
+
+def test_surrogates_beside_initials(spark):
+    docs = spark.createDataFrame([(1, "John A. Smith, Mary E. Jones, Paul I. Brown"), (2, "Dr. J. R. Watson"), (3, "Mary O'Brien. John A. is")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, "key", ["doc_id"]).collect()}
+    assert re.fullmatch(r"\w+ A\. \w{5}, \w+ E\. \w{5}, \w+ I\. \w{5}", got[1]) and not re.search("John|Smith|Mary|Jones|Paul|Brown", got[1])
+    assert re.fullmatch(r"Dr\. J\. R\. \w{6}", got[2]) and "Watson" not in got[2]
+    assert re.fullmatch(r"\w+ [AEIOU]'\w{5}\. John A\. is", got[3]) and not re.search("Mary|Brien", got[3])
+
+
 # Quality
 
 def test_gradients_match_differences():
