@@ -1,4 +1,4 @@
-"""Model queries, on whole tables and with the published model sizes, but for the number of boosted trees.
+"""Model queries, on whole tables and with the published model sizes.
 
 A fit cannot be written in SQL. The queries return what can: which rows train and test, labels and predictions that
 belong together, and facts that a correct fit has to fulfil. Metrics as such come from the operators.
@@ -16,8 +16,7 @@ from sitegauge.plans.dataset_queries import u_sql
 from sitegauge.plans.fixtures import cte, frame
 from sitegauge.plans.registry import query
 
-# MLlib needs about 0.2 s per tree here, whatever the size of so small a table; 300 trees are a minute per model.
-MODELS = ml.Settings(trees=20)
+MODELS = ml.Settings()
 
 
 def _rows(spark, d):

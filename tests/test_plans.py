@@ -30,3 +30,9 @@ def test_scan_reads_only_what_is_used(spark, sf_dir):
     plan = _plan(spark, sf_dir, "calibration_bins")
     schema = [line for line in plan.splitlines() if "ReadSchema" in line]
     assert schema and "l_extendedprice" not in schema[0] and "l_shipdate" not in schema[0]
+
+
+def test_model_queries_have_the_published_sizes():
+    from sitegauge.operators import ml
+    from sitegauge.plans import ml_queries
+    assert ml_queries.MODELS == ml.Settings() and ml_queries.MODELS.trees == 300
