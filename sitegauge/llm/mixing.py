@@ -5,14 +5,15 @@ patterns reach the driver (at most ``MAX_PATTERNS``, else an error). There, a fl
 A pattern offers its size once for free and again at rising cost, up to ``MAX_COPIES`` times, so repeats are used last and are spread over
 patterns. Then every pattern takes its documents in a seeded hash order: all of them as often as the flow covers the whole
 pattern, and the first ones once more (or all but the first ones, if these are fewer) until the rest is used up. The place of the cut is
-found by summing sizes over hash digits, one digit per pass; then ``FILL`` passes add the largest document that still fits.
+found by summing sizes over hash digits, one digit per pass. Where rows of equal hash stand at the cut, it goes on over the digits of a second hash,
+of their saved number, until less than one document is open; then ``FILL`` passes add the largest document that still fits.
 
 Quotas: sources in code point order, NULL last, weigh 1, 2, 3, 1, 2, 3, ... and share the total size; no quota exceeds ``MAX_COPIES`` times its
 source's size, the excess is shared again by weight.
 
 * A document's size is its number of words; NULL text has none. Documents without words, sources of size zero: nothing is taken.
 * NULL or empty ``sources`` count as the NULL source; repeated names count once. The draw depends on seed, id and text only; rows equal
-  in these are drawn in row order. An empty table gives an empty result. Extra columns are ignored.
+  in these are interchangeable. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,16 +115,16 @@ def _augmenting(start: int, patterns: list, flow: list, left: dict, members: dic
     return None
 
 
-def _cut(rows: DataFrame, rest: dict[int, int]) -> tuple[dict[int, tuple[int, int]], dict[int, int]]:
-    """Where each pattern's hash order passes ``rest`` tokens: (first hash not taken), and the tokens still open there."""
+def _cut(rows: DataFrame, rest: dict[int, int], hashed: str = "draw") -> tuple[dict[int, int], dict[int, int]]:
+    """Where each pattern's order of ``hashed`` passes ``rest`` tokens: (first hash not taken), and the tokens still open there."""
     spark = rows.sparkSession
     bits = DIGIT_BITS * DIGITS
     found = {p: (0, r) for p, r in rest.items()}  # prefix of the hash, tokens open from its start
     for digit in range(1, DIGITS + 1):
         at = spark.createDataFrame([(p, prefix, open_) for p, (prefix, open_) in found.items()], "pattern int, prefix bigint, open bigint")
         inside = rows.join(F.broadcast(at), "pattern").filter(
-            F.shiftright("draw", bits - DIGIT_BITS * (digit - 1)) == F.col("prefix"))
-        sums = inside.groupBy("pattern", "open", F.shiftright("draw", bits - DIGIT_BITS * digit).alias("next")).agg(F.sum("size").alias("size"))
+            F.shiftright(hashed, bits - DIGIT_BITS * (digit - 1)) == F.col("prefix"))
+        sums = inside.groupBy("pattern", "open", F.shiftright(hashed, bits - DIGIT_BITS * digit).alias("next")).agg(F.sum("size").alias("size"))
         # At most 2^DIGIT_BITS sums per pattern.
         listed = sums.groupBy("pattern", "open").agg(F.array_sort(F.collect_list(F.struct("next", "size"))).alias("sums"))
         passed = F.aggregate("sums", F.struct(F.lit(-1).cast("bigint").alias("next"), F.col("open").alias("open")),
@@ -162,27 +163,35 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MAX_COP
     numbered = spark.createDataFrame([(r["sources"], p, whole[p], sum(totals[s] for s in patterns[p][0]), float(sum(quotas[s] for s in patterns[p][0])))
                                       for p, r in enumerate(sizes)], "sources string, pattern int, whole bigint, source_size bigint, target double")
     # At most MAX_PATTERNS short rows.
-    known = rows.join(F.broadcast(numbered), "sources")
+    tie = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("row")), 64 - DIGIT_BITS * DIGITS)
+    known = rows.join(F.broadcast(numbered), "sources").withColumn("tie", tie)
     # Where more than half is to be taken once more, the documents to leave out are drawn instead.
     inverse = {p: 2 * r > patterns[p][1] for p, r in rest.items()}
     wanted = {p: patterns[p][1] - r if inverse[p] else r for p, r in rest.items() if r > 0}
-    slim = known.select("pattern", "draw", "size", "row")
+    slim = known.select("pattern", "draw", "tie", "size", "row")
     bounds, open_ = _cut(slim, wanted) if wanted else ({}, {})
+    ties = dict.fromkeys(bounds, 0)
+    if any(open_.values()):
+        # Rows of one hash, such as copies without an id, are told apart by their number.
+        at = spark.createDataFrame([(p, bounds[p]) for p, o in open_.items() if o], "pattern int, bound bigint")
+        equal = slim.join(F.broadcast(at), "pattern").filter("draw = bound").drop("bound")
+        found, left = _cut(equal, {p: o for p, o in open_.items() if o}, "tie")
+        ties, open_ = ties | found, open_ | left
     more: dict[int, list[int]] = {}
     for _ in range(FILL):
         if not any(open_.values()):
             break
-        at = spark.createDataFrame([(p, bounds[p], o, more.get(p, [])) for p, o in open_.items()],
-                                   "pattern int, bound bigint, open bigint, more array<bigint>")
+        at = spark.createDataFrame([(p, bounds[p], ties[p], o, more.get(p, [])) for p, o in open_.items()],
+                                   "pattern int, bound bigint, tied bigint, open bigint, more array<bigint>")
         fits = slim.join(F.broadcast(at), "pattern").filter(
-            "draw >= bound AND size > 0 AND size <= open AND NOT array_contains(more, row)")
+            "(draw > bound OR draw = bound AND tie >= tied) AND size > 0 AND size <= open AND NOT array_contains(more, row)")
         for r in fits.groupBy("pattern").agg(F.max(F.struct("size", (-F.col("draw")).alias("d"), (-F.col("row")).alias("r"))).alias("m")).collect():
             open_[r["pattern"]] -= r["m"]["size"]
             more.setdefault(r["pattern"], []).append(-r["m"]["r"])
-    cuts = spark.createDataFrame([(p, bounds[p], more.get(p, []), inverse[p]) for p in bounds],
-                                 "pattern int, bound bigint, more array<bigint>, inverse boolean")
+    cuts = spark.createDataFrame([(p, bounds[p], ties[p], more.get(p, []), inverse[p]) for p in bounds],
+                                 "pattern int, bound bigint, tied bigint, more array<bigint>, inverse boolean")
     chosen = known.join(F.broadcast(cuts), "pattern", "left")
-    drawn = (F.col("draw") < F.col("bound")) | F.array_contains("more", F.col("row"))
+    drawn = F.expr("draw < bound OR draw = bound AND tie < tied") | F.array_contains("more", F.col("row"))
     extra = F.coalesce((drawn != F.col("inverse")).cast("bigint"), F.lit(0))
     copies = F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(0))
     return chosen.select("doc_id", "size", F.col("sources").alias("pattern"), "source_size", "target",

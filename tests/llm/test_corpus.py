@@ -465,6 +465,13 @@ def test_mix_of_overlapping_sources(spark):
     assert {r["pattern"] for r in got} == {'["a"]', '["a","b"]', "[null]"} and all(r["copies"] <= 3 for r in got)
 
 
+@pytest.mark.parametrize("weights,taken", [((1, 2), 5000), ((2, 3), 6000)])
+def test_mix_cuts_between_equal_rows(spark, weights, taken):
+    rows = [(None, "w " * 10, ["a"])] * 1000 + [(i, "v " * 10, ["b"]) for i in range(500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, sources array<string>"), weights).collect()
+    assert len(got) == 1500 and sum(r["taken"] for r in got if r["pattern"] == '["a"]') == taken
+
+
 # Exact duplicates
 
 def test_perfect_hash():
