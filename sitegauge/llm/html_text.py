@@ -2,8 +2,8 @@
 
 Markup is stripped first: scripts, styles, comments, forms and other elements that never hold prose go with their content; block
 elements end a line. Every line knows whether it stands in a part of the page that is no article (navigation, header, footer, sidebar,
-notice, advert, reader comments, told by element, role, class or id) and how much of it is link text. Such lines, and lines that are mostly
-links, weigh nothing; all others weigh their length. The weights are summed over windows of ``WINDOW`` lines. A surge is a window
+notice, advert, reader comments, told by element, role, class or id) and how much of it is link text. Such lines, and lines outside
+article elements that are mostly links, weigh nothing; all others weigh their length. The weights are summed over windows of ``WINDOW`` lines. A surge is a window
 whose sum passes the threshold and stays above zero after it; a dive is where the windows have fallen to zero. The weighing
 lines between surge and dive are the text.
 
@@ -44,12 +44,11 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
                    "section table ul".split())
 _ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-#: Words in class, id or role that tell parts which are no article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|adverts|banner|sponsor|sponsored|promo|promoted|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
-    r"sidebar|side|widget|widgets|cookie|cookies|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|"
-    r"recommended|comment|comments|reply|replies|disqus|footer|header|masthead|pagination|pager|toolbar|search|complementary|contentinfo|tags)"
-    r"(?:$|[\s_-])", re.I)
+#: Whole names in class, id or role (also several joined by hyphens) that tell parts which are no article.
+_PART = (r"(?:ad|ads|adv|advert|advertisement|adverts|banner|sponsor|sponsored|promo|promoted|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
+         r"sidebar|side|widget|widgets|cookie|cookies|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|"
+         r"recommended|comment|comments|reply|replies|disqus|footer|header|masthead|pagination|pager|toolbar|search|complementary|contentinfo|tags)")
+BOILERPLATE = re.compile(rf"(?:^|\s){_PART}(?:[_-]{_PART})*(?:$|\s)", re.I)
 PROSE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main)(?:[\s_-](?:body|content|text))?(?:$|\s)", re.I)
 
 _TOKEN = re.compile(
@@ -59,7 +58,7 @@ _TOKEN = re.compile(
     r"|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|<[!?][^>]*>"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
-_MARKED = re.compile(r"\b(class|id|role|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WHITE = re.compile(r"\s+")
 
 Line = tuple[str, bool, bool, int]  # text, in an article element, in a part that is none, characters in links
@@ -127,7 +126,7 @@ def lines_of(html: str) -> list[Line]:
             silent, around, article, link = state
             silent = silent or name in SILENT
             if attributes and not silent and name not in ("body", "html"):
-                for key, *values in _MARKED.findall(attributes):
+                for key, *values in _ATTRIBUTE.findall(attributes):
                     key, value = key.lower(), "".join(values)
                     if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
                         silent = True
@@ -137,7 +136,8 @@ def lines_of(html: str) -> list[Line]:
                         elif PROSE.search(value):
                             article = True
             if name in ARTICLE:
-                article = True
+                # What holds the outermost article tells nothing about it; an article in a part of another one does not leave that part.
+                around, article = around and article, True
             elif name in AROUND and (name != "header" or not article):
                 around = True
             if attributes.endswith("/") and name not in INLINE and name not in ENDS_P:
@@ -153,7 +153,7 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not lines:
         return ""
     framed = any(article and not around for _, article, around, _ in lines)
-    weights = np.array([0 if around or (framed and not article) or linked > LINKED * len(text) else len(text)
+    weights = np.array([0 if around or (framed and not article) or (not article and linked > LINKED * len(text)) else len(text)
                         for text, article, around, linked in lines])
     # sums[i]: lines i to i + window - 1.
     padded = np.concatenate([weights, np.zeros(window - 1, int)])

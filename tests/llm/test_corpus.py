@@ -243,6 +243,17 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<article><p>a</p><p><a href=x>a whole paragraph of link</a></p></article>", "a\na whole paragraph of link"),
+    ("<div class='content has-sidebar'><article><p>a</p></article></div>", "a"),
+    ("<div class='page-with-header'><article><p>a</p></article></div>", "a"), ("<div class=sidebar><main><p>a</p></main></div>", "a"),
+    ("<article aria-hidden='false'><p title='a hidden gem'>a</p><p data-role=menu>b</p><p hidden>c</p></article>", "a\nb"),
+    ("<article><p>a</p><section id=comments><article>no</article></section><div class='cookie-notice'>no</div></article>", "a"),
+])
+def test_main_text_drops_nothing_else(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_extract_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article>a</article>", "clash"), (1, "u", "<article>a</article>", "clash"), (2, None, None, None)],
                                   "page_id long, url string, html string, text string")
