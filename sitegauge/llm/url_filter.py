@@ -6,7 +6,7 @@ rule, else allowed. An explicit rule always wins over what the class says, so an
 blocked aliases. All of it is DataFrame work.
 
 An address is a url without its fragment, host in lower case. Edges come from ``<link rel=canonical>`` and ``<meta
-http-equiv=refresh>`` of a page's html (absolute addresses, and paths on the same host), or from a redirect table given by the caller.
+http-equiv=refresh>`` of a page's html (absolute or relative to the page or its ``<base href>``), or from a redirect table given by the caller.
 
 * NULL urls and urls without ``://`` have empty host and path, match no rule, and take part in no class: they are allowed.
 * Repeated rows are judged alike and all returned. Rules of equal length cannot both fit one url unless they are the same rule; then
@@ -84,13 +84,30 @@ def _by_number(values: list, number: Column) -> Column:
     return F.get(F.lit(values), number)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root without ``.`` and ``..``."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), lambda a, p: F.when(p == ".", a).when(
+        p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
+    open_ = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(open_, F.lit("/")).otherwise(F.lit("")))
+
+
 def _resolved(target: Column, base: Column) -> Column:
-    """Absolute form of a link on the page ``base``; NULL for links this cannot resolve."""
+    """Absolute form of a link on the page ``base``; NULL for links with a scheme but no host (mail, scripts)."""
     scheme = F.substring_index(base, "://", 1)
     origin = F.concat(scheme, F.lit("://"), host_of(base))
-    return (F.when(F.instr(target, "://") > 0, target)
+    path = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(base), r"(?s)^/(.*/)", 1))
+    page = F.concat(origin, F.when(path_of(base) == "", F.lit("/")).otherwise(path_of(base)))
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
             .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
-            .when(F.startswith(target, F.lit("/")), F.concat(origin, target)))
+            .when(F.startswith(target, F.lit("/")), F.concat(origin, _without_dots(path), rest))
+            .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+            .when(F.startswith(target, F.lit("?")), F.concat(page, target))
+            .when(F.startswith(target, F.lit("#")), F.concat(F.substring_index(base, "#", 1), target))
+            .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), rest)))
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
@@ -102,8 +119,10 @@ def page_edges(pages: DataFrame) -> DataFrame:
     target = F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract("tag", href, 1), F.lit("")),
                                          F.nullif(F.regexp_extract("tag", refresh, 1), F.lit(""))), "&amp;", "&")
     linking = pages.filter(F.col("html").rlike(r"(?i)\b(?:canonical|refresh)\b"))
-    links = linking.select("url", F.explode(tags).alias("tag")).select("url", target.alias("target"))
-    return links.select(address_of(F.col("url")).alias("a"), address_of(_resolved(F.col("target"), F.col("url"))).alias("b"))
+    given = F.regexp_replace(F.nullif(F.regexp_extract("html", r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")), "&amp;", "&")
+    base = F.coalesce(_resolved(given, F.col("url")), F.col("url"))
+    links = linking.select("url", base.alias("base"), F.explode(tags).alias("tag")).select("url", "base", target.alias("target"))
+    return links.select(address_of(F.col("url")).alias("a"), address_of(_resolved(F.col("target"), F.col("base"))).alias("b"))
 
 
 def filter_urls(pages: DataFrame, edges: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:

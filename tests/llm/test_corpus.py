@@ -229,6 +229,17 @@ def test_url_aliases(spark):
     assert url_filter.filter_urls(pages.limit(0), url_filter.page_edges(pages.limit(0))).count() == 0
 
 
+def test_url_targets(spark):
+    cases = [("login.html", "http://a.com/x/login.html"), ("../z", "http://a.com/z"), ("?id=2", "http://a.com/x/y?id=2"), ("./", "http://a.com/x/"),
+             ("..", "http://a.com/"), ("../../../b/./c/..", "http://a.com/b/"), ("/p/../q?r=../s", "http://a.com/q?r=../s"), ("//b.net/k", "http://b.net/k"),
+             ("/go?u=http://b.net/", "http://a.com/go?u=http://b.net/"), ("k?u=http://b.net/", "http://a.com/x/k?u=http://b.net/"),
+             ("HTTPS://B.net", "https://b.net/"), ("mailto:a@b.net", None), ("#top", "http://a.com/x/y?v=1/2")]
+    pages = [("http://a.com/x/y?v=1/2", f"<meta http-equiv=refresh content='0; url={t}'>") for t, _ in cases]
+    pages += [("http://a.com", "<link rel=canonical href='k'>"), ("http://a.com/x/y", "<base href='/d/e/f'><link rel=canonical href='../k'>")]
+    got = url_filter.page_edges(spark.createDataFrame(pages, "url string, html string").coalesce(1)).collect()
+    assert [r["b"] for r in got] == [b for _, b in cases] + ["http://a.com/k", "http://a.com/d/k"]
+
+
 # Html
 
 @pytest.mark.parametrize("html,text", [
