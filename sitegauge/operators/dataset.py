@@ -12,7 +12,7 @@ from sitegauge.functions.scalar import (
     cell_key, cell_round, cell_trunc, hash_order, hash_uniform, is_land_rough, is_land_sampled,
     region_boxes, region_rules, region_rules_negative)
 from sitegauge.operators.ranking import exact_rank, first_in_order, hash_cuts, keep_first, lookup, top_n
-from sitegauge.operators.spatial import exclude_near, exclude_same_cell
+from sitegauge.operators.spatial import cells_near, exclude_same_cell, outside_cells
 
 LOCATION_COLUMNS = ("lat", "lon", "energy_type", "source", "name", "capacity_mw", "country_code", "operating_year")
 SNAP_DEG = 0.005
@@ -79,9 +79,9 @@ def sample_positives(df: DataFrame, targets: Mapping[str, int], key: str, cells:
     return df.join(chosen.select(key), key, "left_semi")
 
 
-def candidate_points(spark: SparkSession, n: int, seed: object, equal_area: bool) -> DataFrame:
-    """Reproducible random points (candidate, lat, lon, u) spread over the executors."""
-    ids = spark.range(n).withColumnRenamed("id", "candidate")
+def candidate_points(spark: SparkSession, first: int, end: int, seed: object, equal_area: bool) -> DataFrame:
+    """Reproducible random points (candidate, lat, lon, u) with numbers from ``first`` below ``end``, spread over the executors."""
+    ids = spark.range(first, end).withColumnRenamed("id", "candidate")
     ulat, ulon, u = (hash_uniform(F.col("candidate"), f"{seed}:{axis}") for axis in ("lat", "lon", "keep"))
     if equal_area:
         lat, lon = F.degrees(F.asin(2.0 * ulat - 1.0)), -180.0 + 360.0 * ulon
@@ -106,34 +106,40 @@ def negatives_by_type(occupied: DataFrame, wanted: Mapping[str, int], seed: obje
     are short get further batches, twice as many each time. If ``max_batches``
     batches do not do, there is no room for as many rows, which is an error. The
     result does not depend on the size of the batches. All types share one
-    exclusion join.
+    exclusion join; what a batch accepted is kept, so no candidate is drawn twice.
+    Runs jobs while the plan is built, as the number of batches follows from the data.
     """
     spark = occupied.sparkSession
     spaced = style == "spaced"
     lat, lon = F.col("lat"), F.col("lon")
     goal = F.create_map(*[F.lit(x) for t, n in wanted.items() for x in (t, n)])[F.col("energy_type")]
+    blocked = durable(cells_near(occupied, by=["energy_type"])) if spaced else durable(occupied.select("lat", "lon").distinct())
 
-    def accepted(batches: Mapping[str, int]) -> DataFrame:
+    def accepted(ranges: Mapping[str, tuple[int, int]]) -> DataFrame:
         pool = reduce(DataFrame.unionByName, [
-            candidate_points(spark, wanted[t] * draws * n, f"{seed}:{t}", equal_area=spaced).withColumn("energy_type", F.lit(t))
-            for t, n in batches.items()])
+            candidate_points(spark, first, end, f"{seed}:{t}", equal_area=spaced).withColumn("energy_type", F.lit(t))
+            for t, (first, end) in ranges.items()])
         if spaced:
-            land = pool.filter((lat > -56) & (lat < 72) & is_land_rough(lat, lon))
-            free = exclude_near(land, occupied, by=["energy_type"])
+            free = outside_cells(pool.filter((lat > -56) & (lat < 72) & is_land_rough(lat, lon)), blocked, by=["energy_type"])
         else:
-            free = exclude_same_cell(pool.filter(is_land_sampled(lat, lon, F.col("u"))), occupied)
+            free = exclude_same_cell(pool.filter(is_land_sampled(lat, lon, F.col("u"))), blocked)
         return free.select("energy_type", "candidate", "lat", "lon")
 
-    batches, open_ = dict.fromkeys(wanted, 1), set(wanted)
+    done, batches, counts, kept = dict.fromkeys(wanted, 0), dict.fromkeys(wanted, 1), dict.fromkeys(wanted, 0), []
+    open_ = sorted(wanted)
     while open_:
-        # One row per energy type.
-        counts = dict(accepted({t: batches[t] for t in sorted(open_)}).groupBy("energy_type").count().collect())
-        open_ = {t for t in open_ if counts.get(t, 0) < wanted[t]}
+        size = {t: wanted[t] * draws for t in open_}
+        kept.append(durable(accepted({t: (size[t] * done[t], size[t] * batches[t]) for t in open_})))
+        for t, n in kept[-1].groupBy("energy_type").count().collect():   # one row per energy type
+            counts[t] += n
         for t in open_:
-            if batches[t] >= max_batches:
-                raise ValueError(f"only {counts.get(t, 0)} of {wanted[t]} negatives for {t} after {max_batches} batches")
-            batches[t] = min(max_batches, 2 * batches[t])
-    return first_in_order(accepted(batches), "energy_type", F.col("candidate"), "candidate", goal, 12)
+            done[t] = batches[t]
+        open_ = [t for t in open_ if counts[t] < wanted[t]]
+        for t in open_:
+            if done[t] >= max_batches:
+                raise ValueError(f"only {counts[t]} of {wanted[t]} negatives for {t} after {max_batches} batches")
+            batches[t] = min(max_batches, 2 * done[t])
+    return first_in_order(reduce(DataFrame.unionByName, kept), "energy_type", F.col("candidate"), "candidate", goal, 12)
 
 
 def build_dataset(locations: DataFrame, targets: Mapping[str, tuple[int, int]], key: str,

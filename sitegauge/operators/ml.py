@@ -1,22 +1,24 @@
-"""Model training and validation with MLlib.
+"""Model training and validation: boosted trees and logistic models of our own, MLlib for the rest.
 
-Driver loops here run over models, folds or feature sets, never over rows.
+Folds, groups, types and feature sets are models of one fit (``boosting.fit_many``, ``logistic.fit_many``), so the number of jobs
+does not follow their number. Driver loops here run over models, never over rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.scalar import hash_order, hash_uniform
+from sitegauge.operators import boosting, logistic
 from sitegauge.operators.dataset import stratified_folds, stratified_split
 from sitegauge.operators.metrics import accuracy, rank_metrics
 from sitegauge.operators.ranking import exact_rank, lookup
@@ -37,6 +39,10 @@ class Settings:
     mlp_iterations: int = 100
     seed: int = 42
 
+    @property
+    def boosting(self) -> boosting.Boosting:
+        return boosting.Boosting(self.trees, self.depth, self.learning_rate, self.row_share, self.column_share, seed=self.seed)
+
 
 def as_vector(df: DataFrame, array: str, name: str = "features") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.col(array).cast("array<double>")))
@@ -74,10 +80,7 @@ def fit(train: DataFrame, kind: str, settings: Settings = Settings(), features:
                                 standardization=False, maxIter=settings.lr_iterations)
         return (lr.setWeightCol(weight) if weight else lr).fit(train)
     if kind == "gbt":
-        return GBTClassifier(
-            featuresCol=features, labelCol=label, maxIter=settings.trees, maxDepth=settings.depth,
-            stepSize=settings.learning_rate, subsamplingRate=settings.row_share,
-            featureSubsetStrategy=str(settings.column_share), seed=settings.seed).fit(train)
+        return boosting.fit_many(train, [boosting.Plan()], settings.boosting, features, label)[0]
     if kind == "mlp":
         width = len(train.select(vector_to_array(features).alias("v")).first()["v"])
         return MultilayerPerceptronClassifier(
@@ -129,17 +132,40 @@ def _tagged(df: DataFrame, **tags: str) -> DataFrame:
     return df.select(*[F.lit(v).alias(k) for k, v in tags.items()], "*")
 
 
+def _layout(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, ...]]:
+    """Places of every input column in the assembled vector; vector columns take several."""
+    first = df.select(*columns).first()   # one row
+    places, at = {}, 0
+    for c in columns:
+        width = len(first[c]) if first is not None and hasattr(first[c], "__len__") else 1
+        places[c] = tuple(range(at, at + width))
+        at += width
+    return places
+
+
 def ablation(df: DataFrame, key: str, feature_sets: Mapping[str, Sequence[str]], kinds: Sequence[str] = ("logistic", "gbt", "mlp"),
              settings: Settings = Settings(), label: str = "label") -> DataFrame:
-    """Metrics of every (feature set, model) on one stratified 80/20 split."""
-    split = durable(stratified_split(df, label, key))
+    """Metrics of every (feature set, model) on one stratified 80/20 split. Sets share one fit of each kind but the perceptron."""
+    every = list(dict.fromkeys(c for columns in feature_sets.values() for c in columns))
+    split = durable(assemble_columns(stratified_split(df, label, key), every).withColumn("_part", F.col("is_test").cast("int")))
+    places = _layout(split, every)
+    used = [tuple(i for c in columns for i in places[c]) for columns in feature_sets.values()]
+    train, test = split.filter(~F.col("is_test")), split.filter("is_test")
     reports = None
-    for name, columns in feature_sets.items():
-        ready = assemble_columns(split, columns)
-        train, test = standard_scale(ready.filter(~F.col("is_test")), ready.filter("is_test"))
-        for kind in kinds:
-            model = fit(train, kind, settings, label=label)
-            line = _tagged(report(model, train, test, label), features=name, model=kind)
+    for kind in kinds:
+        if kind == "gbt":
+            models = boosting.fit_many(split, [boosting.Plan(u, frozenset({0})) for u in used], settings.boosting, label=label, part="_part")
+        elif kind == "logistic":
+            models = logistic.fit_many(split, [logistic.Plan(u, frozenset({0})) for u in used], label=label, part="_part", iterations=settings.lr_iterations)
+        else:
+            models = [None] * len(used)
+        for (name, columns), model in zip(feature_sets.items(), models):
+            seen, held_out = train, test
+            if model is None:
+                ready = assemble_columns(split.drop("features"), columns)
+                seen, held_out = standard_scale(ready.filter(~F.col("is_test")), ready.filter("is_test"))
+                model = fit(seen, kind, settings, label=label)
+            line = _tagged(report(model, seen, held_out, label), features=name, model=kind)
             reports = line if reports is None else reports.unionByName(line)
     return reports
 
@@ -152,18 +178,39 @@ def ablation_deltas(report: DataFrame, both: str = "both") -> DataFrame:
                                              (F.col("both_auc") - F.col("auc_roc")).alias("auc_delta"))
 
 
+def fold_models(folds: DataFrame, kind: str, k: int, settings: Settings = Settings(), label: str = "label", weight: str | None = None,
+                scale: bool = False) -> list:
+    """A model for every value of ``fold`` below ``k``, trained on all other rows in one fit."""
+    others = [frozenset(range(k)) - {fold} for fold in range(k)]
+    if kind == "gbt":
+        return boosting.fit_many(folds, [boosting.Plan(parts=o) for o in others], settings.boosting, label=label, part="fold")
+    if kind == "logistic":
+        return logistic.fit_many(folds, [logistic.Plan(parts=o) for o in others], label=label, part="fold", weight=weight,
+                                 iterations=settings.lr_iterations, scale=scale)
+    raise ValueError(f"no folds of {kind!r}")
+
+
+def out_of_fold(folds: DataFrame, models: Sequence, keep: Sequence[str], label: str = "label") -> DataFrame:
+    """Every row scored by the model that has not seen its fold."""
+    if isinstance(models[0], logistic.Model):
+        scored = logistic.scored_by_part(folds, models, "fold")
+        return scored.select(*keep, F.col(label).cast("int").alias("y_true"), "y_prob")
+    parts = [predict(m, folds.filter(F.col("fold") == i), keep, label) for i, m in enumerate(models)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def cross_validate(df: DataFrame, key: str, kind: str = "gbt", k: int = 5, settings: Settings = Settings(),
                    label: str = "label", weight: str | None = None, scale: bool = False) -> DataFrame:
-    """AUC per stratified fold, from out-of-fold predictions scored in one pass."""
+    """AUC per stratified fold, and whether the fold's model has a lower log loss on its own rows than their share of positives.
+
+    ``scale`` concerns logistic models only: trees look at the order of values.
+    """
     folds = durable(stratified_folds(df, label, key, k))
-    held_out = None
-    for fold in range(k):
-        train, test = folds.filter(F.col("fold") != fold), folds.filter(F.col("fold") == fold)
-        if scale:
-            train, test = standard_scale(train, test)
-        part = predict(fit(train, kind, settings, label=label, weight=weight), test, [key, "fold"], label)
-        held_out = part if held_out is None else held_out.unionByName(part)
-    return rank_metrics(held_out, by=["fold"]).select("fold", "n_pos", "n_neg", "auc_roc")
+    models = fold_models(folds, kind, k, settings, label, weight, scale)
+    facts = reduce(DataFrame.unionByName, [training_facts(m, folds.filter(F.col("fold") != i), label).withColumn("fold", F.lit(i))
+                                           for i, m in enumerate(models)])
+    return rank_metrics(out_of_fold(folds, models, [key, "fold"], label), by=["fold"]).join(facts, "fold").select(
+        "fold", "n_pos", "n_neg", "auc_roc", "n_train", "beats_constant")
 
 
 def usable_folds(df: DataFrame, k: int = 5, label: str = "label") -> int:
@@ -185,15 +232,19 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(lookup(table), label)
 
 
-def leave_one_out(df: DataFrame, group: str, values: Sequence[str], key: str, kind: str = "logistic",
-                  settings: Settings = Settings(), label: str = "label") -> DataFrame:
-    """AUC of each held-out group with a model trained on all other groups."""
-    held_out = None
-    for value in values:
-        train, test = standard_scale(df.filter(F.col(group) != value), df.filter(F.col(group) == value))
-        part = predict(fit(train, kind, settings, label=label), test, [key, group], label)
-        held_out = part if held_out is None else held_out.unionByName(part)
-    return rank_metrics(held_out, by=[group])
+def leave_one_out(df: DataFrame, group: str, values: Sequence[str], key: str, settings: Settings = Settings(), label: str = "label") -> DataFrame:
+    """AUC of each held-out group with a logistic model trained on all other groups; ``slope`` is what is left of the gradient."""
+    if not values:
+        raise ValueError("no group to hold out")
+    # Groups that are never held out are part -1: all models see them. Rows without a group are seen by none.
+    numbered = durable(df.withColumn("_part", (F.array_position(F.lit(list(values)), F.col(group)) - 1).cast("int")))
+    every = frozenset(range(-1, len(values)))
+    models = logistic.fit_many(numbered, [logistic.Plan(parts=every - {i}) for i in range(len(values))], label=label, part="_part",
+                               iterations=settings.lr_iterations)
+    held_out = logistic.scored_by_part(numbered, models, "_part").select(group, F.col(label).cast("int").alias("y_true"), "y_prob")
+    # One row for each group held out.
+    slopes = df.sparkSession.createDataFrame([(v, m.gradient) for v, m in zip(values, models)], f"`{group}` string, slope double")
+    return rank_metrics(held_out, by=[group]).join(F.broadcast(slopes), group)
 
 
 def train_and_score(df: DataFrame, key: str, kind: str, keep: Sequence[str] = (), settings: Settings = Settings(),
@@ -221,17 +272,18 @@ def shuffle_labels(df: DataFrame, key: str, label: str = "label", seed: object =
 
 
 def learning_curve(df: DataFrame, key: str, shares: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 1.0),
-                   kind: str = "logistic", settings: Settings = Settings(), label: str = "label") -> DataFrame:
-    """``report`` against the share of training rows used (nested random subsets)."""
-    split = durable(stratified_split(df, label, key))
+                   settings: Settings = Settings(), label: str = "label") -> DataFrame:
+    """``report`` of logistic models against the share of training rows used (nested random subsets)."""
+    split = stratified_split(df, label, key)
     u = hash_uniform(F.col(key), "curve")
-    reports = None
-    for share in shares:
-        part = split.filter(~F.col("is_test") & (u < share))
-        train, test = standard_scale(part, split.filter("is_test"))
-        line = report(fit(train, kind, settings, label=label), train, test, label).withColumn("share", F.lit(share))
-        reports = line if reports is None else reports.unionByName(line)
-    return reports
+    # A row belongs to the smallest share that holds it, and to all larger ones.
+    place = F.size(F.filter(F.lit(sorted(shares)), lambda s: s <= u))
+    placed = durable(split.withColumn("_part", F.when(F.col("is_test"), F.lit(-1)).otherwise(place)))
+    models = logistic.fit_many(placed, [logistic.Plan(parts=frozenset(range(i + 1))) for i in range(len(shares))], label=label, part="_part",
+                               iterations=settings.lr_iterations)
+    lines = [report(m, placed.filter(F.col("_part").between(0, i)), placed.filter("is_test"), label).withColumn("share", F.lit(s))
+             for i, (s, m) in enumerate(zip(sorted(shares), models))]
+    return reduce(DataFrame.unionByName, lines)
 
 
 def pca_variance(df: DataFrame, k: int = 50, features: str = "features") -> DataFrame:
@@ -252,13 +304,17 @@ def per_type_baseline(df: DataFrame, key: str, types: Sequence[str], columns: Ca
     Types with fewer than ``min_rows`` rows are left out.
     """
     sizes = {r[0]: r[1] for r in df.filter(F.col("energy_type").isin(*types)).groupBy("energy_type").count().collect()}
-    scored = None
-    for energy_type in types:
-        if sizes.get(energy_type, 0) < min_rows:
-            continue
-        part = df.filter(F.col("energy_type") == energy_type)
-        feats = columns(F.col("lat"), F.col("lon"))
-        ready = part.select(key, "energy_type", label, array_to_vector(F.array(*[c.cast("double") for c in feats])).alias("features"))
-        line = train_and_score(ready, key, "logistic", ["energy_type"], settings, label)
-        scored = line if scored is None else scored.unionByName(line)
-    return rank_metrics(scored, by=["energy_type"]).withColumn("suspicious", F.col("auc_roc") > suspicious)
+    kept = [t for t in types if sizes.get(t, 0) >= min_rows]
+    if not kept:
+        raise ValueError(f"no type has {min_rows} rows")
+    part = df.filter(F.col("energy_type").isin(*kept)).withColumn("_stratum", F.concat_ws("/", "energy_type", label))
+    feats = F.array(*[c.cast("double") for c in columns(F.col("lat"), F.col("lon"))])
+    number = F.array_position(F.lit(kept), F.col("energy_type")).cast("int") - 1
+    ready = part.select(key, "energy_type", label, "_stratum", feats.alias("features"), number.alias("_type"))
+    split = durable(stratified_split(ready, "_stratum", key).withColumn("_part", F.when(F.col("is_test"), F.lit(-1)).otherwise(F.col("_type"))))
+    models = logistic.fit_many(split, [logistic.Plan(parts=frozenset({i})) for i in range(len(kept))], label=label, part="_part",
+                               iterations=settings.lr_iterations)
+    scored = logistic.scored_by_part(split.filter("is_test"), models, "_type").select("energy_type", F.col(label).cast("int").alias("y_true"), "y_prob")
+    # One row for each type.
+    slopes = df.sparkSession.createDataFrame([(t, m.gradient) for t, m in zip(kept, models)], "energy_type string, slope double")
+    return rank_metrics(scored, by=["energy_type"]).withColumn("suspicious", F.col("auc_roc") > suspicious).join(F.broadcast(slopes), "energy_type")

@@ -403,19 +403,28 @@ def _round_cell(column: str, cell: float) -> Column:
     return F.bround(F.col(column) / F.lit(cell), 0).cast("bigint")
 
 
-def exclude_near(candidates: DataFrame, occupied: DataFrame, cell: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
-    """Drop candidates in, or next to, a floor cell that holds an occupied point.
-
-    ``by`` names columns (such as the energy type) that must agree as well.
-    """
+def cells_near(occupied: DataFrame, cell: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """Floor cells that hold an occupied point, and their eight neighbours: (*by, _cy, _cx)."""
     held = occupied.select(*by, _floor_cell("lat", cell).alias("oy"), _floor_cell("lon", cell).alias("ox")).distinct()
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     around = held.select("*", F.explode(steps).alias("dy")).select("*", F.explode(steps).alias("dx"))
-    blocked = around.select(*by, (F.col("oy") + F.col("dy")).alias("_cy"), (F.col("ox") + F.col("dx")).alias("_cx")).distinct()
+    return around.select(*by, (F.col("oy") + F.col("dy")).alias("_cy"), (F.col("ox") + F.col("dx")).alias("_cx")).distinct()
+
+
+def outside_cells(candidates: DataFrame, blocked: DataFrame, cell: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """Candidates whose floor cell is not among ``blocked`` (of ``cells_near``)."""
     keyed = candidates.withColumns({"_cy": _floor_cell("lat", cell), "_cx": _floor_cell("lon", cell)})
     return keyed.join(blocked, [*by, "_cy", "_cx"], "left_anti").select(*candidates.columns)
 
 
+def exclude_near(candidates: DataFrame, occupied: DataFrame, cell: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """Drop candidates in, or next to, a floor cell that holds an occupied point.
+
+    ``by`` names columns (such as the energy type) that must agree as well.
+    """
+    return outside_cells(candidates, cells_near(occupied, cell, by), cell, by)
+
+
 def exclude_same_cell(candidates: DataFrame, occupied: DataFrame, cell: float = 0.05) -> DataFrame:
     """Drop candidates whose rounded cell holds an occupied point."""
     held = occupied.select(_round_cell("lat", cell).alias("_cy"), _round_cell("lon", cell).alias("_cx")).distinct()

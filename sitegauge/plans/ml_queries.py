@@ -6,11 +6,13 @@ belong together, and facts that a correct fit has to fulfil. Metrics as such com
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from sitegauge.functions.scalar import ENERGY_TYPES
 from sitegauge.operators import ml, reports
+from sitegauge.operators.dataset import stratified_split
 from sitegauge.operators.features import external_features, geo_features
 from sitegauge.plans.dataset_queries import u_sql
 from sitegauge.plans.fixtures import cte, frame
@@ -35,7 +37,6 @@ def standard_scale(spark, d):
        "SELECT vec_id, round(sum((v-m)/sd*(dim+1)), 5)+0 AS weighted FROM x JOIN s USING (dim) GROUP BY 1")
 def scaled_vectors(spark, d):
     """z-scores of every vector, summed with the position as weight."""
-    from pyspark.ml.functions import vector_to_array
     scaled = ml.standard_scale(ml.as_vector(frame(spark, d, "vectors"), "embedding"))[0]
     z = scaled.select("vec_id", F.posexplode(vector_to_array("features")).alias("dim", "z"))
     return z.groupBy("vec_id").agg((F.round(F.sum(F.col("z") * (F.col("dim") + 1)), 5) + 0.0).alias("weighted"))
@@ -71,16 +72,17 @@ def predict_table(spark, d):
     return out.select("vec_id", "lat", "lon", "energy_type", "y_true", fine.alias("consistent"))
 
 
-@query("topk_importance", "SELECT unnest(range(1, 21))::int AS place, true AS known, true AS in_order")
+@query("topk_importance", "SELECT unnest(range(1, 21))::int AS place, true AS known, true AS in_order, true AS useful")
 def topk_importance(spark, d):
-    """The 20 most important dimensions: places, known names, falling importance that stays within a total of 1."""
+    """The 20 most important dimensions: places, known names, falling importance within a total of 1, and above that of a mean dimension at first."""
     rows = _rows(spark, d)
     model = ml.fit(rows, "gbt", MODELS)
     names = [f"emb_{i}" for i in range(model.numFeatures)]
     top = ml.feature_importance(model, names, rows).collect()   # 20 rows
-    facts = [(i + 1, r["feature"] in names, 0 <= r["importance"] <= 1 and (i == 0 or r["importance"] <= top[i - 1]["importance"]))
+    facts = [(i + 1, r["feature"] in names, 0 <= r["importance"] <= 1 and (i == 0 or r["importance"] <= top[i - 1]["importance"]),
+              r["importance"] > 0 and (i > 0 or r["importance"] > 1 / len(names)))
              for i, r in enumerate(top)]
-    return spark.createDataFrame(facts, "place int, known boolean, in_order boolean")
+    return spark.createDataFrame(facts, "place int, known boolean, in_order boolean, useful boolean")
 
 
 _SETS = ("embeddings", "external", "both")
@@ -115,15 +117,20 @@ def _folds_sql(source: str) -> str:
 
 
 def _fold_facts(folds):
-    return folds.select("fold", "n_pos", "n_neg", F.col("auc_roc").between(0.0, 1.0).alias("auc_valid"))
+    return folds.select("fold", "n_pos", "n_neg", F.col("auc_roc").between(0.0, 1.0).alias("auc_valid"), "n_train", "beats_constant")
 
 
-@query("cross_validate", cte("embedded") + _folds_sql("embedded") + " SELECT *, true AS auc_valid FROM g")
+_FOLD_FACTS = "g.*, true AS auc_valid, sum(n_pos+n_neg) OVER ()::bigint-n_pos-n_neg AS n_train, true AS beats_constant"
+
+
+@query("cross_validate", cte("embedded") + _split_sql() + ", seen AS (SELECT label, vec_id FROM split WHERE NOT is_test)" + _folds_sql("seen") + f" SELECT {_FOLD_FACTS} FROM g")
 def cross_validate(spark, d):
-    return _fold_facts(ml.cross_validate(_rows(spark, d), "vec_id", "gbt", 5, MODELS))
+    """Folds of the training part only; the test fifth stays out."""
+    train = stratified_split(_rows(spark, d), "label", "vec_id").filter("NOT is_test")
+    return _fold_facts(ml.cross_validate(train, "vec_id", "gbt", 5, MODELS))
 
 
-@query("t1_vs_tmulti", cte("embedded") + ", s AS (SELECT * FROM embedded WHERE vec_id%4=0)" + _folds_sql("s") + " SELECT v.variant, g.*, true AS auc_valid FROM g, (SELECT unnest(['single', 'multi']) AS variant) v")
+@query("t1_vs_tmulti", cte("embedded") + ", s AS (SELECT * FROM embedded WHERE vec_id%4=0)" + _folds_sql("s") + f", h AS (SELECT {_FOLD_FACTS} FROM g) SELECT v.variant, h.* FROM h, (SELECT unnest(['single', 'multi']) AS variant) v")
 def t1_vs_tmulti(spark, d):
     """Four consecutive vectors stand for the four seasons of a site: the first alone against their mean."""
     rows = _rows(spark, d)
@@ -140,19 +147,19 @@ def t1_vs_tmulti(spark, d):
 
 
 @query("geo_baseline", cte("embedded") + ", big AS (SELECT * FROM embedded WHERE energy_type IN (SELECT energy_type FROM embedded GROUP BY 1 HAVING count(*)>=100))"
-       + _split_sql("big", "energy_type, label") + " SELECT energy_type, count(*) FILTER (WHERE is_test AND label=1) AS n_pos, count(*) FILTER (WHERE is_test AND label=0) AS n_neg, true AS auc_valid FROM split GROUP BY 1")
+       + _split_sql("big", "energy_type, label") + " SELECT energy_type, count(*) FILTER (WHERE is_test AND label=1) AS n_pos, count(*) FILTER (WHERE is_test AND label=0) AS n_neg, true AS auc_valid, true AS at_optimum FROM split GROUP BY 1")
 def geo_baseline(spark, d):
     out = ml.per_type_baseline(_rows(spark, d), "vec_id", ENERGY_TYPES, geo_features, MODELS)
-    return out.select("energy_type", "n_pos", "n_neg", F.col("auc_roc").between(0.0, 1.0).alias("auc_valid"))
+    return out.select("energy_type", "n_pos", "n_neg", F.col("auc_roc").between(0.0, 1.0).alias("auc_valid"), (F.col("slope") < 1e-5).alias("at_optimum"))
 
 
-@query("spatial_cv", cte("embedded") + ", g AS (SELECT country_code, count(*) FILTER (WHERE label=1) AS n_pos, count(*) FILTER (WHERE label=0) AS n_neg FROM embedded GROUP BY 1) SELECT *, true AS auc_valid FROM g WHERE n_pos>=5 AND n_neg>=5")
+@query("spatial_cv", cte("embedded") + ", g AS (SELECT country_code, count(*) FILTER (WHERE label=1) AS n_pos, count(*) FILTER (WHERE label=0) AS n_neg FROM embedded GROUP BY 1) SELECT *, true AS auc_valid, true AS at_optimum FROM g WHERE n_pos>=5 AND n_neg>=5")
 def spatial_cv(spark, d):
     rows = _rows(spark, d)
-    # One model per country: the list is as long as the loop over folds.
+    # One model per country, all in one fit.
     countries = sorted(r[0] for r in reports.eligible_groups(rows, "country_code").select("country_code").collect())
     out = ml.leave_one_out(rows, "country_code", countries, "vec_id", settings=MODELS)
-    return out.select("country_code", "n_pos", "n_neg", F.col("auc_roc").between(0.0, 1.0).alias("auc_valid"))
+    return out.select("country_code", "n_pos", "n_neg", F.col("auc_roc").between(0.0, 1.0).alias("auc_valid"), (F.col("slope") < 1e-5).alias("at_optimum"))
 
 
 @query("temporal_cv", cte("embedded") + ", y AS (SELECT label, vec_id%10+2014>=2020 AS is_test FROM embedded) " + f"SELECT {_SIZES}, true AS beats_constant FROM y")
@@ -177,12 +184,16 @@ def learning_curve(spark, d):
     return ml.learning_curve(_rows(spark, d), "vec_id", settings=MODELS).select("share", "n_train", "n_pos", "n_neg", "beats_constant")
 
 
-@query("pca_variance", "SELECT unnest(range(1, 51))::int AS component, true AS in_order, true AS sums_up")
+@query("pca_variance", "SELECT unnest(range(1, 51))::int AS component, true AS in_order, true AS sums_up, true AS covers")
 def pca_variance(spark, d):
-    """Shares of variance fall, their running total is right and stays within 1."""
-    found = ml.pca_variance(_rows(spark, d), 50).orderBy("component").collect()   # 50 rows
-    total, facts = 0.0, []
+    """Shares of variance fall, their running total is right, stays within 1 and covers at least what as many single dimensions do."""
+    rows = _rows(spark, d)
+    found = ml.pca_variance(rows, 50).orderBy("component").collect()   # 50 rows
+    single = sorted((r["sd"] ** 2 for r in ml.scale_statistics(rows.withColumn("x", vector_to_array("features")), "x").collect()), reverse=True)
+    total, least, facts = 0.0, 0.0, []
     for i, r in enumerate(found):
         total += r["variance"]
-        facts.append((r["component"], i == 0 or r["variance"] <= found[i - 1]["variance"], abs(total - r["cumulative"]) < 1e-9 and total < 1 + 1e-9))
-    return spark.createDataFrame(facts, "component int, in_order boolean, sums_up boolean")
+        least += single[i] / sum(single)
+        facts.append((r["component"], i == 0 or r["variance"] <= found[i - 1]["variance"], abs(total - r["cumulative"]) < 1e-9 and total < 1 + 1e-9,
+                      total > least - 1e-9))
+    return spark.createDataFrame(facts, "component int, in_order boolean, sums_up boolean, covers boolean")
