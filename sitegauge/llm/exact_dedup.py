@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.llm.storage import load, save, saved
+from sitegauge.llm.storage import saved, unused
 
 SHARD = 16_384
 SALT_ROWS = 65_536
@@ -207,15 +207,20 @@ def keep_unique(docs: DataFrame, history: Index | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     found = resolve(docs, history)
     keys = saved(found.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies")), "decided")
-    same = lambda left, right: left["doc_id"].eqNullSafe(right["doc_id"]) & (left["_digest"] == right["digest"])
-    tagged = docs.withColumn("_digest", digest(F.col("text")))
-    gone = keys.filter("NOT kept").select("doc_id", "digest")
-    stay = tagged.join(gone, same(tagged, gone), "left_anti")
+    mark = unused(docs, "_digest")
+    tagged = docs.withColumn(mark, digest(F.col("text")))
+
+    def meets(rows: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+        # Of one form at every size: decisions grow with the documents.
+        named = decided.select(F.col("doc_id").alias(mark + "i"), F.col("digest").alias(mark + "d"))
+        return rows.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col(mark + "i")) & (F.col(mark) == F.col(mark + "d")), how)
+    stay = meets(tagged, keys.filter("NOT kept"), "left_anti")
     # Rows alike in id and digest of which one is to stay: not in a clean table.
-    twice = keys.filter("kept AND copies > 1").select("doc_id", "digest")
+    twice = keys.filter("kept AND copies > 1")
     if twice.isEmpty():
         return stay.select(*docs.columns)
-    single = stay.join(twice, same(stay, twice), "left_anti")
-    longest = stay.join(twice, same(stay, twice), "left_semi").groupBy("doc_id", "_digest").agg(
-        F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), F.xxhash64(*docs.columns))).alias("best"))
-    return single.select(*docs.columns).unionByName(longest.select("best.*").select(*docs.columns))
+    single = meets(stay, twice, "left_anti")
+    hashed = [F.col(c) for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    longest = meets(stay, twice, "left_semi").groupBy("doc_id", mark).agg(
+        F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), F.xxhash64(*hashed))).alias(mark + "b"))
+    return single.select(*docs.columns).unionByName(longest.select(f"{mark}b.*").select(*docs.columns))

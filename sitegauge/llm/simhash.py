@@ -6,6 +6,9 @@ fingerprint enumerates a small Hamming ball around each of its segments, looks t
 table of all fingerprints, and every match is verified over all 64 bits. From a ball only the values not below its centre are probed, so
 that a pair is found once. Verification is part of the join, so candidates are never emitted, only links.
 
+``near_groups`` is the same search with more bits, for copies with more changes: a second word of 64 bits from another seed, three or four
+segments for each word, a search that either word may win, and all 128 bits verified.
+
 * Words are runs of characters other than space and tab to carriage return; A-Z is lower-cased. A text with fewer words than
   a shingle has is one shingle; without words (or NULL) its fingerprint is zero, linked like any other.
 * Equal fingerprints collapse before the search: copies cost nothing and hot groups never meet as rows.
@@ -16,6 +19,7 @@ that a pair is found once. Verification is part of the join, so candidates are n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,15 +41,24 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit fingerprint of one text."""
+    return fingerprint_words(text, shingle, 1)[0]
+
+
+def fingerprint_words(text: str | None, shingle: int, count: int) -> list[int]:
+    """``count`` unsigned 64-bit words; each is a fingerprint by a seed of its own."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return [0] * count
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    spans = zip((ends - lengths)[:max(1, len(words) - shingle + 1)].tolist(), ends[min(shingle, len(words)) - 1:].tolist())
+    starts, stops = (ends - lengths)[:max(1, len(words) - shingle + 1)].tolist(), ends[min(shingle, len(words)) - 1:].tolist()
+    return [_majority([joined[a:b] for a, b in zip(starts, stops)], SEED + k) for k in range(count)]
+
+
+def _majority(shingles: list[bytes], seed: int) -> int:
     hash64 = xxhash.xxh64_intdigest
-    hashes = np.array([hash64(joined[a:b], SEED) for a, b in spans], "<u8")
+    hashes = np.array([hash64(x, seed) for x in shingles], "<u8")
     votes = np.zeros(64, np.int64)
     for part in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[part:part + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -103,6 +116,81 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     rooted = distinct.join(parts.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
         "fingerprint", "doc_id", F.coalesce("component", "fingerprint").alias("root"))
     rooted = saved(rooted, "rooted")
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that both sides of the join are dealt anew and a crowded root can be split.
+    smallest = saved(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     named = saved(rooted.join(smallest, "root").select("fingerprint", "component_id"), "named")
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+WORDS = 2
+GROUP_SHINGLE = 5
+GROUP_DISTANCE = 8      # in one of the words
+GROUP_COMPLETE = 22     # in all words together
+#: Four segments look up fewer values, three meet fewer strangers. The links are the same.
+FOUR_SEGMENTS = 1 << 24
+
+
+def _segments(distance: int, segments: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius): words within ``distance`` are within the radius in one segment at least."""
+    width, wider = divmod(64, segments)
+    near, more = divmod(distance, segments)
+    out, first = [], 0
+    for k in range(segments):
+        bits = width + (k < wider)
+        out.append((first, bits, near if k <= more else near - 1))
+        first += bits
+    return [x for x in out if x[2] >= 0]
+
+
+def word_links(nodes: DataFrame, distance: int = GROUP_DISTANCE, complete: int = GROUP_COMPLETE, segments: int = 4,
+               words: int = WORDS) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, w0, w1, ...) within ``distance`` in some word and within ``complete`` in all; each pair once."""
+    places = [(w, *segment) for w in range(words) for segment in _segments(distance, segments)]
+    tag = 1 << 56
+
+    def value(w: int, first: int, bits: int):
+        return F.shiftrightunsigned(f"w{w}", first).bitwiseAND(F.lit((1 << bits) - 1))
+
+    def of(side: str) -> list:
+        return [F.col("node").alias(side), *[F.col(f"w{w}").alias(f"{side}{w}") for w in range(words)]]
+    asked, held = [], []
+    for k, (w, first, bits, radius) in enumerate(places):
+        ball = nodes.select(*of("a"), value(w, first, bits).alias("centre"), F.explode(F.lit(_ball(bits, radius))).alias("flips"))
+        probe = F.col("centre").bitwiseXOR(F.col("flips"))
+        asked.append(ball.filter(probe >= F.col("centre")).select(*[c for c in ball.columns if c not in ("centre", "flips")],
+                                                                  (probe + F.lit(k * tag)).alias("value")))
+        held.append(nodes.select(*of("b"), (value(w, first, bits) + F.lit(k * tag)).alias("value")))
+    differ = [F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")) for w in range(words)]
+    apart = [F.bit_count(d) for d in differ]
+
+    def inside(w: int, first: int, bits: int):
+        return F.bit_count(F.shiftrightunsigned(differ[w], first).bitwiseAND(F.lit((1 << bits) - 1)))
+    # The first place that finds a pair reports it; where both values are equal both sides probe, and one order counts.
+    once, earlier = F.lit(False), F.lit(False)
+    for k, (w, first, bits, radius) in enumerate(places):
+        here = (inside(w, first, bits) <= radius) & (apart[w] <= distance)
+        ordered = (inside(w, first, bits) > 0) | (F.col("a") < F.col("b"))
+        once = once | ((F.shiftright("value", 56) == k) & here & ordered & ~earlier)
+        earlier = earlier | here
+    total = apart[0]
+    for x in apart[1:]:
+        total = total + x
+    met = reduce(DataFrame.unionByName, asked).join(reduce(DataFrame.unionByName, held).hint("merge"), "value")
+    return met.filter((F.col("a") != F.col("b")) & (total <= complete) & once).select("a", "b")
+
+
+def near_groups(docs: DataFrame, shingle: int = GROUP_SHINGLE, distance: int = GROUP_DISTANCE, complete: int = GROUP_COMPLETE) -> DataFrame:
+    """(doc_id, component_id) for every row; the component's id is its smallest non-NULL one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint_words(t.as_py(), shingle, WORDS) for t in batch.column(1)], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, w]) for w in range(WORDS)]], names=["doc_id", "w0", "w1"])
+    rows = saved(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, w0 bigint, w1 bigint"), "words")
+    nodes = saved(rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("smallest")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    segments = 4 if nodes.count() <= FOUR_SEGMENTS else 3
+    parts = saved(connected_components(word_links(nodes.select("node", "w0", "w1"), distance, complete, segments)), "parts")
+    linked = saved(nodes.join(parts, "node").select("w0", "w1", "smallest", "component"), "linked")
+    least = saved(linked.groupBy("component").agg(F.min("smallest").alias("component_id")), "least")
+    named = saved(nodes.select("w0", "w1", "smallest").join(linked.join(least, "component").select("w0", "w1", "component_id"), ["w0", "w1"], "left").select(
+        "w0", "w1", F.coalesce("component_id", "smallest").alias("component_id")), "named")
+    return rows.join(named, ["w0", "w1"]).select("doc_id", "component_id")

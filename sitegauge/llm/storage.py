@@ -28,3 +28,11 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that no remaining plan reads."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the next longer one that is no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

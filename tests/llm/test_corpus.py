@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -539,7 +540,7 @@ def test_repeats_of_history(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_oracle(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     expected = con.execute(queries.ORACLES[name]).fetchdf()
     columns = sorted(expected.columns)
@@ -547,10 +548,56 @@ def test_query_matches_oracle(spark, sf_dir, name):
     assert sorted(got.columns) == columns
 
     def rows(frame):
-        return Counter(tuple(None if x is None or x != x else x for x in r) for r in frame[columns].astype(object).itertuples(index=False))
+        return Counter(tuple(None if pd.isna(x) else x for x in r) for r in frame[columns].astype(object).itertuples(index=False))
     assert rows(got) == rows(expected)
 
 
+def near_groups_by_hand(rows) -> dict:
+    """Smallest id of every group, by comparing all pairs."""
+    prints = {i: tuple(simhash.fingerprint_words(t, simhash.GROUP_SHINGLE, simhash.WORDS)) for i, t in rows}
+
+    def near(a, b):
+        apart = [(x ^ y).bit_count() for x, y in zip(a, b)]
+        return min(apart) <= simhash.GROUP_DISTANCE and sum(apart) <= simhash.GROUP_COMPLETE
+    values = sorted(set(prints.values()))
+    roots = brute_components([(a, b) for a in values for b in values if near(a, b)])
+    smallest = {}
+    for i in sorted((i for i in prints if i is not None), reverse=True):
+        smallest[roots[prints[i]]] = i
+    return smallest
+
+
+@pytest.mark.parametrize("segments", [3, 4])
+def test_word_links_equal_all_pairs(spark, segments):
+    rng = np.random.default_rng(segments)
+    words = rng.integers(-2 ** 63, 2 ** 63 - 1, (60, 2))
+    for k in range(40):   # neighbours at many distances, several of one node
+        flips = rng.choice(128, rng.integers(1, 30), replace=False)
+        near = words[k % 7].copy()
+        for f in flips:
+            near[f // 64] ^= np.int64(np.uint64(1) << np.uint64(f % 64))
+        words = np.vstack([words, near])
+    nodes = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(words)], "node long, w0 long, w1 long")
+    got = [tuple(sorted(r)) for r in simhash.word_links(nodes, segments=segments).collect()]
+
+    def apart(i, j):
+        return [((int(x) ^ int(y)) % (1 << 64)).bit_count() for x, y in zip(words[i], words[j])]
+    want = {(i, j) for i in range(len(words)) for j in range(i) for d in [apart(i, j)] if min(d) <= 8 and sum(d) <= 22}
+    assert {(b, a) for a, b in got} == want and len(got) == len(want)
+
+
+def test_near_groups(spark):
+    base = [f"word{i}" for i in range(400)]
+    changed = [w if k not in (50, 200) else "other" for k, w in enumerate(base)]
+    rows = [*TEXTS, (50, " ".join(base)), (51, " ".join(changed)), (52, " ".join(base).upper()), (53, " ".join(f"else{i}" for i in range(400)))]
+    got = simhash.near_groups(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    of = {r["doc_id"]: r["component_id"] for r in got}
+    assert of[50] == of[51] == of[52] == 50 and of[53] == 53
+    assert {i for i, c in of.items() if i is not None and i == c} == set(near_groups_by_hand(rows).values())
+    assert simhash.near_groups(documents(spark, [])).count() == 0
+
+
 def test_pipeline(spark, sf_dir, direct):
     """Every stage against what it may do to its own input, and the packed tokens against the library."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -568,11 +615,7 @@ def test_pipeline(spark, sf_dir, direct):
     assert all(r["text"] == texts[r["doc_id"]] for rows in kept.values() for r in rows)
     squeezed = [re.sub(r"\s", "", r["text"] or "") for r in kept["exact"]]
     assert len(set(squeezed)) == len(squeezed) and set(squeezed) == {re.sub(r"\s", "", r["text"] or "") for r in kept["quality"]}
-    prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in kept["exact"]}
-    roots = brute_components([(a, b) for a in prints.values() for b in prints.values() if (a ^ b).bit_count() <= 4])
-    smallest = {}
-    for i in sorted(prints, reverse=True):
-        smallest[roots[prints[i]]] = i
+    smallest = near_groups_by_hand([(r["doc_id"], r["text"]) for r in kept["exact"]])
     assert sorted(r["doc_id"] for r in kept["near"]) == sorted(smallest.values())
     assert max(Counter(r["doc_id"] for r in kept["mixing"]).values()) <= 3
     expected = Counter(r["doc_id"] for r in kept["mixing"])
@@ -591,3 +634,15 @@ def test_pipeline_on_odd_tables(spark):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
         out = corpus_pipeline.run(spark, path)
         assert (out.count() > 0) == bool(rows)
+
+
+def test_stages_pass_columns_of_any_name(spark, sf_dir):
+    """Names that the stages use themselves, a map column, repeated rows."""
+    rows = [(i, t, "s", i or 0, k, f"c{k}", 0.5, b"x", {"k": k % 2}) for k, (i, t) in enumerate([*TEXTS, TEXTS[0], TEXTS[0]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id long, _copies int, _copy string, _score double, _digest binary, m map<string,int>")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        got = [(r["doc_id"], r["text"], r["_id"], r["_copy"], r["_score"], bytes(r["_digest"])) for r in out.collect()]
+        assert got and all((i or 0) == x and c.startswith("c") and s == 0.5 and d == b"x" for i, _, x, c, s, d in got), name
+        docs = corpus_pipeline.saved(out, name)

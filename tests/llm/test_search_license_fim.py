@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitegauge.llm import license_scan, max_sketch, queries, wavelet_fim
+from sitegauge.llm import license_scan, max_sketch, wavelet_fim
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -205,10 +205,3 @@ def test_rates(spark):
     none = wavelet_fim.transform(documents(spark), wavelet_fim.Settings(rate=0)).collect()
     assert {r["form"] for r in none} == {"plain"}
     assert "spm" not in {r["form"] for r in wavelet_fim.transform(documents(spark), wavelet_fim.Settings(spm_rate=0)).collect()}
-
-
-@pytest.mark.parametrize("name", ["op11_max_sketch", "op12_license_scan", "op13_wavelet_fim"])
-def test_registered_query_equals_its_sql(spark, sf_dir, name):
-    from sitegauge.plans.compare import compare, duck
-    from sitegauge.plans.registry import Query
-    assert compare(spark, duck(sf_dir), Query(name, queries.QUERIES[name], queries.ORACLES[name]), sf_dir) is None
