@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegauge.llm import exact_dedup, mixing, packing, quality, simhash
-from sitegauge.llm.storage import saved
+from sitegauge.llm.storage import saved, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,8 +24,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the raw documents, wherever it stands in the pipeline."""
     raw, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
-    scored = quality.score(docs, quality.fit(raw, labels), docs.columns, "_score")
-    return scored.filter(F.col("_score") >= quality.ACCEPT).select(*docs.columns)
+    name = unused(docs, "_score")
+    scored = quality.score(docs, quality.fit(raw, labels), docs.columns, name)
+    return scored.filter(F.col(name) >= quality.ACCEPT).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +35,21 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked fingerprints."""
-    found = simhash.near_duplicates(docs)
+    """The document with the smallest id of each group of near copies, by shingles of five words and 128 bits."""
+    found = simhash.near_groups(docs)
     groups = saved(found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")), "near")
-    gone = groups.filter("NOT stays").select("doc_id")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    gone = groups.filter("NOT stays").select(F.col("doc_id").alias(unused(docs, "_gone")))
+    # The joins with texts are of one form at every size: decisions grow with the documents.
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone[gone.columns[0]]), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs.withColumn("sources", F.array("source")))
-    copies = saved(mixed.groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id"), "copies")
-    taken = docs.join(copies.filter("_copies > 0"), docs["doc_id"].eqNullSafe(copies["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    mixed = mixing.mix(docs.select("doc_id", "text", F.array("source").alias("sources")))
+    key, copies, copy = (unused(docs, c) for c in ("_id", "_copies", "_copy"))
+    wanted = saved(mixed.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies)), "copies").filter(F.col(copies) > 0)
+    taken = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted[key]))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
