@@ -266,6 +266,38 @@ def test_main_text_drops_nothing_else(html, text):
     assert html_text.main_text(html) == text
 
 
+PROSE = "Long prose that goes on and on, with enough characters to be a surge all by itself, no doubt about it at all."
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<article><p>t</p><article class='comment'><p>reader comment</p></article></article>", "t"),
+    (f"<article><p>P</p></article><section id='comments'><article><p>P and more</p></article></section>", "P"),
+    ("<main><p>m</p><div><article class='reply'><p>r</p></article></div></main>", "m"),
+    ("<body><form action=x><div><p>P</p><label>Name</label><input><p>P</p></div></form></body>", "P\nP"),
+    ("<p>P</p><form><p>Please give your name</p><input></form>", "P"), ("<form><p>Please sign in</p></form>", ""),
+    ("<p>P</p><p>x</p><p class=ad>y</p><p class=ad>z</p><p class=ad>w</p><p>tail</p>", "P\nx\ntail"),
+])
+def test_main_text_of_comments_and_forms(html, text):
+    assert html_text.main_text(html.replace("P<", PROSE + "<").replace("P and", PROSE + " and")) == text.replace("P", PROSE)
+
+
+def test_windows_decide():
+    """Sums of windows, not elements alone, make the text, with and without article elements."""
+    links = "<ul>" + "<li><a href=x>link</a>" * 4 + "</ul>"
+    teasers = "<article><p>Teaser one</p></article>" + f"<div><p>{PROSE}</p><p>short</p><p>{PROSE}</p></div>"
+    assert html_text.main_text(teasers) == f"Teaser one\n{PROSE}\nshort\n{PROSE}"                    # the sums outside outweigh the element
+    assert html_text.main_text(f"<article><p>{PROSE}</p><p>short</p></article><div><p>beside</p></div>") == f"{PROSE}\nshort"
+    plain = f"<p>tiny</p>{links}<p>{PROSE}</p><p>short</p><p>{PROSE}</p>{links}<p>tiny</p>"
+    assert html_text.main_text(plain) == f"{PROSE}\nshort\n{PROSE}"                                   # no surge before, dive behind
+    assert html_text.main_text(plain, surge=3) == f"tiny\n{PROSE}\nshort\n{PROSE}\ntiny"
+    assert html_text.main_text(f"<article>{plain}</article>", surge=10 ** 6) != html_text.main_text(plain)
+
+
+def test_main_text_of_a_very_long_page():
+    page = "<article>" + "".join(f"<p>paragraph {k}</p>" for k in range(50_000)) + "</article>"
+    assert html_text.main_text(page) == "\n".join(f"paragraph {k}" for k in range(50_000))
+
+
 def test_extract_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article>a</article>", "clash"), (1, "u", "<article>a</article>", "clash"), (2, None, None, None)],
                                   "page_id long, url string, html string, text string")
