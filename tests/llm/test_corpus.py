@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -478,12 +479,64 @@ def test_neighbours_recall(spark, sf_dir):
 
 # Mixing
 
-def test_targets():
-    got = mixing.targets({"b": 10, "a": 1000, None: 90, "c": 900})
-    assert list(got) and math.isclose(sum(got.values()), 2000) and got["b"] == 30
+def shares(sizes: dict, weights=(1, 2, 3), most=3) -> dict:
+    """Quota of each source, by sharing out again until none is above its most."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    out, left, open_ = {}, float(sum(sizes.values())), list(order)
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if share * weight[s] > most * sizes[s]]
+        if not full:
+            return out | {s: share * weight[s] for s in open_}
+        for s in full:
+            out[s] = float(most * sizes[s])
+            left -= out[s]
+        open_ = [s for s in open_ if s not in out]
+    return out
+
+
+def test_quotas(spark):
+    def of(sizes, **more):
+        table = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        return {r["source"]: r["quota"] for r in mixing.quotas(table, sum(sizes.values()), **more).collect()}
+    got = of({"b": 10, "a": 1000, None: 90, "c": 900})
+    assert math.isclose(sum(got.values()), 2000) and got["b"] == 30
     # Left for a, c and NULL with weights 1, 3 and 1: 1970, of which NULL can have 270.
     assert got[None] == 270 and math.isclose(got["a"], 1700 / 4) and math.isclose(got["c"], 1700 * 3 / 4)
-    assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
+    assert of({}) == {} and of({"a": 0}) == {"a": 0.0} and of({"a": 5, "b": 7}, most=1) == {"a": 5.0, "b": 7.0}
+    rng = np.random.default_rng(4)
+    many = {f"s{k:04}": int(n) for k, n in enumerate(rng.pareto(0.7, 700) * 10)}
+    want = shares(many)
+    assert all(math.isclose(q, want[s], rel_tol=1e-9) for s, q in of(many).items())
+
+
+def best_flow(patterns, limits, most=3):
+    """Largest flow and its least cost, by trying every amount of every pattern and source."""
+    from itertools import product
+    found = None
+    ways = []
+    for sources, size in patterns:
+        names = sorted(sources)
+        ways.append([dict(zip(names, c)) for c in product(range(most * size + 1), repeat=len(names)) if sum(c) <= most * size])
+    for way in product(*ways):
+        used = [sum(w.values()) for w in way]
+        if any(sum(w.get(s, 0) for w in way) > limit for s, limit in limits.items()):
+            continue
+        cost = sum(tier * max(0, min(size, u - tier * size)) for (_, size), u in zip(patterns, used) for tier in range(most))
+        if found is None or (-sum(used), cost) < found:
+            found = (-sum(used), cost)
+    return -found[0], found[1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_flow_is_largest_and_cheapest(seed):
+    rng = np.random.default_rng(seed)
+    patterns = [(frozenset(s), int(rng.integers(1, 3))) for s in ("a", "ab", "b")]
+    limits = {"a": int(rng.integers(0, 9)), "b": int(rng.integers(0, 9))}
+    taken = mixing.min_cost_flow(patterns, limits)
+    cost = sum(tier * max(0, min(size, t - tier * size)) for (_, size), t in zip(patterns, taken) for tier in range(3))
+    assert (sum(taken), cost) == best_flow(patterns, limits)
 
 
 def test_flow_reaches_quotas_through_overlap():
@@ -520,6 +573,33 @@ def test_mix_of_overlapping_sources(spark):
     assert {r["pattern"] for r in got} == {'["a"]', '["a","b"]', "[null]"} and all(r["copies"] <= 3 for r in got)
 
 
+def test_mix_of_many_sources_and_components(spark, monkeypatch):
+    """Beyond the size of a broadcast: the same rows; sources apart and in components of their own reach what one flow over all gives."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(n), [f"s{i % 40}"] if i % 3 else [f"s{i % 40}", f"s{40 + i % 5}"] if i % 40 < 9 else [f"t{i % 7}"])
+            for i, n in enumerate(rng.integers(1, 40, 1500))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    got = mixing.mix(docs).collect()
+    sums, sizes = Counter(), Counter()
+    for i, text, names in rows:
+        sums[frozenset(names)] += len(text.split())
+        for s in names:
+            sizes[s] += len(text.split())
+    scale = sum(sums.values()) / sum(sizes.values())
+    want = {s: q * scale for s, q in shares(sizes).items()}
+    order = sorted(sums, key=lambda f: sorted(f))
+    flow = dict(zip(order, mixing.min_cost_flow([(p, sums[p]) for p in order], want)))
+    taken = Counter()
+    for r in got:
+        taken[frozenset(json.loads(r["pattern"]))] += r["taken"]
+    assert abs(sum(taken.values()) - sum(flow.values())) <= 40 * len(flow)
+    single = [p for p in flow if len(p) == 1 and not any(p < q for q in flow)]
+    assert single and all(abs(taken[p] - flow[p]) <= 40 for p in single)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)
+    again = mixing.mix(docs).collect()
+    assert Counter((r["doc_id"], r["copies"]) for r in got) == Counter((r["doc_id"], r["copies"]) for r in again)
+
+
 @pytest.mark.parametrize("weights,taken", [((1, 2), 5000), ((2, 3), 6000)])
 def test_mix_cuts_between_equal_rows(spark, weights, taken):
     rows = [(None, "w " * 10, ["a"])] * 1000 + [(i, "v " * 10, ["b"]) for i in range(500)]
