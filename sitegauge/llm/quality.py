@@ -1,12 +1,11 @@
 """Byte-level convolutional quality classifier in numpy.
 
 A text is its UTF-8 bytes, cut into blocks of ``BLOCK``; two neighbouring blocks make a chunk, so chunks overlap by half and
-cover the whole text, whatever its length. Next to the bytes, a second input channel marks where the next ``RUN`` bytes come again at
-most ``LAGS`` bytes later, as filters can't compare places. ``FILTERS`` learned filters of ``REACH`` bytes slide over every byte; each chunk
-keeps the maximum of every filter. A text's features are the maximum and the mean over its chunks; a logistic unit combines them
-into one probability. The gradient of a maximum flows to one place only, which makes training cheap.
+cover the whole text, whatever its length. ``FILTERS`` learned filters of ``REACH`` bytes slide over every byte; each chunk
+keeps the maximum of every filter. A text's features are the maximum and the mean over its chunks, as one odd chunk should not speak for a
+long text alone; a logistic unit combines them into one probability. The gradient of a maximum flows to one place only, which makes training cheap.
 
-Training sees at most ``SAMPLE`` labelled texts per class, drawn by hash, of at most ``SAMPLE_BYTES`` each, and never a document that is
+Training sees at most ``SAMPLE`` labelled texts per class, drawn by hash, each as a whole, and never a document that is
 held out (crc32 of its id divisible by 5). The class shares of all labelled rows correct the balanced sample. Language,
 source and id are no inputs. Scoring reads whole texts.
 
@@ -29,13 +28,10 @@ BLOCK = 256
 REACH = 6
 FILTERS = 16
 SAMPLE = 1500
-SAMPLE_BYTES = 32 << 10
-RUN = 12
-LAGS = 32
-PAD = RUN + LAGS
-STEPS = 400
+PAD = REACH
+STEPS = 600
 BATCH = 64
-RATE = 0.02  # of Adam
+RATE = 0.05  # of Adam
 ACCEPT = 0.3
 SLICE = 256  # blocks at a time, so that responses stay in the cache
 
@@ -54,24 +50,10 @@ def blocks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, first
 
 
-def repeats(data: np.ndarray) -> np.ndarray:
-    """True where the next ``RUN`` bytes come again within ``LAGS`` bytes; ``data`` ends with ``PAD`` more bytes than the result."""
-    n = len(data) - PAD
-    found = np.zeros(n, bool)
-    for lag in range(1, LAGS + 1):
-        one = data[:n + RUN] == data[lag:n + RUN + lag]
-        two = one[:-1] & one[1:]
-        four = two[:-2] & two[2:]
-        eight = four[:-4] & four[4:]
-        found |= eight[:n] & four[8:n + 8]
-    return found & (data[:n] != 0)
-
-
 @dataclass
 class Network:
-    """``taps`` (REACH, 256, FILTERS), ``again``, ``bias``, ``top`` and ``mean`` (FILTERS each) and ``offset``."""
+    """``taps`` (REACH, 256, FILTERS), ``bias``, ``top`` and ``mean`` (FILTERS each) and ``offset``."""
     taps: np.ndarray
-    again: np.ndarray
     bias: np.ndarray
     top: np.ndarray
     mean: np.ndarray
@@ -83,12 +65,11 @@ class Network:
         taps = rng.normal(0, 0.3, (REACH, 256, FILTERS)).astype(np.float32)
         taps[:, 0] = 0
         signs = np.where(np.arange(FILTERS) % 2, 1, -1).astype(np.float32)
-        return cls(taps, rng.normal(0, 0.3, FILTERS).astype(np.float32), np.zeros(FILTERS, np.float32), signs * 0.1, signs * 0.1, 0.0)
+        return cls(taps, np.zeros(FILTERS, np.float32), signs * 0.1, signs * 0.1, 0.0)
 
     def pairs(self) -> list[np.ndarray]:
-        """Taps of two neighbouring bytes summed, so that a window needs half the look-ups; the first also for marked places."""
-        tables = [(self.taps[j][None, :] + self.taps[j + 1][:, None]).reshape(65536, FILTERS) for j in range(0, REACH, 2)]
-        return [np.concatenate([tables[0], tables[0] + self.again]), *tables[1:]]
+        """Taps of two neighbouring bytes summed, so that a window needs half the look-ups."""
+        return [(self.taps[j][None, :] + self.taps[j + 1][:, None]).reshape(65536, FILTERS) for j in range(0, REACH, 2)]
 
     def responses(self, data: np.ndarray, pairs: list[np.ndarray], where: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Largest response per block and filter and, if asked for, its position in the block."""
@@ -101,8 +82,7 @@ class Network:
             high = min(blocks, low + SLICE)
             n = (high - low) * BLOCK
             at = low * BLOCK
-            marked = repeats(data[at:at + n + PAD]).astype(np.int32) << 16
-            total = pairs[0].take(two[at:at + n] | marked, axis=0)
+            total = pairs[0].take(two[at:at + n], axis=0)
             for j, pair in enumerate(pairs[1:], 1):
                 total += pair.take(two[at + 2 * j:at + 2 * j + n], axis=0)
             cube = total.reshape(high - low, BLOCK, FILTERS)
@@ -151,15 +131,14 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.
         cell = data[at + j].astype(np.int64) * FILTERS + columns.ravel()
         taps[j] = np.bincount(cell, back.ravel(), 256 * FILTERS).reshape(256, FILTERS)
     taps[:, 0] = 0
-    again = np.bincount(columns.ravel(), back.ravel() * repeats(data)[at], FILTERS)
-    return [taps, again, back.sum(axis=0), error @ most, error @ mean, np.asarray(error.sum())]
+    return [taps, back.sum(axis=0), error @ most, error @ mean, np.asarray(error.sum())]
 
 
 def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 0) -> Network:
     """Fit on the sample; ``share`` is the share of label 1 among all labelled rows."""
     net, rng = Network.fresh(seed), np.random.default_rng(seed)
     labels = np.asarray(labels, np.float32)
-    values = [net.taps, net.again, net.bias, net.top, net.mean, np.zeros(())]
+    values = [net.taps, net.bias, net.top, net.mean, np.zeros(())]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     classes = [np.flatnonzero(labels == c) for c in (0, 1)]
     for step in range(1, STEPS + 1):
@@ -169,7 +148,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 0) -
             second[i] = 0.99 * second[i] + 0.01 * g * g
             rate = RATE * min(1.0, 2 * (STEPS - step) / STEPS) / (np.sqrt(second[i] / (1 - 0.99 ** step)) + 1e-6)
             values[i] = (values[i] - rate * first[i] / (1 - 0.9 ** step)).astype(np.float32)
-        net = Network(*values[:5], float(values[5]))
+        net = Network(*values[:4], float(values[4]))
     drawn = 0.5
     net.offset += float(np.log(share / (1 - share)) - np.log(drawn / (1 - drawn)))
     return net
@@ -187,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | f
     draw = F.xxhash64(F.lit("quality"), "doc_id")
     chosen = [known.filter(F.col("good") == good).select("doc_id", "good").orderBy(draw, "doc_id").limit(sample) for good in (True, False)]
     # At most 2 * sample short rows.
-    drawn = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    drawn = docs.filter("text IS NOT NULL").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
     rows = drawn.groupBy("doc_id", "good").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     good = np.array([r["good"] for r in rows], np.float32)
