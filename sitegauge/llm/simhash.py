@@ -7,7 +7,7 @@ table of all fingerprints, and every match is verified over all 64 bits. From a
 that a pair is found once. Verification is part of the join, so candidates are never emitted, only links.
 
 ``near_groups`` is the same search with more bits, for copies with more changes: a second word of 64 bits from another seed, three or four
-segments for each word, a search that either word may win, and all 128 bits verified.
+segments for each word, a search that either word may win, and all 128 bits verified. There, nodes first join the smallest one of an equal segment, and pairs within what is joined so make no links.
 
 * Words are runs of characters other than space and tab to carriage return; A-Z is lower-cased. A text with fewer words than
   a shingle has is one shingle; without words (or NULL) its fingerprint is zero, linked like any other.
@@ -142,24 +142,41 @@ def _segments(distance: int, segments: int) -> list[tuple[int, int, int]]:
     return [x for x in out if x[2] >= 0]
 
 
+def _within(distance: int, complete: int, words: int):
+    """Condition on columns a0, a1, ... and b0, b1, ...: near in some word, and in all together."""
+    apart = [F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(words)]
+    return reduce(lambda x, y: x | y, [x <= distance for x in apart]) & (reduce(lambda x, y: x + y, apart) <= complete)
+
+
+def _value(place: int, w: int, first: int, bits: int):
+    return F.shiftrightunsigned(f"w{w}", first).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(place << 56)
+
+
+def star_links(nodes: DataFrame, distance: int = GROUP_DISTANCE, complete: int = GROUP_COMPLETE, segments: int = 4, words: int = WORDS) -> DataFrame:
+    """Links (a, b) of each node to the smallest one that has an equal segment, where these are near: some of all links, never many."""
+    places = [(w, *segment) for w in range(words) for segment in _segments(distance, segments)]
+    values = F.array(*[_value(k, w, first, bits) for k, (w, first, bits, _) in enumerate(places)])
+    each = nodes.select("node", *[F.col(f"w{w}").alias(f"b{w}") for w in range(words)], F.explode(values).alias("value"))
+    least = each.groupBy("value").agg(F.min(F.struct("node", *[F.col(f"b{w}") for w in range(words)])).alias("least"), F.count(F.lit(1)).alias("n"))
+    centre = saved(least.filter("n > 1").select("value", F.col("least.node").alias("a"), *[F.col(f"least.b{w}").alias(f"a{w}") for w in range(words)]), "centres")
+    met = each.join(centre.hint("merge"), "value").filter((F.col("a") != F.col("node")) & _within(distance, complete, words))
+    return met.select("a", F.col("node").alias("b"))
+
+
 def word_links(nodes: DataFrame, distance: int = GROUP_DISTANCE, complete: int = GROUP_COMPLETE, segments: int = 4,
                words: int = WORDS) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, w0, w1, ...) within ``distance`` in some word and within ``complete`` in all; each pair once."""
     places = [(w, *segment) for w in range(words) for segment in _segments(distance, segments)]
-    tag = 1 << 56
-
-    def value(w: int, first: int, bits: int):
-        return F.shiftrightunsigned(f"w{w}", first).bitwiseAND(F.lit((1 << bits) - 1))
 
     def of(side: str) -> list:
         return [F.col("node").alias(side), *[F.col(f"w{w}").alias(f"{side}{w}") for w in range(words)]]
     asked, held = [], []
     for k, (w, first, bits, radius) in enumerate(places):
-        ball = nodes.select(*of("a"), value(w, first, bits).alias("centre"), F.explode(F.lit(_ball(bits, radius))).alias("flips"))
+        ball = nodes.select(*of("a"), _value(k, w, first, bits).alias("centre"), F.explode(F.lit(_ball(bits, radius))).alias("flips"))
         probe = F.col("centre").bitwiseXOR(F.col("flips"))
         asked.append(ball.filter(probe >= F.col("centre")).select(*[c for c in ball.columns if c not in ("centre", "flips")],
-                                                                  (probe + F.lit(k * tag)).alias("value")))
-        held.append(nodes.select(*of("b"), (value(w, first, bits) + F.lit(k * tag)).alias("value")))
+                                                                  probe.alias("value")))
+        held.append(nodes.select(*of("b"), _value(k, w, first, bits).alias("value")))
     differ = [F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")) for w in range(words)]
     apart = [F.bit_count(d) for d in differ]
 
@@ -172,11 +189,8 @@ def word_links(nodes: DataFrame, distance: int = GROUP_DISTANCE, complete: int =
         ordered = (inside(w, first, bits) > 0) | (F.col("a") < F.col("b"))
         once = once | ((F.shiftright("value", 56) == k) & here & ordered & ~earlier)
         earlier = earlier | here
-    total = apart[0]
-    for x in apart[1:]:
-        total = total + x
     met = reduce(DataFrame.unionByName, asked).join(reduce(DataFrame.unionByName, held).hint("merge"), "value")
-    return met.filter((F.col("a") != F.col("b")) & (total <= complete) & once).select("a", "b")
+    return met.filter((F.col("a") != F.col("b")) & _within(distance, complete, words) & once).select("a", "b")
 
 
 def near_groups(docs: DataFrame, shingle: int = GROUP_SHINGLE, distance: int = GROUP_DISTANCE, complete: int = GROUP_COMPLETE) -> DataFrame:
@@ -188,8 +202,15 @@ def near_groups(docs: DataFrame, shingle: int = GROUP_SHINGLE, distance: int = G
     rows = saved(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, w0 bigint, w1 bigint"), "words")
     nodes = saved(rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("smallest")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     segments = 4 if nodes.count() <= FOUR_SEGMENTS else 3
-    parts = saved(connected_components(word_links(nodes.select("node", "w0", "w1"), distance, complete, segments)), "parts")
-    linked = saved(nodes.join(parts, "node").select("w0", "w1", "smallest", "component"), "linked")
+    settings = (distance, complete, segments)
+    # Copies of one text are near each other, all with all. What stars join first needs no links within it.
+    stars = saved(connected_components(star_links(nodes.select("node", "w0", "w1"), *settings)), "stars")
+    joined = saved(nodes.join(stars, "node", "left").select("w0", "w1", "smallest", F.coalesce("component", "node").alias("node")), "joined")
+    parts = connected_components(word_links(joined.select("node", "w0", "w1"), *settings))
+    # A star that meets no other keeps its own number.
+    alone = stars.select(F.col("component").alias("node")).distinct().join(parts, "node", "left_anti")
+    parts = saved(parts.unionByName(alone.withColumn("component", F.col("node"))), "parts")
+    linked = saved(joined.join(parts, "node").select("w0", "w1", "smallest", "component"), "linked")
     least = saved(linked.groupBy("component").agg(F.min("smallest").alias("component_id")), "least")
     named = saved(nodes.select("w0", "w1", "smallest").join(linked.join(least, "component").select("w0", "w1", "component_id"), ["w0", "w1"], "left").select(
         "w0", "w1", F.coalesce("component_id", "smallest").alias("component_id")), "named")

@@ -723,6 +723,24 @@ def test_word_links_equal_all_pairs(spark, segments):
     assert {(b, a) for a, b in got} == want and len(got) == len(want)
 
 
+def test_many_near_copies_make_few_links(spark):
+    """A crowd of copies with one change each: one group, by far fewer links than pairs."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(-2 ** 63, 2 ** 63 - 1, 2)
+    rows = []
+    for i in range(600):
+        near = base.copy()
+        for f in rng.choice(128, 4, replace=False):
+            near[f // 64] ^= np.int64(np.uint64(1) << np.uint64(f % 64))
+        rows.append((i, int(near[0]), int(near[1])))
+    nodes = spark.createDataFrame(rows, "node long, w0 long, w1 long").cache()
+    stars = simhash.star_links(nodes)
+    assert stars.count() <= 8 * 600
+    parts = connected_components(stars)
+    joined = nodes.join(parts, "node", "left").selectExpr("coalesce(component, node) AS node", "w0", "w1")
+    assert simhash.word_links(joined).count() < 6000 < simhash.word_links(nodes).count()
+
+
 def test_near_groups(spark):
     base = [f"word{i}" for i in range(400)]
     changed = [w if k not in (50, 200) else "other" for k, w in enumerate(base)]
