@@ -18,13 +18,13 @@ from sitegauge.session import durable
 BROADCAST_ROWS = 100_000
 
 
-def lookup(df: DataFrame) -> DataFrame:
-    """A derived table for a keyed join: broadcast when it proves small, else joined by shuffle.
+def lookup(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A derived table for a keyed join: broadcast when it proves to have at most ``most`` rows, else joined by shuffle.
 
     The table is materialised before it is counted, so the check costs no second pass.
     """
     kept = durable(df)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    return F.broadcast(kept) if kept.count() <= most else kept
 
 
 def _named(columns: Sequence[str | Column]) -> list[Column]:

@@ -1,7 +1,7 @@
 """Spatial joins as equi-joins on grid cells.
 
-Exact copies of a coordinate collapse before any join. Searches start on coarse
-cells and descend into finer ones only where a cell holds many points; at every
+Exact copies of a coordinate collapse before any join. Searches for points start on coarse
+cells and descend a tree that is finer only where points are crowded (``quadtree``); at every
 level cells that cannot matter are pruned by their smallest (or largest) possible
 distance. A crowded cell therefore never meets a crowded cell row by row.
 """
@@ -10,168 +10,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegauge.functions.scalar import EARTH_RADIUS_KM, cell_floor, degree_distance, haversine_km
-from sitegauge.session import durable
-
-SPLIT_BITS = 2            # one level down halves a cell's sides twice
-LEAF_POINTS = 64          # cells with at most this many distinct points are searched directly
-MAX_DEPTH = 9
-SLACK = 1.0 + 1e-9        # keeps pruning safe against rounding
-
-
-@dataclass(frozen=True)
-class Metric:
-    """Distance between two points and the reach of one degree."""
-
-    wraps: bool
-
-    def distance(self, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-        return (haversine_km if self.wraps else degree_distance)(lat1, lon1, lat2, lon2)
-
-    def at_most_from_centre(self, cell: float) -> float:
-        """No point of a cell is farther than this from its centre (half the diagonal)."""
-        per_degree = EARTH_RADIUS_KM * math.pi / 180.0 if self.wraps else 1.0
-        return cell * per_degree * math.sqrt(0.5) * SLACK
-
-    def at_least(self, lat: Column, lon: Column, centre_lat: Column, centre_lon: Column, cell: float) -> Column:
-        """No point of the cell is nearer than this.
-
-        On the sphere a gap in latitude is itself a lower bound, and so is the
-        distance to the nearest meridian of the cell.
-        """
-        dlat = F.greatest(F.lit(0.0), F.abs(lat - centre_lat) - cell / 2)
-        apart = F.abs(lon - centre_lon)
-        if not self.wraps:
-            dlon = F.greatest(F.lit(0.0), apart - cell / 2)
-            return F.sqrt(dlat * dlat + dlon * dlon) / SLACK
-        around = F.least(apart, 360.0 - apart)
-        dlon = F.least(F.lit(90.0), F.greatest(F.lit(0.0), around - cell / 2))
-        to_meridian = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(dlon)))
-        return F.greatest(F.radians(dlat), to_meridian) * F.lit(EARTH_RADIUS_KM / SLACK)
-
-
-DEGREES = Metric(wraps=False)
-KILOMETRES = Metric(wraps=True)
-
-
-def _index(value: Column, offset: float, cell: float) -> Column:
-    return F.floor((value + F.lit(offset)) / F.lit(cell)).cast("bigint")
-
-
-def _coarser(index: Column, levels: int) -> Column:
-    return F.shiftright(index, SPLIT_BITS * levels)
-
-
-def _centre(index: Column, offset: float, cell: float) -> Column:
-    return (index + 0.5) * F.lit(cell) - F.lit(offset)
-
-
-@dataclass(frozen=True)
-class Pyramid:
-    """Point cells at every level of a search."""
-
-    points: DataFrame          # distinct coordinates with leaf keys
-    cell: float                # size of a level-0 cell in degrees
-    depth: int
-
-    def size(self, level: int) -> float:
-        return self.cell / (1 << (SPLIT_BITS * level))
-
-    def level(self, k: int) -> DataFrame:
-        """Non-empty cells of level k: parent key, own key, weight, one member point."""
-        up = self.depth - k
-        keyed = self.points.select(
-            _coarser(F.col("cy"), up).alias("ky"), _coarser(F.col("cx"), up).alias("kx"),
-            "plat", "plon", "pid", "weight")
-        cells = keyed.groupBy("ky", "kx").agg(
-            F.sum("weight").alias("cell_weight"),
-            F.min(F.struct("plat", "plon")).alias("member"))
-        return cells.select(
-            _coarser(F.col("ky"), 1).alias("parent_y"), _coarser(F.col("kx"), 1).alias("parent_x"),
-            "ky", "kx", "cell_weight",
-            F.col("member.plat").alias("mlat"), F.col("member.plon").alias("mlon"))
-
-
-def _distinct_points(points: DataFrame, point_id: str) -> DataFrame:
-    """One row per coordinate: smallest id and the number of copies."""
-    return points.groupBy(F.col("lat").alias("plat"), F.col("lon").alias("plon")).agg(
-        F.min(point_id).alias("pid"), F.count(F.lit(1)).alias("weight"))
-
-
-def build_pyramid(points: DataFrame, point_id: str, cell: float, leaf_points: int = LEAF_POINTS,
-                  max_depth: int = MAX_DEPTH) -> Pyramid:
-    """Choose the depth from the data: deep enough that no leaf cell is crowded."""
-    distinct = _distinct_points(points, point_id)
-    depth = _depth(distinct, cell, leaf_points, max_depth)
-    size = cell / (1 << (SPLIT_BITS * depth))
-    keyed = distinct.select("*", _index(F.col("plat"), 90.0, size).alias("cy"),
-                            _index(F.col("plon"), 180.0, size).alias("cx"))
-    # Every level rereads the distinct points, so they are kept once they are read often.
-    return Pyramid(durable(keyed) if depth else keyed, cell, depth)
-
-
-def _depth(distinct: DataFrame, cell: float, leaf_points: int, max_depth: int) -> int:
-    """Smallest depth whose fullest cell is small enough; a few levels are measured per job."""
-    for start in range(0, max_depth + 1, 3):
-        levels = range(start, min(start + 3, max_depth + 1))
-        keys = F.array(*[F.struct(
-            F.lit(k).alias("k"), _index(F.col("plat"), 90.0, cell / (1 << (SPLIT_BITS * k))).alias("y"),
-            _index(F.col("plon"), 180.0, cell / (1 << (SPLIT_BITS * k))).alias("x")) for k in levels])
-        full = (distinct.select(F.explode(keys).alias("c")).groupBy("c").count()
-                .groupBy(F.col("c.k").alias("k")).agg(F.max("count").alias("crowd")).collect())   # one row per level
-        fits = [r.k for r in full if r.crowd <= leaf_points]
-        if fits or not full:
-            return min(fits, default=0)
-    return max_depth
+from sitegauge.functions.scalar import EARTH_RADIUS_KM, cell_floor
+from sitegauge.operators import quadtree
+from sitegauge.operators.quadtree import DEGREES, KILOMETRES, LEAF_POINTS, SLACK
+from sitegauge.operators.quadtree import centre as _centre
+from sitegauge.operators.quadtree import index as _index
 
 
 def _site_rows(sites: DataFrame, site_id: str) -> DataFrame:
     return sites.select(F.col(site_id).alias("sid"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
 
 
-def _descend_nearest(frontier: DataFrame, pyramid: Pyramid, metric: Metric, radius: float | None) -> DataFrame:
-    """Follow only the cells that may hold the nearest point, level by level."""
-    for k in range(1, pyramid.depth + 1):
-        size = pyramid.size(k)
-        children = pyramid.level(k).withColumnsRenamed({"ky": "ny", "kx": "nx"})
-        reached = frontier.join(
-            children, (F.col("ky") == F.col("parent_y")) & (F.col("kx") == F.col("parent_x")))
-        to_member = metric.distance(F.col("slat"), F.col("slon"), F.col("mlat"), F.col("mlon"))
-        at_least = metric.at_least(F.col("slat"), F.col("slon"), _centre(F.col("ny"), 90.0, size),
-                                   _centre(F.col("nx"), 180.0, size), size)
-        measured = reached.select("sid", "slat", "slon", F.col("ny").alias("ky"), F.col("nx").alias("kx"),
-                                  to_member.alias("near"), at_least.alias("at_least"))
-        if radius is not None:
-            measured = measured.filter(F.col("at_least") <= radius * SLACK)
-        # A site has a bounded number of live cells, so its list stays short.
-        frontier = (
-            measured.groupBy("sid", "slat", "slon")
-            .agg(F.min("near").alias("best"), F.collect_list(F.struct("at_least", "ky", "kx")).alias("cells"))
-            .select("sid", "slat", "slon", F.explode(
-                F.filter("cells", lambda c: c["at_least"] <= F.col("best") * SLACK)).alias("c"))
-            .select("sid", "slat", "slon", "c.ky", "c.kx"))
-    return frontier
-
-
-def _nearest_in_leaves(frontier: DataFrame, pyramid: Pyramid, metric: Metric, radius: float | None,
-                       inclusive: bool) -> DataFrame:
-    pairs = frontier.join(
-        pyramid.points.select("cy", "cx", "plat", "plon", "pid"),
-        (F.col("ky") == F.col("cy")) & (F.col("kx") == F.col("cx")))
-    d = metric.distance(F.col("slat"), F.col("slon"), F.col("plat"), F.col("plon"))
-    found = pairs.select("sid", d.alias("distance"), "pid")
-    if radius is not None:
-        found = found.filter((F.col("distance") <= radius) if inclusive else (F.col("distance") < radius))
-    return found.groupBy("sid").agg(F.min(F.struct("distance", "pid")).alias("hit"))
-
-
 def nearest_within(sites: DataFrame, points: DataFrame, radius: float, site_id: str, point_id: str,
                    inclusive: bool = False, leaf_points: int = LEAF_POINTS) -> DataFrame:
     """Nearest point in degree distance inside ``radius``; ties go to the smallest id.
@@ -179,18 +34,12 @@ def nearest_within(sites: DataFrame, points: DataFrame, radius: float, site_id:
     Returns (site_id, nearest_id, distance) for sites with a hit.
     """
     cell = radius * SLACK
-    pyramid = build_pyramid(points, point_id, cell, leaf_points)
-    up = pyramid.depth
-    leaf = pyramid.size(up)
+    tree = quadtree.build(points, point_id, cell, leaf_points)
     around = F.explode(F.array(*[
         F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
-    home = _site_rows(sites, site_id).select(
-        "*", _coarser(_index(F.col("slat"), 90.0, leaf), up).alias("hy"),
-        _coarser(_index(F.col("slon"), 180.0, leaf), up).alias("hx"), around.alias("o"))
-    frontier = home.select("sid", "slat", "slon", (F.col("hy") + F.col("o.dy")).alias("ky"),
-                           (F.col("hx") + F.col("o.dx")).alias("kx"))
-    frontier = _descend_nearest(frontier, pyramid, DEGREES, radius)
-    hits = _nearest_in_leaves(frontier, pyramid, DEGREES, radius, inclusive)
+    home = _site_rows(sites, site_id).select("*", _index(F.col("slat"), 90.0, cell).alias("hy"), _index(F.col("slon"), 180.0, cell).alias("hx"), around.alias("o"))
+    frontier = home.select("sid", "slat", "slon", (F.col("hy") + F.col("o.dy")).alias("ky"), (F.col("hx") + F.col("o.dx")).alias("kx"))
+    hits = quadtree.nearest(frontier, tree, DEGREES, radius, inclusive)
     return hits.select(F.col("sid").alias(site_id), F.col("hit.pid").alias("nearest_id"),
                        F.col("hit.distance").alias("distance"))
 
@@ -198,14 +47,14 @@ def nearest_within(sites: DataFrame, points: DataFrame, radius: float, site_id:
 WORLD_CELL = 7.5          # at most 25 x 49 cells cover the globe, bounds included
 
 
-def _world_candidates(pyramid: Pyramid) -> DataFrame:
+def _world_candidates(tree: quadtree.Quadtree) -> DataFrame:
     """For every cell of the globe, the non-empty cells that may hold the nearest point.
 
     Bounds between cells use centres and half diagonals, so the table serves all
     sites of a cell. Points are on the globe, so both sides are at most 1225 cells,
     whatever the size of the data; that also bounds the broadcast of the result.
     """
-    cells = pyramid.level(0).select("ky", "kx", "mlat", "mlon").collect()   # at most 1225 rows
+    cells = tree.cells[0].select("ky", "kx", "mlat", "mlon").collect()   # at most 1225 rows
     half = math.radians(WORLD_CELL) * math.sqrt(0.5) * SLACK
     rows = []
     if cells:
@@ -221,7 +70,7 @@ def _world_candidates(pyramid: Pyramid) -> DataFrame:
                 keep = np.flatnonzero(gap[x] <= reach[x] * SLACK)
                 rows.append((hy, int(x), [tuple(cells[i]) for i in keep]))
     schema = "hy bigint, hx bigint, cells array<struct<ky: bigint, kx: bigint, mlat: double, mlon: double>>"
-    return pyramid.points.sparkSession.createDataFrame(rows, schema, verifySchema=False)
+    return tree.points.sparkSession.createDataFrame(rows, schema, verifySchema=False)
 
 
 def _unit(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -243,8 +92,8 @@ def nearest_feature(sites: DataFrame, points: DataFrame, site_id: str, point_id:
     A site starts from the candidate cells of its own cell of the globe, drops
     those that its exact position rules out, and descends into the rest.
     """
-    pyramid = build_pyramid(points.filter(on_globe(F.col("lat"), F.col("lon"))), point_id, WORLD_CELL, leaf_points)
-    candidates = F.broadcast(_world_candidates(pyramid))
+    tree = quadtree.build(points.filter(on_globe(F.col("lat"), F.col("lon"))), point_id, WORLD_CELL, leaf_points)
+    candidates = F.broadcast(_world_candidates(tree))
 
     def near(c: Column) -> Column:
         return KILOMETRES.distance(F.col("slat"), F.col("slon"), c["mlat"], c["mlon"])
@@ -261,17 +110,12 @@ def nearest_feature(sites: DataFrame, points: DataFrame, site_id: str, point_id:
         .select("sid", "slat", "slon",
                 F.explode(F.filter("cells", lambda c: at_least(c) <= F.col("best") * SLACK)).alias("c"))
         .select("sid", "slat", "slon", F.col("c.ky").alias("ky"), F.col("c.kx").alias("kx")))
-    frontier = _descend_nearest(frontier, pyramid, KILOMETRES, None)
-    hits = _nearest_in_leaves(frontier, pyramid, KILOMETRES, None, True)
+    hits = quadtree.nearest(frontier, tree, KILOMETRES)
     found = hits.select(F.col("sid").alias(site_id), F.col("hit.pid").alias("nearest_id"),
                         F.col("hit.distance").alias("distance"))
     return sites.select(site_id).join(found, site_id, "left")
 
 
-def _no_cell() -> Column:
-    return F.lit(-1).cast("bigint")
-
-
 def _cells_in_reach(sites: DataFrame, site_id: str, km: float, cell: float) -> DataFrame:
     """Sites exploded to every cell that a circle of ``km`` may touch."""
     reach = math.degrees(km / EARTH_RADIUS_KM) * SLACK
@@ -299,48 +143,22 @@ def _cell_for_radius(km: float) -> float:
     return 60.0
 
 
+EDGE_POINTS = 16   # points and cells on a circle's edge cost about as much
+
+
 def radius_count(sites: DataFrame, points: DataFrame, km: float, site_id: str, point_id: str,
-                 leaf_points: int = LEAF_POINTS) -> DataFrame:
+                 leaf_points: int = EDGE_POINTS) -> DataFrame:
     """Number of points within ``km`` of every site (0 when there are none).
 
     Cells wholly inside the circle add their count at once; only cells on the
     circle are opened, so the work per site follows the circle's edge.
     """
     cell = _cell_for_radius(km)
-    # Below 1/64 of the radius the edge itself crosses hundreds of cells.
-    deepest = max(0, int(math.log2(64 * cell / math.degrees(km / EARTH_RADIUS_KM)) // SPLIT_BITS))
     on_globe = points.withColumn("lon", F.when(F.col("lon") >= 180.0, F.col("lon") - 360.0).otherwise(F.col("lon")))
-    pyramid = build_pyramid(on_globe, point_id, cell, leaf_points, deepest)
-    frontier = _cells_in_reach(sites, site_id, km, cell).withColumn("settled", F.lit(0).cast("bigint"))
-    for k in range(1, pyramid.depth + 1):
-        size = pyramid.size(k)
-        half = KILOMETRES.at_most_from_centre(size)
-        children = pyramid.level(k).withColumnsRenamed({"ky": "ny", "kx": "nx"})
-        reached = frontier.join(
-            children, (F.col("ky") == F.col("parent_y")) & (F.col("kx") == F.col("parent_x")), "left")
-        middle = (F.col("slat"), F.col("slon"), _centre(F.col("ny"), 90.0, size), _centre(F.col("nx"), 180.0, size))
-        inside = KILOMETRES.distance(*middle) + half <= km
-        touched = KILOMETRES.at_least(*middle, size) <= km
-        classed = reached.select("sid", "slat", "slon", "settled", "ny", "nx", "cell_weight",
-                                 inside.alias("inside"), touched.alias("touched"))
-        # The cells on the circle are few at every level, so the list stays short.
-        edge = F.collect_list(F.when(F.col("touched") & ~F.col("inside"), F.struct("ny", "nx")))
-        summed = classed.groupBy("sid", "slat", "slon").agg(
-            (F.sum("settled") + F.coalesce(F.sum(F.when(F.col("inside"), F.col("cell_weight"))), F.lit(0)))
-            .alias("settled"), edge.alias("edge"))
-        # One keyless row per site carries its settled count past the next join.
-        carrier = F.array(F.struct(_no_cell().alias("ky"), _no_cell().alias("kx"), F.col("settled").alias("settled")))
-        open_cells = F.transform("edge", lambda c: F.struct(
-            c["ny"].alias("ky"), c["nx"].alias("kx"), F.lit(0).cast("bigint").alias("settled")))
-        frontier = summed.select("sid", "slat", "slon", F.explode(F.concat(carrier, open_cells)).alias("c")).select(
-            "sid", "slat", "slon", "c.ky", "c.kx", "c.settled")
-    leaves = frontier.join(
-        pyramid.points.select("cy", "cx", "plat", "plon", "weight"),
-        (F.col("ky") == F.col("cy")) & (F.col("kx") == F.col("cx")), "left")
-    d = KILOMETRES.distance(F.col("slat"), F.col("slon"), F.col("plat"), F.col("plon"))
-    close = F.coalesce(F.sum(F.when(d <= km, F.col("weight"))), F.lit(0))
-    # Carrier rows match nothing, so each settled count is added exactly once.
-    return leaves.groupBy("sid").agg((close + F.sum("settled")).alias("n")).withColumnRenamed("sid", site_id)
+    tree = quadtree.build(on_globe, point_id, cell, leaf_points)
+    parts = quadtree.count_within(_cells_in_reach(sites, site_id, km, cell), tree, km)
+    every = sites.select(F.col(site_id).alias("sid"), F.lit(0).cast("bigint").alias("n"))
+    return parts.unionByName(every).groupBy("sid").agg(F.sum("n").alias("n")).withColumnRenamed("sid", site_id)
 
 
 def pairs_within(sites: DataFrame, points: DataFrame, km: float, site_id: str) -> DataFrame:
