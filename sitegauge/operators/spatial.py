@@ -21,6 +21,7 @@ from sitegauge.operators import quadtree
 from sitegauge.operators.quadtree import DEGREES, KILOMETRES, LEAF_POINTS, SLACK
 from sitegauge.operators.quadtree import centre as _centre
 from sitegauge.operators.quadtree import index as _index
+from sitegauge.operators.ranking import lookup
 
 
 def _site_rows(sites: DataFrame, site_id: str) -> DataFrame:
@@ -161,6 +162,9 @@ def radius_count(sites: DataFrame, points: DataFrame, km: float, site_id: str, p
     return parts.unionByName(every).groupBy("sid").agg(F.sum("n").alias("n")).withColumnRenamed("sid", site_id)
 
 
+BLOCK_POINTS = 4096
+
+
 def pairs_within(sites: DataFrame, points: DataFrame, km: float, site_id: str) -> DataFrame:
     """Site-point pairs within ``km`` with their distance, for neighbourhood sums.
 
@@ -172,7 +176,24 @@ def pairs_within(sites: DataFrame, points: DataFrame, km: float, site_id: str) -
         "cy": _index(F.col("plat"), 90.0, cell),
         "cx": F.pmod(_index(F.col("plon"), 180.0, cell), world)})
     reach = _cells_in_reach(sites, site_id, km, cell)
-    joined = reach.join(keyed, (F.col("ky") == F.col("cy")) & (F.col("kx") == F.col("cx")))
+    # A crowded cell is cut into blocks on both sides, and every block of sites meets every block of points in a task of its own.
+    counted = keyed.groupBy("cy", "cx").count().filter(F.col("count") > BLOCK_POINTS)
+    crowded = lookup(counted.select(F.col("cy").alias("by"), F.col("cx").alias("bx"), F.ceil(F.col("count") / BLOCK_POINTS).cast("int").alias("pblocks")))
+    here = lambda y, x: (F.col(y) == F.col("by")) & (F.col(x) == F.col("bx"))
+    if crowded.isEmpty():
+        joined = reach.join(keyed, (F.col("ky") == F.col("cy")) & (F.col("kx") == F.col("cx")))
+    else:
+        asking = reach.join(crowded, here("ky", "kx")).groupBy("by", "bx", "pblocks").count()
+        blocks = lookup(asking.select("by", "bx", "pblocks", F.ceil(F.col("count") / BLOCK_POINTS).cast("int").alias("sblocks")))
+
+        def blocked(rows: DataFrame, y: str, x: str, key: Sequence[str], own: str, other: str) -> DataFrame:
+            several = rows.join(blocks, here(y, x), "left").withColumns({n: F.coalesce(n, F.lit(1)) for n in ("pblocks", "sblocks")})
+            dealt = several.withColumn("_own", F.pmod(F.xxhash64(*key), F.col(own)).cast("int"))
+            return dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("by", "bx", "pblocks", "sblocks")
+        some = blocked(reach, "ky", "kx", ["sid"], "sblocks", "pblocks").withColumnsRenamed({"_own": "_site", "_other": "_point"})
+        those = blocked(keyed, "cy", "cx", ["plat", "plon"], "pblocks", "sblocks").withColumnsRenamed({"_own": "_pown", "_other": "_sown"})
+        joined = some.join(those, (F.col("ky") == F.col("cy")) & (F.col("kx") == F.col("cx")) & (F.col("_point") == F.col("_pown"))
+                           & (F.col("_site") == F.col("_sown"))).drop("_site", "_point", "_pown", "_sown")
     d = KILOMETRES.distance(F.col("slat"), F.col("slon"), F.col("plat"), F.col("plon"))
     return joined.withColumn("distance_km", d).filter(F.col("distance_km") <= km).drop("ky", "kx", "cy", "cx")
 
@@ -255,9 +276,20 @@ def exclude_same_cell(candidates: DataFrame, occupied: DataFrame, cell: float =
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
-def _box_cells(df: DataFrame, prefix: str, cell: float) -> DataFrame:
+LEVEL_FACTOR = 4.0
+LEVELS = 10
+
+
+def _levelled(df: DataFrame, prefix: str, cell: float) -> DataFrame:
+    """Boxes with ``level``: the finest cell size that is at least their extent, so that a box lies in four cells at most."""
+    extent = F.greatest(F.col(prefix + "xmax") - F.col(prefix + "xmin"), F.col(prefix + "ymax") - F.col(prefix + "ymin"))
+    level = reduce(lambda rest, k: F.when(extent <= cell * LEVEL_FACTOR ** k, F.lit(k)).otherwise(rest), range(LEVELS - 2, -1, -1), F.lit(LEVELS - 1))
+    return df.filter(extent.isNotNull()).withColumn("level", level)
+
+
+def _box_cells(df: DataFrame, prefix: str, size: Column) -> DataFrame:
     def cells(lo: str, hi: str) -> Column:
-        return F.explode(F.sequence(cell_floor(F.col(prefix + lo), cell), cell_floor(F.col(prefix + hi), cell)))
+        return F.explode(F.sequence(F.floor(F.col(prefix + lo) / size), F.floor(F.col(prefix + hi) / size)))
     return df.select("*", cells("xmin", "xmax").alias("gx")).select("*", cells("ymin", "ymax").alias("gy"))
 
 
@@ -265,19 +297,28 @@ def bbox_join(left: DataFrame, right: DataFrame, left_cols: Sequence[str], right
               cell: float = 0.1) -> DataFrame:
     """Pairs of boxes that overlap or touch.
 
-    Two boxes meet in several cells; the pair is kept only in the cell of the
-    lower-left corner of the intersection, so no distinct is needed.
+    A box is kept at the level of its extent, in at most four cells, and looked up at all coarser levels that the other side has. So a
+    continental box makes a handful of rows. The finer box of a pair (the left one of equals) finds the coarser one, and the pair is
+    kept only in the cell of the lower-left corner of the intersection: no distinct is needed. Boxes with NULL bounds meet none.
+
+    Runs two small jobs while the plan is built, to see which levels there are.
     """
-    a = left.select(*left_cols, *[F.col(c).alias(f"a_{c}") for c in BOX])
-    b = right.select(*right_cols, *[F.col(c).alias(f"b_{c}") for c in BOX])
-    cells_a = _box_cells(a, "a_", cell)
-    cells_b = _box_cells(b, "b_", cell).withColumnsRenamed({"gx": "hx", "gy": "hy"})
-    joined = cells_a.join(cells_b, (F.col("gx") == F.col("hx")) & (F.col("gy") == F.col("hy")))
+    sizes = F.array(*[F.lit(cell * LEVEL_FACTOR ** k) for k in range(LEVELS)])
+    a = _levelled(left.select(*left_cols, *[F.col(c).alias(f"a_{c}") for c in BOX]), "a_", cell)
+    b = _levelled(right.select(*right_cols, *[F.col(c).alias(f"b_{c}") for c in BOX]), "b_", cell)
     touch = ((F.col("a_xmax") >= F.col("b_xmin")) & (F.col("a_xmin") <= F.col("b_xmax"))
              & (F.col("a_ymax") >= F.col("b_ymin")) & (F.col("a_ymin") <= F.col("b_ymax")))
-    home = ((F.col("gx") == cell_floor(F.greatest("a_xmin", "b_xmin"), cell))
-            & (F.col("gy") == cell_floor(F.greatest("a_ymin", "b_ymin"), cell)))
-    return joined.filter(touch & home).select(*left_cols, *right_cols)
+
+    def met(fine: DataFrame, coarse: DataFrame, fine_prefix: str, coarse_prefix: str, own: bool) -> DataFrame:
+        present = sorted(r["level"] for r in coarse.select("level").distinct().collect())   # at most LEVELS rows
+        upper = F.filter(F.lit(present).cast("array<int>"), lambda k: (k >= F.col("level")) if own else (k > F.col("level")))
+        asked = _box_cells(fine.select("*", F.explode(upper).alias("at")), fine_prefix, F.element_at(sizes, F.col("at") + 1)).drop("level")
+        held = _box_cells(coarse, coarse_prefix, F.element_at(sizes, F.col("level") + 1)).withColumnsRenamed({"gx": "hx", "gy": "hy"})
+        size = F.element_at(sizes, F.col("at") + 1)
+        home = ((F.col("gx") == F.floor(F.greatest("a_xmin", "b_xmin") / size)) & (F.col("gy") == F.floor(F.greatest("a_ymin", "b_ymin") / size)))
+        joined = asked.join(held, (F.col("at") == F.col("level")) & (F.col("gx") == F.col("hx")) & (F.col("gy") == F.col("hy")))
+        return joined.filter(touch & home).select(*left_cols, *right_cols)
+    return met(a, b, "a_", "b_", True).unionByName(met(b, a, "b_", "a_", False))
 
 
 def ring_bbox(ring: Column) -> dict[str, Column]:

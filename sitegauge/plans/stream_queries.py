@@ -30,20 +30,48 @@ def stream_score(spark, d):
     return _run(spark, scored, "scores")
 
 
-_WINDOWS = (cte("readings") + ", w AS (SELECT site_id, unnest(generate_series(date_trunc('day', ts)-INTERVAL 9 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS window_start, discharge FROM readings), "
-            "g AS (SELECT site_id, window_start, window_start+INTERVAL 10 DAY AS window_end, avg(CASE WHEN discharge>=0 THEN discharge END) AS m, count(*) AS n FROM w GROUP BY 1,2) "
+def _windows_sql(days: int) -> str:
+    return (cte("readings") + f", w AS (SELECT site_id, unnest(generate_series(date_trunc('day', ts)-INTERVAL {days - 1} DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS window_start, discharge FROM readings), "
+            f"g AS (SELECT site_id, window_start, window_start+INTERVAL {days} DAY AS window_end, avg(CASE WHEN discharge>=0 THEN discharge END) AS m, count(*) AS n FROM w GROUP BY 1,2) "
             "SELECT site_id, strftime(window_start, '%Y-%m-%d') AS window_start, round(m, 9) AS mean_value, n FROM g WHERE window_end<=(SELECT max(ts)-INTERVAL 1 DAY FROM readings)")
 
 
-@query("stream_trailing_means", _WINDOWS)
-def stream_trailing_means(spark, d):
-    """Windows closed by the watermark, in append mode."""
+def _means(spark, d, days):
     readings = spark.sql(TABLES["readings"], events=_stream(spark, d, "events"))
     rows = readings.select("site_id", F.col("ts").cast("timestamp").alias("ts"), F.col("discharge").alias("value"))
-    out = _run(spark, jobs.trailing_means(rows, length="10 days", slide="1 day"), "means")
+    out = _run(spark, jobs.trailing_means(rows, length=f"{days} days"), "means")
     return out.select("site_id", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), F.round("mean_value", 9).alias("mean_value"), "n")
 
 
+@query("stream_trailing_means", _windows_sql(10))
+def stream_trailing_means(spark, d):
+    """Windows closed by the watermark, in append mode."""
+    return _means(spark, d, 10)
+
+
+@query("stream_trailing_year", _windows_sql(365))
+def stream_trailing_year(spark, d):
+    """The same over a year, as the measurements take it."""
+    return _means(spark, d, 365)
+
+
+@query("stream_failed_rows", cte("readings") + " SELECT event_id, coalesce(discharge>=0, false) AS processed, CASE WHEN discharge>=0 THEN NULL WHEN discharge<0 THEN 'negative' ELSE 'missing' END AS reason FROM readings")
+def stream_failed_rows(spark, d):
+    """Readings in two places, told apart batch by batch; the start after a failure repeats a batch without repeating rows."""
+    folder, done, failed, state, other = (scratch_path(spark, n) for n in ("arriving", "processed", "failed", "split-state", "split-state"))
+    readings = frame(spark, d, "readings").select("event_id", "discharge")
+    for remainder in (0, 1):
+        readings.filter(F.col("event_id") % 2 == remainder).coalesce(1).write.mode("append").parquet(folder)
+    v = F.col("discharge")
+    for checkpoint in (state, other):   # another checkpoint has no memory of the batches: all are written again, in place
+        stream = jobs.landing_stream(spark, folder, readings.schema, files_per_trigger=1)
+        jobs.split_batches(stream, v >= 0, done, failed, checkpoint, F.when(v < 0, "negative").otherwise("missing"))
+    ok = spark.read.schema(readings.schema).option("recursiveFileLookup", True).parquet(done)
+    bad = spark.read.schema(readings.schema.add("reason", "string")).option("recursiveFileLookup", True).parquet(failed)
+    return ok.select("event_id", F.lit(True).alias("processed"), F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select("event_id", F.lit(False).alias("processed"), "reason"))
+
+
 @query("stream_ingest_dedup", cte("readings") + " SELECT DISTINCT site_id, event_type FROM readings")
 def stream_ingest_dedup(spark, d):
     """The first arrival per (site, kind): the span of the data fits inside the lateness."""

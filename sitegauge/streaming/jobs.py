@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -54,15 +54,42 @@ def score_stream(sites: DataFrame, card: Scorecard) -> DataFrame:
     return score_sites(sites, card)
 
 
-def trailing_means(readings: DataFrame, site: str = "site_id", length: str = "30 days", slide: str = "1 day",
+def trailing_means(readings: DataFrame, site: str = "site_id", length: str = "365 days", slide: str = "1 day",
                    lateness: str = "1 day") -> DataFrame:
-    """Mean of valid readings per site in sliding windows; later rows than ``lateness`` are dropped."""
+    """Mean of valid readings per site in sliding windows; later rows than ``lateness`` are dropped.
+
+    Readings are summed once for each ``slide`` (a day), in state that the watermark closes; only these sums are copied into the windows
+    they belong to. So state and work follow sites and days, whatever the number of readings and the length of a window, which must
+    be a multiple of ``slide``. ``n`` counts all readings, ``mean_value`` is that of the valid ones (NULL if there are none).
+    """
     v = F.col("value")
-    return (
+    daily = (
         readings.withWatermark("ts", lateness)
-        .groupBy(site, F.window("ts", length, slide).alias("w"))
-        .agg(F.avg(F.when(v >= 0, v)).alias("mean_value"), F.count(F.lit(1)).alias("n"))
-        .select(site, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "mean_value", "n"))
+        .groupBy(site, F.window("ts", slide).alias("day"))
+        .agg(F.sum(F.when(v >= 0, v)).alias("total"), F.count_if(v >= 0).alias("valid"), F.count(F.lit(1)).alias("rows")))
+    return (
+        daily.withColumn("at", F.window_time("day"))
+        .groupBy(site, F.window("at", length, slide).alias("w"))
+        .agg(F.sum("total").alias("total"), F.sum("valid").alias("valid"), F.sum("rows").alias("n"))
+        .select(site, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                F.try_divide("total", "valid").alias("mean_value"), "n"))
+
+
+def split_batches(rows: DataFrame, valid: Column, done: str, failed: str, checkpoint: str, reason: Column | None = None) -> StreamingQuery:
+    """Two outputs of one stream: rows that are ``valid`` under ``done``, all others (NULL too) with their ``reason`` under ``failed``.
+
+    Each batch writes a folder of its own number in both places, over what an earlier try may have left there. So a batch that is run again
+    after a failure writes no row twice, and every row is in one of the two.
+    """
+    fine = F.coalesce(valid, F.lit(False))
+    why = reason if reason is not None else F.lit("invalid")
+
+    def handle(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        kept.filter(fine).write.mode("overwrite").parquet(f"{done}/batch={number}")
+        kept.filter(~fine).withColumn("reason", why).write.mode("overwrite").parquet(f"{failed}/batch={number}")
+        kept.unpersist()
+    return catch_up_batches(rows, handle, checkpoint, "append")
 
 
 def ingest_dedup(rows: DataFrame, keys: Sequence[str], lateness: str = "1 day") -> DataFrame:
