@@ -127,7 +127,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None) -> N
         [(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary), id_width(vocabulary))],
         "dictionary string, bytes binary, width int").write.parquet(f"{path}/dictionary")
     # Frames are compressed already; the ids travel in Spark's own compressed shuffle.
-    (ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("ids"))
+    (ids.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"))
         .mapInArrow(_compress(dictionary), _BLOCK)
         .write.option("compression", "none").parquet(f"{path}/blocks"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
