@@ -26,8 +26,8 @@ from sitegauge.llm.storage import saved
 
 NEIGHBOURS = 16          # links of a new node; twice as many are kept in the lowest layer
 BUILD_WIDTH = 64
-SEARCH_WIDTH = 128
-SHARD = 8_192
+SEARCH_WIDTH = 320
+SHARD = 16_384
 QUERY_BLOCK = 2_048
 TOP = 20
 

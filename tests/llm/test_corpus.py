@@ -502,6 +502,20 @@ def test_neighbours_recall(spark, sf_dir):
     assert hits / (20 * len(found)) >= 0.95
 
 
+def test_recall_over_shards_of_hard_vectors(spark):
+    """Independent normal vectors, queries of their own, three full shards and their merge."""
+    rng = np.random.default_rng(21)
+    vectors, asked = rng.normal(size=(3000, 64)), rng.normal(size=(60, 64))
+    schema = "vec_id long, vector array<double>"
+    index = hnsw.build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], schema), shard=1000)
+    assert index.shards.count() == 3
+    found = {}
+    for r in hnsw.search(index, spark.createDataFrame([(10_000 + i, q.tolist()) for i, q in enumerate(asked)], schema)).collect():
+        found.setdefault(r["query_id"] - 10_000, set()).add(r["vec_id"])
+    best = np.argsort(-(asked @ vectors.T), axis=1)[:, :20]
+    assert np.mean([len(found[i] & set(best[i].tolist())) for i in range(60)]) / 20 >= 0.9
+
+
 # Mixing
 
 def shares(sizes: dict, weights=(1, 2, 3), most=3) -> dict:
