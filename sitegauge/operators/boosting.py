@@ -11,7 +11,7 @@ lost executor costs the trees since then.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -251,29 +251,52 @@ def fit_many(df: DataFrame, plans: Sequence[Plan], settings: Boosting = Boosting
     return models
 
 
+def _partial(block_rows: Iterable[Rows], plans: Sequence[Plan], trees: list[Tree], slots: list[dict[int, int]], columns: list[np.ndarray],
+             salt: int, settings: Boosting) -> _Sums | None:
+    """Histograms of all models over some blocks."""
+    sums = None
+    for rows in block_rows:
+        found = _Sums([histogram(rows, m, p, t, s, c, salt, settings) for m, (p, t, s, c) in enumerate(zip(plans, trees, slots, columns))])
+        sums = found if sums is None else sums + found
+    return sums
+
+
 def _grow(state, plans: Sequence[Plan], width: int, number: int, settings: Boosting) -> list[Tree]:
-    """One tree for every plan."""
-    trees = [Tree.empty(settings.depth) for _ in plans]
+    """One tree for every plan.
+
+    Every level is a job that adds up the partitions' sums. Where all rows are one partition (``blocks.PARTITION_ROWS`` at most), its
+    sums are the totals, so the levels follow each other within its task.
+    """
     columns = [drawn_columns(p, width, number, settings) for p in plans]
     salt = settings.seed * 1_000_003 + number
-    parents: list[dict[int, np.ndarray]] = [{} for _ in plans]   # histograms of nodes that were split
-    open_: list[list[int]] = [[0] for _ in plans]
-    for level in range(settings.depth + 1):
-        last = level == settings.depth
-        # Of two siblings the one with fewer rows is counted; of the last level only the sums were needed, and they are known.
+
+    def over_all(trees: list[Tree], slots: list[dict[int, int]]) -> _Sums:
+        def partial(block_rows: Iterator[Rows]) -> Iterator[_Sums]:
+            sums = _partial(block_rows, plans, trees, slots, columns, salt, settings)
+            if sums is not None:
+                yield sums
+        return blocks.total(state.mapPartitions(partial))
+
+    def in_task(block_rows: Iterator[Rows]) -> Iterator[list[Tree]]:
+        held = list(block_rows)
+        yield _levels(lambda trees, slots: _partial(held, plans, trees, slots, columns, salt, settings), len(plans), columns, settings)
+    if state.getNumPartitions() == 1:
+        return state.mapPartitions(in_task).collect()[0]
+    return _levels(over_all, len(plans), columns, settings)
+
+
+def _levels(sums_of: Callable[[list[Tree], list[dict[int, int]]], _Sums], models: int, columns: list[np.ndarray], settings: Boosting) -> list[Tree]:
+    """Trees of all models, level by level, from sums for the nodes in each model's ``slots``."""
+    trees = [Tree.empty(settings.depth) for _ in range(models)]
+    parents: list[dict[int, np.ndarray]] = [{} for _ in trees]   # histograms of nodes that were split
+    open_: list[list[int]] = [[0] for _ in trees]
+    for _ in range(settings.depth):
+        # Of two siblings the one with fewer rows is counted. The leaves of the last level need no histograms.
         counted = [[n for n in nodes if n == 0 or n == _smaller(tree, n)] for nodes, tree in zip(open_, trees)]
-        if last or not any(counted):
+        if not any(counted):
             break
         slots = [{n: i for i, n in enumerate(c)} for c in counted]
-
-        def partial(block_rows: Iterator[Rows]) -> Iterator[list[np.ndarray]]:
-            sums = None
-            for rows in block_rows:
-                found = [histogram(rows, m, p, t, s, c, salt, settings) for m, (p, t, s, c) in enumerate(zip(plans, trees, slots, columns))]
-                sums = found if sums is None else [a + b for a, b in zip(sums, found)]
-            if sums is not None:
-                yield _Sums(sums)
-        sums = blocks.total(state.mapPartitions(partial)).arrays
+        sums = sums_of(trees, slots).arrays
         for m, tree in enumerate(trees):
             hists = {n: sums[m][i] for n, i in slots[m].items()}
             for n in open_[m]:
