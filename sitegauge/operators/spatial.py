@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.scalar import EARTH_RADIUS_KM, cell_floor
+from sitegauge.operators import polygons as polygon_index
 from sitegauge.operators import quadtree
 from sitegauge.operators.quadtree import DEGREES, KILOMETRES, LEAF_POINTS, SLACK
 from sitegauge.operators.quadtree import centre as _centre
@@ -327,53 +328,9 @@ def ring_bbox(ring: Column) -> dict[str, Column]:
     return {"xmin": F.array_min(lons), "ymin": F.array_min(lats), "xmax": F.array_max(lons), "ymax": F.array_max(lats)}
 
 
-def ring_edges(ring: Column) -> Column:
-    """Edges of a closed ring as (px, py, qx, qy) structs."""
-    return F.zip_with(
-        F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1),
-        lambda p, q: F.struct(p["lon"].alias("px"), p["lat"].alias("py"), q["lon"].alias("qx"), q["lat"].alias("qy")))
-
-
-def edges_contain(edges: Column, lat: Column, lon: Column) -> Column:
-    """Even-odd test, evaluated in the row: no edge is exploded or shuffled."""
-    crossed = F.filter(edges, lambda e: ((e["py"] > lat) != (e["qy"] > lat)) & (
-        lon < e["px"] + (lat - e["py"]) / F.nullif(e["qy"] - e["py"], F.lit(0.0)) * (e["qx"] - e["px"])))
-    return F.size(crossed) % 2 == 1
-
-
-CELL_SIZES = (0.1, 0.4, 1.6, 6.4, 25.6, 102.4, 409.6)
-
-
 def point_in_polygon(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str) -> DataFrame:
-    """(point_id, polygon_id) for every point inside a closed ring.
-
-    A polygon is indexed at the finest cell size that its box spans at most
-    twice, so it fills at most nine cells whatever its extent. Points with the
-    same coordinate are tested once. Edges are built once per polygon.
-    """
-    boxed = polygons.select(F.col(polygon_id).alias("gid"), ring_edges(F.col("ring")).alias("edges"), *[c.alias(n) for n, c in ring_bbox(F.col("ring")).items()])
-    extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    level = reduce(lambda rest, i: F.when(extent <= 2 * CELL_SIZES[i], F.lit(i)).otherwise(rest),
-                   range(len(CELL_SIZES) - 2, -1, -1), F.lit(len(CELL_SIZES) - 1))
-    sizes = F.array(*[F.lit(s) for s in CELL_SIZES])
-    size = F.element_at(sizes, F.col("level") + 1)
-
-    def span(lo: str, hi: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
-
-    indexed = (boxed.withColumn("level", level).select("*", span("xmin", "xmax").alias("gx"))
-               .select("*", span("ymin", "ymax").alias("gy")))
-    spots = points.select(F.col("lat").alias("plat"), F.col("lon").alias("plon")).distinct()
-    probes = spots.select("plat", "plon", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("plevel"), cell_floor(F.col("plon"), s).alias("px"), cell_floor(F.col("plat"), s).alias("py"))
-        for i, s in enumerate(CELL_SIZES)])).alias("c")).select("plat", "plon", "c.*")
-    near = probes.join(indexed, (F.col("plevel") == F.col("level")) & (F.col("px") == F.col("gx")) & (F.col("py") == F.col("gy"))
-                       & F.col("plon").between(F.col("xmin"), F.col("xmax"))
-                       & F.col("plat").between(F.col("ymin"), F.col("ymax")))
-    inside = near.filter(edges_contain(F.col("edges"), F.col("plat"), F.col("plon"))).select("plat", "plon", "gid")
-    rows = points.select(F.col(point_id), F.col("lat"), F.col("lon"))
-    return rows.join(inside, (F.col("lat") == F.col("plat")) & (F.col("lon") == F.col("plon"))).select(
-        point_id, F.col("gid").alias(polygon_id))
+    """(point_id, polygon_id) for every point inside a ring: ``polygons.containing``."""
+    return polygon_index.containing(points, polygons, point_id, polygon_id)
 
 
 def on_land(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str) -> DataFrame:
