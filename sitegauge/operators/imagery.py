@@ -1,4 +1,4 @@
-"""Scene selection and patch preparation in long form (one row per pixel)."""
+"""Scene selection and patch preparation, in long form (one row per pixel) or with bands as arrays."""
 
 from __future__ import annotations
 
@@ -96,6 +96,19 @@ def crop_pad(pixels: DataFrame, size: int = PATCH_SIZE) -> DataFrame:
         "value", F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)))
 
 
+def crop_pad_tiles(tiles: DataFrame, size: int = PATCH_SIZE) -> DataFrame:
+    """``crop_pad`` of bands held as arrays: (patch_id, band, h, w, values by rows) to (patch_id, band, values). No row leaves its task."""
+    small = (F.col("h") < size) | (F.col("w") < size)
+    origin = lambda n: F.when(small, F.lit(0)).otherwise(F.floor((F.col(n) - size) / 2).cast("int"))
+    placed = tiles.withColumns({"y0": origin("h"), "x0": origin("w")})
+
+    def value(i: Column) -> Column:
+        row, col = F.col("y0") + F.floor(i / size).cast("int"), F.col("x0") + i % size
+        held = F.when((row < F.col("h")) & (col < F.col("w")), F.get("values", row * F.col("w") + col))
+        return F.coalesce(F.nanvl(held, F.lit(0.0)), F.lit(0.0))
+    return placed.select("patch_id", "band", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), value).alias("values"))
+
+
 def mean_pool(features: DataFrame) -> DataFrame:
     """Average every channel over all positions: one vector per patch."""
     means = features.groupBy("patch_id", "channel").agg(F.avg("value").alias("value"))

@@ -191,3 +191,16 @@ def test_logistic_separates_and_shuffled_labels_keep_counts(spark):
     shuffled = ml.shuffle_labels(df, "id")
     assert shuffled.agg(F.sum("label"), F.count("label")).first()[:] == (100, 200)
     assert ml.usable_folds(df, 5) == 5
+
+
+def test_tiles_are_cropped_like_pixels(spark):
+    from sitegauge.operators import imagery
+    tiles = spark.createDataFrame([(i, "B02", h, w, [None if j == 3 else float("nan") if j == 4 else float(j + 1) for j in range(h * w)])
+                                   for i, (h, w) in enumerate([(9, 7), (4, 4), (3, 8), (8, 2), (1, 1), (6, 5)])],
+                                  "patch_id int, band string, h int, w int, values array<double>")
+    pixels = tiles.select("patch_id", "band", "w", F.posexplode("values").alias("i", "value")).select(
+        "patch_id", "band", F.floor(F.col("i") / F.col("w")).cast("int").alias("row"), (F.col("i") % F.col("w")).alias("col"), "value")
+    want = {(r["patch_id"], r["row"] * 4 + r["col"]): r["value"] for r in imagery.crop_pad(pixels, 4).collect()}
+    cropped = imagery.crop_pad_tiles(tiles, 4)
+    assert {(r["patch_id"], i): v for r in cropped.collect() for i, v in enumerate(r["values"])} == want and len(want) == 6 * 16
+    assert "Exchange" not in cropped._jdf.queryExecution().executedPlan().toString()
