@@ -146,13 +146,22 @@ def _crossed(edges: Column, lat: Column, lon: Column) -> Column:
 
 def _probes(spots: DataFrame, sizes: Sequence[float]) -> DataFrame:
     """Cells of every point, one for each size."""
-    return spots.select("plat", "plon", F.explode(F.array(*[
+    return spots.select("plat", "plon", "pid", F.explode(F.array(*[
         F.struct(F.lit(k).alias("level"), F.floor(F.col("plat") / s).alias("band"), F.floor(F.col("plon") / s).alias("column"))
-        for k, s in enumerate(sizes)])).alias("c")).select("plat", "plon", "c.*")
+        for k, s in enumerate(sizes)])).alias("c")).select("plat", "plon", "pid", "c.*")
 
 
-def _in_short(spots: DataFrame, rings: DataFrame) -> DataFrame:
-    """Rings of few edges go whole to at most nine cells, and are tested inside the row."""
+_CELL = ("level", "band", "column")
+
+
+def _same_cell(probes: DataFrame, cells: DataFrame, *also: Column, how: str = "inner") -> DataFrame:
+    """Points met by what their cells hold. Rows multiply when they are dealt to cells, so sizes guessed from files say nothing: sorted on both sides, never broadcast."""
+    held = cells.withColumnsRenamed({c: f"c{c}" for c in _CELL}).hint("merge")
+    return probes.join(held, reduce(Column.__and__, [*[F.col(c) == F.col(f"c{c}") for c in _CELL], *also]), how)
+
+
+def _short_cells(rings: DataFrame) -> tuple[DataFrame, Column]:
+    """Rings of few edges, whole, in at most nine cells each, with the test that a point of the cell lies inside."""
     edges = F.zip_with(F.slice("ring", F.lit(1), F.size("ring") - 1), F.slice("ring", F.lit(2), F.size("ring") - 1), lambda p, q: F.struct(
         p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy")))
     extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
@@ -162,15 +171,27 @@ def _in_short(spots: DataFrame, rings: DataFrame) -> DataFrame:
     def span(low: str, high: str) -> Column:
         return F.explode(F.sequence(F.floor(F.col(low) / s), F.floor(F.col(high) / s)))
     cells = held.select("*", span("x0", "x1").alias("column")).select("*", span("y0", "y1").alias("band"))
-    met = _probes(spots, SHORT_SIZES).join(cells, ["level", "band", "column"]).filter(
-        F.col("plon").between(F.col("x0"), F.col("x1")) & F.col("plat").between(F.col("y0"), F.col("y1")))
-    return met.filter(_crossed(F.col("edges"), F.col("plat"), F.col("plon")) % 2 == 1).select("plat", "plon", "gid")
+    inside = (F.col("plon").between(F.col("x0"), F.col("x1")) & F.col("plat").between(F.col("y0"), F.col("y1"))
+              & (_crossed(F.col("edges"), F.col("plat"), F.col("plon")) % 2 == 1))
+    return cells, inside
 
 
 def _in_long(spots: DataFrame, rings: DataFrame) -> DataFrame:
     adds = F.col("base") + _crossed(F.col("edges"), F.col("plat"), F.col("plon")) + F.size(F.filter("ends", lambda y: y > F.col("plat")))
-    met = _probes(spots, SIZES).join(index(rings), ["level", "band", "column"]).select("plat", "plon", "gid", "part", adds.alias("n"))
-    return met.groupBy("plat", "plon", "gid", "part").agg(F.sum("n").alias("n")).filter("n % 2 = 1").select("plat", "plon", "gid")
+    met = _same_cell(_probes(spots, SIZES), index(rings)).select("plat", "plon", "pid", "gid", "part", adds.alias("n"))
+    return met.groupBy("plat", "plon", "gid", "part").agg(F.first("pid").alias("pid"), F.sum("n").alias("n")).filter("n % 2 = 1").select("plat", "plon", "pid", "gid")
+
+
+def _spots(points: DataFrame, point_id: str) -> DataFrame:
+    """(plat, plon, pid, rows): every known coordinate once."""
+    known = points.select(_known(F.col("lat")).alias("plat"), _known(F.col("lon")).alias("plon"), F.col(point_id).alias("pid"))
+    return known.dropna(subset=["plat", "plon"]).groupBy("plat", "plon").agg(F.first("pid").alias("pid"), F.count(F.lit(1)).alias("rows"))
+
+
+def _by_length(polygons: DataFrame, polygon_id: str, short: int) -> tuple[DataFrame, DataFrame | None]:
+    """Short rings, and long ones if there are any: one small job tells."""
+    long = polygons.filter(F.size("ring") > short)
+    return distinct_rings(polygons.filter(F.size("ring") <= short), polygon_id), None if long.isEmpty() else distinct_rings(long, polygon_id)
 
 
 def containing(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, short: int = SHORT_RING) -> DataFrame:
@@ -180,13 +201,30 @@ def containing(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id
 
     Vertices without a known coordinate are left out, and an open ring is closed. A ring that comes again under the same id counts
     once; different rings of one id give a row each. Points with one coordinate are tested once; repeated rows keep their rows, and
-    points without a known coordinate lie in no ring.
+    points without a known coordinate lie in no ring. A coordinate of one row carries its id, so that its pairs are never shuffled.
     """
-    spots = points.select(_known(F.col("lat")).alias("plat"), _known(F.col("lon")).alias("plon")).dropna().distinct()
-    long = polygons.filter(F.size("ring") > short)
-    inside = _in_short(spots, distinct_rings(polygons.filter(F.size("ring") <= short), polygon_id))
-    if not long.isEmpty():
-        inside = inside.unionByName(_in_long(spots, distinct_rings(long, polygon_id)))
+    short_rings, long_rings = _by_length(polygons, polygon_id, short)
+    cells, inside = _short_cells(short_rings)
+
+    def pairs(spots: DataFrame) -> DataFrame:
+        found = _same_cell(_probes(spots, SHORT_SIZES), cells, inside).select("plat", "plon", "pid", "gid")
+        return found if long_rings is None else found.unionByName(_in_long(spots, long_rings))
+    spots = _spots(points, point_id)
+    once = pairs(spots.filter("rows = 1")).select(F.col("pid").alias(point_id), F.col("gid").alias(polygon_id))
+    again = pairs(spots.filter("rows > 1")).drop("pid")
     rows = points.select(F.col(point_id), F.col("lat"), F.col("lon"))
-    return rows.join(inside, (F.col("lat") == F.col("plat")) & (F.col("lon") == F.col("plon"))).select(
-        F.col(point_id), F.col("gid").alias(polygon_id))
+    return once.unionByName(rows.join(again.hint("merge"), (F.col("lat") == F.col("plat")) & (F.col("lon") == F.col("plon"))).select(
+        F.col(point_id), F.col("gid").alias(polygon_id)))
+
+
+def covered(points: DataFrame, polygons: DataFrame, polygon_id: str, short: int = SHORT_RING) -> DataFrame:
+    """Rows of ``points`` that lie in at least one ring. The search for a point ends at the first short ring that holds it, and pairs are never made;
+    only points in no short ring meet the edge index."""
+    short_rings, long_rings = _by_length(polygons, polygon_id, short)
+    cells, inside = _short_cells(short_rings)
+    spots = _spots(points.withColumn("_none", F.lit(0)), "_none")
+    found = _same_cell(_probes(spots, SHORT_SIZES), cells, inside, how="left_semi").select("plat", "plon").distinct()
+    if long_rings is not None:
+        rest = spots.join(found.hint("merge"), ["plat", "plon"], "left_anti")
+        found = found.unionByName(_in_long(rest, long_rings).select("plat", "plon").distinct())
+    return points.join(found.hint("merge"), (F.col("lat") == F.col("plat")) & (F.col("lon") == F.col("plon")), "left_semi")

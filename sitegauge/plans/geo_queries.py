@@ -94,7 +94,7 @@ def point_in_polygon(spark, d):
 
 @query("land_mask_polygons", cte("sites", "polygons") + f" SELECT DISTINCT s.site_id FROM sites s JOIN polygons g ON abs(s.lat-g.y1)<3 AND abs(s.lon-g.x1)<3 WHERE ({_crossings('s')})%2=1")
 def land_mask_polygons(spark, d):
-    return spatial.on_land(frame(spark, d, "sites"), ring_frame(frame(spark, d, "polygons")), "site_id", "osm_id").select("site_id")
+    return spatial.on_land(frame(spark, d, "sites"), ring_frame(frame(spark, d, "polygons")), "osm_id").select("site_id")
 
 
 @query("idw_interpolate", cte("sites", "heat_points") + f", p AS (SELECT s.site_id, h.heat_flow_mwm2 AS v, {hav('s', 'h')} AS dist FROM sites s JOIN heat_points h ON abs(s.lat-h.lat)<1), "

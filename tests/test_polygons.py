@@ -95,3 +95,21 @@ def test_no_row_holds_a_long_ring(spark):
     sizes = polygons.index(polygons.distinct_rings(shapes, "gid")).agg(F.max(F.size("edges")).alias("most"), F.sum(F.size("edges")).alias("all"), F.count(F.lit(1)).alias("rows"),
                                               F.countDistinct("band").alias("bands")).first()
     assert sizes["most"] <= polygons.BLOCK_EDGES and sizes["all"] < 4 * len(ring) and sizes["rows"] < 2 * len(ring) and sizes["bands"] > 50
+
+
+def test_no_side_is_broadcast_and_one_hit_is_enough(spark):
+    """Rows dealt to cells are no small table, whatever the size of their file."""
+    rng = np.random.default_rng(8)
+    rings = {g: [(x, y), (x + 2, y), (x + 2, y + 1), (x, y + 2)] for g, (x, y) in enumerate(rng.uniform(-3, 3, (30, 2)))} | {99: wavy(300, 0.0, 0.0, 4.0, rng)}
+    shapes = spark.createDataFrame([(g, [tuple(map(float, v)) for v in ring]) for g, ring in rings.items()], RING)
+    lat, lon = np.repeat(rng.uniform(-6, 6, 200), 2), np.repeat(rng.uniform(-6, 6, 200), 2)
+    lat[:100] = rng.uniform(-6, 6, 100)   # some coordinates once, some twice
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))], POINT)
+    pairs, land = polygons.containing(points, shapes, "pid", "gid"), polygons.covered(points, shapes, "gid")
+    want = {(int(i), g) for g, ring in rings.items() for i in np.flatnonzero(inside(ring, lat, lon))}
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sorted(r["pid"] for r in land.collect()) == sorted({i for i, _ in want})
+    few = shapes.filter("gid < 99")
+    for df in (polygons.containing(points, few, "pid", "gid"), polygons.covered(points, few, "gid")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
