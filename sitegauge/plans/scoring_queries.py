@@ -212,14 +212,14 @@ def data_sources_map(spark, d):
     return out.select("site_id", F.explode("data_sources").alias("name", "v")).select("site_id", "name", "v.source", "v.value")
 
 
-@query("band_confidence", FACTORS_CTE + f", s AS (SELECT site_id, {overall_sql('solar')} AS x FROM factors) "
+@query("band_confidence", FACTORS_CTE + f", s AS (SELECT site_id, round({overall_sql('solar')}, 9) AS x FROM factors) "
        "SELECT site_id, CASE WHEN x>0.7::double THEN 'high' WHEN x>0.4::double THEN 'moderate' ELSE 'low' END AS confidence FROM s")
 def band_confidence(spark, d):
     out = scoring.score_sites(sites(spark, d), Scorecard.of("solar"))
     return out.select("site_id", confidence_band(F.col("overall_score")).alias("confidence"))
 
 
-@query("band_risk_gauge", FACTORS_CTE + f", s AS (SELECT site_id, {overall_sql('solar')} AS x FROM factors) "
+@query("band_risk_gauge", FACTORS_CTE + f", s AS (SELECT site_id, round({overall_sql('solar')}, 9) AS x FROM factors) "
        "SELECT site_id, CASE WHEN x<0.3::double THEN 'lightgreen' WHEN x<0.6::double THEN 'gold' ELSE 'salmon' END AS band FROM s")
 def band_risk_gauge(spark, d):
     out = scoring.score_sites(sites(spark, d), Scorecard.of("solar"))
@@ -293,7 +293,7 @@ def ml_score_nearest(spark, d):
        f"s AS (SELECT f.site_id, {overall_sql('solar')} AS x, n.ml_score FROM factors f LEFT JOIN near n USING (site_id)), "
        "c AS (SELECT *, CASE WHEN ml_score IS NULL THEN x ELSE 0.6::double*ml_score+0.4::double*x END AS both_score FROM s) "
        "SELECT site_id, round(x, 9) AS overall_score, round(both_score, 9) AS combined_score, "
-       "CASE WHEN both_score>0.7::double THEN 'high' WHEN both_score>0.4::double THEN 'moderate' ELSE 'low' END AS confidence FROM c")
+       "CASE WHEN round(both_score, 9)>0.7::double THEN 'high' WHEN round(both_score, 9)>0.4::double THEN 'moderate' ELSE 'low' END AS confidence FROM c")
 def combined(spark, d):
     with_ml = scoring.ml_score_nearest(sites(spark, d), frame(spark, d, "embedded"), inclusive=True)
     out = scoring.suitability_report(with_ml, Scorecard.of("solar"), "combined")

@@ -3,6 +3,7 @@
 import math
 import warnings
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,12 @@ def test_user_factor_that_fails_is_left_out(spark):
 def test_combined_score(spark):
     row = spark.range(1).select(combined_score(F.lit(0.5), F.lit(1.0)), combined_score(F.lit(0.5), F.lit(None).cast("double"))).first()
     assert tuple(row) == (pytest.approx(0.8), 0.5)
+
+
+def test_bands_do_not_hang_on_the_last_bit(spark):
+    from sitegauge.functions.scalar import confidence_band, risk_gauge_band
+    from pyspark.sql import functions as F
+    rows = [(float(np.nextafter(b, 0.0)), float(np.nextafter(b, 1.0))) for b in (0.3, 0.4, 0.6, 0.7)]
+    for r in spark.createDataFrame(rows, "a double, b double").select(
+            *[f(F.col(c)).alias(f"{f.__name__}_{c}") for f in (confidence_band, risk_gauge_band) for c in "ab"]).collect():
+        assert r[0] == r[1] and r[2] == r[3]
