@@ -36,11 +36,6 @@ class Metric:
     def distance(self, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
         return (haversine_km if self.wraps else degree_distance)(lat1, lon1, lat2, lon2)
 
-    def at_most_from_centre(self, cell: float) -> float:
-        """No point of a cell is farther than this from its centre (half the diagonal)."""
-        per_degree = EARTH_RADIUS_KM * math.pi / 180.0 if self.wraps else 1.0
-        return cell * per_degree * math.sqrt(0.5) * SLACK
-
     def at_least(self, lat: Column, lon: Column, centre_lat: Column, centre_lon: Column, cell: float) -> Column:
         """No point of the cell is nearer than this.
 
@@ -171,30 +166,3 @@ def nearest(frontier: DataFrame, tree: Quadtree, metric: Metric, radius: float |
     if radius is not None:
         found = found.filter((F.col("distance") <= radius) if inclusive else (F.col("distance") < radius))
     return found.groupBy("sid").agg(F.min(F.struct("distance", "pid")).alias("hit"))
-
-
-def count_within(frontier: DataFrame, tree: Quadtree, km: float) -> DataFrame:
-    """(sid, n) parts of the number of points within ``km`` of sites (sid, slat, slon, ky, kx) exploded to all level-0 cells in reach.
-
-    Cells wholly inside the circle add their weight at once; cells on the circle are opened.
-    """
-    counts, targets, last = [], [], len(tree.cells) - 1
-    frontier = frontier.repartition("sid", "ky", "kx")
-    for level in range(last + 1):
-        size = tree.size(level)
-        middle = (F.col("slat"), F.col("slon"), centre(F.col("ny"), 90.0, size), centre(F.col("nx"), 180.0, size))
-        inside = KILOMETRES.distance(*middle) + KILOMETRES.at_most_from_centre(size) <= km
-        classed = _reached(frontier, tree, level).select(
-            "sid", "slat", "slon", F.col("ny").alias("ky"), F.col("nx").alias("kx"), "weight", "leaf", inside.alias("inside"),
-            (KILOMETRES.at_least(*middle, size) <= km).alias("touched"))
-        whole = classed.filter("inside").groupBy("sid").agg(F.sum("weight").alias("n"))
-        edge = classed.filter("touched AND NOT inside")
-        if level < last:
-            # Joins with broadcast cells deal nothing anew, and sites on a crowd's edge have many more cells than others.
-            edge = durable(edge.select("sid", "slat", "slon", "ky", "kx", "leaf").repartition("sid", "ky", "kx"))
-            frontier = edge.filter("NOT leaf").select("sid", "slat", "slon", "ky", "kx")
-        counts.append(whole)
-        targets.append(edge.filter("leaf").select("sid", "slat", "slon", F.lit(level).alias("level"), "ky", "kx"))
-    pairs = _leaf_pairs(reduce(DataFrame.unionByName, targets), tree)
-    close = pairs.filter(KILOMETRES.distance(F.col("slat"), F.col("slon"), F.col("plat"), F.col("plon")) <= km)
-    return reduce(DataFrame.unionByName, [*counts, close.groupBy("sid").agg(F.sum("pweight").alias("n"))])
