@@ -36,23 +36,27 @@ def _windows_sql(days: int) -> str:
             "SELECT site_id, strftime(window_start, '%Y-%m-%d') AS window_start, round(m, 9) AS mean_value, n FROM g WHERE window_end<=(SELECT max(ts)-INTERVAL 1 DAY FROM readings)")
 
 
-def _means(spark, d, days):
+def _readings(spark, d):
     readings = spark.sql(TABLES["readings"], events=_stream(spark, d, "events"))
-    rows = readings.select("site_id", F.col("ts").cast("timestamp").alias("ts"), F.col("discharge").alias("value"))
-    out = _run(spark, jobs.trailing_means(rows, length=f"{days} days"), "means")
-    return out.select("site_id", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), F.round("mean_value", 9).alias("mean_value"), "n")
+    return readings.select("site_id", F.col("ts").cast("timestamp").alias("ts"), F.col("discharge").alias("value"))
+
+
+def _reported(means):
+    return means.select("site_id", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), F.round("mean_value", 9).alias("mean_value"), "n")
 
 
 @query("stream_trailing_means", _windows_sql(10))
 def stream_trailing_means(spark, d):
     """Windows closed by the watermark, in append mode."""
-    return _means(spark, d, 10)
+    return _reported(_run(spark, jobs.trailing_means(_readings(spark, d), length="10 days"), "means"))
 
 
 @query("stream_trailing_year", _windows_sql(365))
 def stream_trailing_year(spark, d):
-    """The same over a year, as the measurements take it."""
-    return _means(spark, d, 365)
+    """The same over a year, as the measurements take it: the stream writes the sums of closed days, and the windows are ranges of them."""
+    days, out, state = jobs.daily_sums(_readings(spark, d)), scratch_path(spark, "days"), scratch_path(spark, "days-state")
+    done = jobs.catch_up(days, out, state)
+    return _reported(jobs.means_of_days(spark.read.schema(days.schema).parquet(out), jobs.watermark_of(done), 365))
 
 
 @query("stream_failed_rows", cte("readings") + " SELECT event_id, coalesce(discharge>=0, false) AS processed, CASE WHEN discharge>=0 THEN NULL WHEN discharge<0 THEN 'negative' ELSE 'missing' END AS reason FROM readings")

@@ -50,3 +50,22 @@ def test_failed_batches_leave_each_row_once(spark):
     ok = [r["id"] for r in spark.read.option("recursiveFileLookup", True).schema(schema).parquet(done).collect()]
     bad = [r["id"] for r in spark.read.option("recursiveFileLookup", True).schema(schema).parquet(failed).collect()]
     assert sorted(ok) == [10 * p + i for p in range(3) for i in (2, 3, 4)] and sorted(bad) == [10 * p + i for p in range(3) for i in (0, 1)]
+
+
+def test_means_of_days_equal_the_windows_of_the_stream(spark):
+    """Gaps, a site without valid readings, several files; and no window is made that the watermark leaves open."""
+    start = datetime(2024, 1, 1)
+    rows = [(k % 3, start + timedelta(hours=7 * k + (200 if k > 40 else 0)), None if k % 7 == 0 else -1.0 if k % 3 == 2 else float(k)) for k in range(60)]
+    folder = scratch_path(spark, "readings")
+    schema = "site_id long, ts timestamp, value double"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 20:part * 20 + 20], schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.landing_stream(spark, folder, schema, files_per_trigger=1)
+    out, days_out = scratch_path(spark, "means"), scratch_path(spark, "days")
+    means, days = jobs.trailing_means(stream, length="6 days"), jobs.daily_sums(stream)
+    jobs.catch_up(means, out, scratch_path(spark, "state"))
+    closed = jobs.watermark_of(jobs.catch_up(days, days_out, scratch_path(spark, "state")))
+    got = jobs.means_of_days(spark.read.schema(days.schema).parquet(days_out), closed, 6)
+    want = [tuple(r) for r in spark.read.schema(means.schema).parquet(out).orderBy("site_id", "window_start").collect()]
+    assert [tuple(r) for r in got.orderBy("site_id", "window_start").collect()] == want and len(want) > 30
+    assert jobs.means_of_days(spark.read.schema(days.schema).parquet(days_out), None, 6).count() == 0
