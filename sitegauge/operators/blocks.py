@@ -57,9 +57,14 @@ def write_blocks(rows: DataFrame, encode: Callable[[np.ndarray], np.ndarray]) ->
     return table, n or 0, width or 0
 
 
-def partitions(table: DataFrame, rows: int) -> RDD:
-    """The blocks as an RDD with no more partitions than rows are worth. An RDD, as the passes carry arrays as their state."""
-    wanted = max(1, -(-rows // PARTITION_ROWS))
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to all cores: what a join or a file leaves may be one partition, and a fit's passes follow its partitions."""
+    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def partitions(table: DataFrame, rows: int, least: int | None = None) -> RDD:
+    """The blocks as an RDD with no more partitions than rows are worth (``least`` rows each). An RDD, as the passes carry arrays as their state."""
+    wanted = max(1, -(-rows // (least or PARTITION_ROWS)))
     return (table.coalesce(wanted) if table.rdd.getNumPartitions() > wanted else table).rdd
 
 

@@ -1,12 +1,14 @@
 """Second-order gradient boosting on binned features, many models in one pass.
 
 Bin edges are quantiles of a mergeable sketch. Rows are written once as one byte for each feature. A tree grows level by level: a pass
-adds gradient and Hessian histograms of the smaller child of every split, for all models together; the larger child is its
-parent less its sibling. Every tree draws rows by a hash of the row and columns by a seed. Leaves hold the Newton step. So folds and
-feature sets share each pass, and their number does not change the number of jobs.
-
-Margins travel with the rows from tree to tree (kept in memory, spilled to disk) and are checkpointed every ``CHECKPOINT`` trees, so a
-lost executor costs the trees since then.
+adds gradient and Hessian histograms of the smaller child of every split; the larger child is its parent less its sibling. Every tree
+draws rows by a hash of the row and columns by a seed. Leaves hold the Newton step.
+
+Models do not depend on each other. Where the bins of all rows fit one task (``TASK_CELLS``), every model is a task that reads its
+rows and columns from a shuffle and grows all its trees: one job for all models, without a job for each tree or level. Beyond, every
+level is a job over all rows that counts for all models together, so their number does not change the number of jobs.
+Margins then travel with the rows from tree to tree (kept in memory, spilled to disk) and are checkpointed every ``CHECKPOINT`` trees, so
+a lost executor costs the trees since then.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ from sitegauge.operators import blocks
 from sitegauge.session import shared_root
 
 CHECKPOINT = 25
-CHUNK = 8192           # rows counted together, which bounds the index array
+CHUNK = 4096           # rows scored together, so that their bins stay in the cache
+TASK_CELLS = 2 ** 26   # bins (rows by features, a byte each) that one task holds; more are spread over many
 SKETCH_ACCURACY = 10_000
 
 
@@ -64,17 +67,24 @@ class Tree:
         size = 2 ** (depth + 1) - 1
         return cls(np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(size), np.zeros(size))
 
-    def leaf(self, x: np.ndarray) -> np.ndarray:
-        """The node where every row of bins ends."""
-        at = np.zeros(len(x), np.int64)
-        rows = np.arange(len(x))
-        while True:
-            feature = self.feature[at]
-            inner = feature >= 0
-            if not inner.any():
-                return at
-            right = x[rows, np.maximum(feature, 0)] > self.last[at]
-            at = np.where(inner, 2 * at + 1 + right, at)
+    def step(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows at inner nodes go on to a child. ``x`` holds the bins, a line for each feature."""
+        feature = self.feature[at]
+        right = x[np.maximum(feature, 0), np.arange(len(at))] > self.last[at]
+        return np.where(feature >= 0, 2 * at + 1 + right, at)
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """The value of the leaf where every row of bins ends (a line of ``x`` for each feature)."""
+        n = x.shape[1]
+        feature, last, value = self.feature.astype(np.int64), self.last.copy(), self.value.copy()
+        inner = len(value) // 2
+        for node in np.flatnonzero(feature[:inner] < 0):   # a leaf hands its value down, so every row takes as many steps
+            feature[node], last[node] = 0, np.iinfo(np.uint8).max
+            value[2 * node + 1:2 * node + 3] = value[node]
+        flat, rows, line, at = x.ravel(), np.arange(n), feature * n, np.zeros(n, np.int64)
+        for _ in range(inner.bit_length()):
+            at = 2 * at + 1 + (flat.take(line[at] + rows) > last[at])
+        return value[at]
 
 
 @dataclass
@@ -91,10 +101,11 @@ class Model:
         return self.width
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        binned = bin_rows(x, self.edges)
         out = np.full(len(x), self.start)
-        for tree in self.trees:
-            out += tree.value[tree.leaf(binned)]
+        for first in range(0, len(x) if self.trees else 0, CHUNK):
+            binned = np.ascontiguousarray(bin_rows(x[first:first + CHUNK], self.edges).T)
+            for tree in self.trees:
+                out[first:first + CHUNK] += tree.values(binned)
         return out
 
     @property
@@ -147,7 +158,7 @@ def mixed(keys: np.ndarray, salt: int) -> np.ndarray:
 
 @dataclass
 class Rows:
-    """One block: bins, labels, parts, keys, and the margins of every model."""
+    """One block: bins (a line for each feature), labels, parts, keys, and the margins of every model."""
     x: np.ndarray
     y: np.ndarray
     part: np.ndarray
@@ -157,38 +168,42 @@ class Rows:
     @classmethod
     def of(cls, row, starts: np.ndarray) -> Rows:
         n, width = row["rows"], row["width"]
-        return cls(np.frombuffer(row["x"], np.uint8).reshape(n, width), np.frombuffer(row["y"]), np.frombuffer(row["part"], np.int32),
-                   np.frombuffer(row["key"], np.int64), np.tile(starts[:, None], (1, n)))
+        x = np.ascontiguousarray(np.frombuffer(row["x"], np.uint8).reshape(n, width).T)
+        return cls(x, np.frombuffer(row["y"]), np.frombuffer(row["part"], np.int32), np.frombuffer(row["key"], np.int64),
+                   np.tile(starts[:, None], (1, n)))
 
     def grown(self, trees: Sequence[Tree]) -> Rows:
-        margin = np.stack([m + t.value[t.leaf(self.x)] for m, t in zip(self.margin, trees)])
+        margin = np.stack([m + t.values(self.x) for m, t in zip(self.margin, trees)])
         return Rows(self.x, self.y, self.part, self.key, margin)
 
+    def of_model(self, model: int, plan: Plan) -> Rows:
+        """The rows and features that one model learns from."""
+        seen = np.arange(len(self.y)) if plan.parts is None else np.flatnonzero(np.isin(self.part, list(plan.parts)))
+        x = self.x if plan.columns is None else self.x[list(plan.columns)]
+        return Rows(x.take(seen, axis=1), self.y[seen], self.part[seen], self.key[seen], self.margin[model:model + 1, seen])
+
 
 def gradients(y: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     p = 1 / (1 + np.exp(-margin))
     return p - y, p * (1 - p)
 
 
-def histogram(rows: Rows, model: int, plan: Plan, tree: Tree, slots: dict[int, int], columns: np.ndarray, salt: int, settings: Boosting) -> np.ndarray:
-    """(slots, columns, bins, 2) sums of gradient and Hessian over the rows that the model may see and the tree draws."""
-    out = np.zeros((len(slots), len(columns), settings.bins, 2))
-    if not slots:
-        return out
-    seen = mixed(rows.key, salt) < settings.row_share
-    if plan.parts is not None:
-        seen &= np.isin(rows.part, list(plan.parts))
-    slot_of = np.full(len(tree.feature), -1, np.int64)
-    slot_of[list(slots)] = list(slots.values())
-    slot = np.where(seen, slot_of[tree.leaf(rows.x)], -1)
-    g, h = gradients(rows.y, rows.margin[model])
-    size = out.size // 2
-    for first in range(0, len(slot), CHUNK):
-        use = np.flatnonzero(slot[first:first + CHUNK] >= 0) + first
-        if len(use):
-            cell = ((slot[use, None] * len(columns) + np.arange(len(columns))) * settings.bins + rows.x[np.ix_(use, columns)]).ravel()
-            for i, v in enumerate((g, h)):
-                out[..., i] += np.bincount(cell, np.repeat(v[use], len(columns)), size).reshape(out.shape[:3])
+def histogram(x: np.ndarray, lines: Sequence[int], use: np.ndarray, slot: np.ndarray, slots: int, g: np.ndarray, h: np.ndarray, bins: int) -> np.ndarray:
+    """(slots, lines, bins, 2) sums of gradient and Hessian over the rows ``use``, by the slot of every row. ``lines`` are features' places in ``x``."""
+    out = np.zeros((slots, len(lines), bins, 2))
+    if len(use):
+        base, g, h = slot[use] * bins, g[use], h[use]
+        for j, line in enumerate(lines):
+            cell = base + x[line].take(use)
+            out[:, j, :, 0] = np.bincount(cell, g, slots * bins).reshape(slots, bins)
+            out[:, j, :, 1] = np.bincount(cell, h, slots * bins).reshape(slots, bins)
+    return out
+
+
+def slot_numbers(tree: Tree, slots: dict[int, int]) -> np.ndarray:
+    """The slot of every node, -1 for nodes that are not counted."""
+    out = np.full(len(tree.feature), -1, np.int64)
+    out[list(slots)] = list(slots.values())
     return out
 
 
@@ -234,7 +249,12 @@ def fit_many(df: DataFrame, plans: Sequence[Plan], settings: Boosting = Boosting
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_root(df.sparkSession))
     starts = np.array([m.start for m in models])
-    state = blocks.partitions(table, count).map(lambda r: Rows.of(r, starts)).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks_ = blocks.partitions(table, count).map(lambda r: Rows.of(r, starts))
+    if count * width <= TASK_CELLS:
+        for number, trees in _fit_in_tasks(blocks_, plans, width, settings).items():
+            models[number].trees = trees
+        return models
+    state = blocks_.persist(StorageLevel.MEMORY_AND_DISK)
     held = [state]
     for number in range(settings.trees):
         trees = _grow(state, plans, width, number, settings)
@@ -251,23 +271,88 @@ def fit_many(df: DataFrame, plans: Sequence[Plan], settings: Boosting = Boosting
     return models
 
 
+def _fit_in_tasks(blocks_, plans: Sequence[Plan], width: int, settings: Boosting) -> dict[int, list[Tree]]:
+    """All trees of every model, a task for each model."""
+    def of_models(rows: Rows) -> Iterator[tuple[int, Rows]]:
+        for model, plan in enumerate(plans):
+            own = rows.of_model(model, plan)
+            if len(own.y):
+                yield model, own
+
+    def fit(pairs: Iterator[tuple[int, Rows]]) -> Iterator[tuple[int, list[Tree]]]:
+        pieces: dict[int, list[Rows]] = {}
+        for model, rows in pairs:
+            pieces.setdefault(model, []).append(rows)
+        for model in list(pieces):
+            yield model, _all_trees(pieces.pop(model), plans[model], width, settings)
+    found = dict(blocks_.flatMap(of_models).partitionBy(len(plans), lambda model: model).mapPartitions(fit).collect())   # trees only
+    return {model: found.get(model) or [Tree.empty(settings.depth) for _ in range(settings.trees)] for model in range(len(plans))}
+
+
+def _all_trees(pieces: list[Rows], plan: Plan, width: int, settings: Boosting) -> list[Tree]:
+    """The trees of one model from all its rows."""
+    pieces.sort(key=lambda r: (len(r.key), int(r.key[0])))   # the shuffle's order is open, and sums depend on it in their last digits
+    x, y, key = np.concatenate([r.x for r in pieces], axis=1), np.concatenate([r.y for r in pieces]), np.concatenate([r.key for r in pieces])
+    margin = np.concatenate([r.margin[0] for r in pieces])
+    pieces.clear()
+    line_of = np.zeros(width, np.int64)
+    line_of[np.arange(width) if plan.columns is None else list(plan.columns)] = np.arange(len(x))
+    out = []
+    for number in range(settings.trees):
+        columns, salt = _draws(plan, width, number, settings)
+        drawn = mixed(key, salt) < settings.row_share
+        g, h = gradients(y, margin)
+        at = np.zeros(len(y), np.int64)
+
+        def step(tree: Tree) -> None:
+            nonlocal at
+            local = Tree(np.where(tree.feature >= 0, line_of[tree.feature], -1), tree.last, tree.value, tree.gain)
+            at = local.step(x, at)
+
+        def sums(trees: list[Tree], slots: list[dict[int, int]]) -> _Sums:
+            if trees[0].feature[0] >= 0:
+                step(trees[0])
+            slot = slot_numbers(trees[0], slots[0])[at]
+            return _Sums([histogram(x, line_of[columns], np.flatnonzero(drawn & (slot >= 0)), slot, len(slots[0]), g, h, settings.bins)])
+        tree = _levels(sums, 1, [columns], settings)[0]
+        step(tree)   # to the children that the last level opened
+        margin = margin + tree.value[at]
+        out.append(tree)
+    return out
+
+
+def _draws(plan: Plan, width: int, number: int, settings: Boosting) -> tuple[np.ndarray, int]:
+    """Columns of a tree and the salt of its draw of rows."""
+    return drawn_columns(plan, width, number, settings), settings.seed * 1_000_003 + number
+
+
 def _partial(block_rows: Iterable[Rows], plans: Sequence[Plan], trees: list[Tree], slots: list[dict[int, int]], columns: list[np.ndarray],
              salt: int, settings: Boosting) -> _Sums | None:
-    """Histograms of all models over some blocks."""
+    """Histograms of all models over some blocks: the rows that a model may see and the tree draws."""
+    def of_model(rows: Rows, drawn: np.ndarray, m: int) -> np.ndarray:
+        use = drawn
+        if plans[m].parts is not None:
+            use = use[np.isin(rows.part[use], list(plans[m].parts))]
+        at = np.zeros(len(rows.y), np.int64)
+        x = rows.x.take(use, axis=1)
+        place = at[use]
+        while (trees[m].feature[place] >= 0).any():
+            place = trees[m].step(x, place)
+        at[use] = place
+        slot = slot_numbers(trees[m], slots[m])[at]
+        use = use[slot[use] >= 0]
+        return histogram(rows.x, columns[m], use, slot, len(slots[m]), *gradients(rows.y, rows.margin[m]), settings.bins)
     sums = None
     for rows in block_rows:
-        found = _Sums([histogram(rows, m, p, t, s, c, salt, settings) for m, (p, t, s, c) in enumerate(zip(plans, trees, slots, columns))])
+        drawn = np.flatnonzero(mixed(rows.key, salt) < settings.row_share)
+        found = _Sums([of_model(rows, drawn, m) for m in range(len(plans))])
         sums = found if sums is None else sums + found
     return sums
 
 
 def _grow(state, plans: Sequence[Plan], width: int, number: int, settings: Boosting) -> list[Tree]:
-    """One tree for every plan.
-
-    Every level is a job that adds up the partitions' sums. Where all rows are one partition (``blocks.PARTITION_ROWS`` at most), its
-    sums are the totals, so the levels follow each other within its task.
-    """
-    columns = [drawn_columns(p, width, number, settings) for p in plans]
+    """One tree for every plan. Every level is a job that adds up the partitions' sums."""
+    columns = [_draws(p, width, number, settings)[0] for p in plans]
     salt = settings.seed * 1_000_003 + number
 
     def over_all(trees: list[Tree], slots: list[dict[int, int]]) -> _Sums:
@@ -276,12 +361,6 @@ def _grow(state, plans: Sequence[Plan], width: int, number: int, settings: Boost
             if sums is not None:
                 yield sums
         return blocks.total(state.mapPartitions(partial))
-
-    def in_task(block_rows: Iterator[Rows]) -> Iterator[list[Tree]]:
-        held = list(block_rows)
-        yield _levels(lambda trees, slots: _partial(held, plans, trees, slots, columns, salt, settings), len(plans), columns, settings)
-    if state.getNumPartitions() == 1:
-        return state.mapPartitions(in_task).collect()[0]
     return _levels(over_all, len(plans), columns, settings)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.scalar import hash_order, hash_uniform
-from sitegauge.operators import boosting, logistic
+from sitegauge.operators import blocks, boosting, logistic
 from sitegauge.operators.dataset import stratified_folds, stratified_split
 from sitegauge.operators.metrics import accuracy, rank_metrics
 from sitegauge.operators.ranking import exact_rank, lookup
@@ -205,7 +205,7 @@ def cross_validate(df: DataFrame, key: str, kind: str = "gbt", k: int = 5, setti
 
     ``scale`` concerns logistic models only: trees look at the order of values.
     """
-    folds = durable(stratified_folds(df, label, key, k))
+    folds = durable(blocks.spread(stratified_folds(df, label, key, k)))
     models = fold_models(folds, kind, k, settings, label, weight, scale)
     facts = reduce(DataFrame.unionByName, [training_facts(m, folds.filter(F.col("fold") != i), label).withColumn("fold", F.lit(i))
                                            for i, m in enumerate(models)])

@@ -160,3 +160,31 @@ def test_folds_and_groups(table):
     assert set(folds) == {0, 1, 2, 3} and all(r["auc_roc"] > 0.8 and r["beats_constant"] for r in folds.values())
     left_out = ml.leave_one_out(rows, "group", ["g0", "g2"], "id").collect()
     assert {r["group"] for r in left_out} == {"g0", "g2"} and all(r["n_pos"] + r["n_neg"] == 100 and r["slope"] < 1e-5 for r in left_out)
+
+
+def _jobs(spark, group, run) -> int:
+    spark.sparkContext.setJobGroup(group, "")
+    run()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_trees_that_fit_a_task_take_no_job_each(spark, table):
+    """Job numbers follow neither the trees nor the models; the way over many tasks grows the same trees."""
+    def fit(trees: int, plans: int):
+        return boosting.fit_many(table, [boosting.Plan(parts=frozenset({0, 1, 2, 3}) - {k}) for k in range(plans)],
+                                 boosting.Boosting(trees=trees, depth=3, bins=8), part="part")
+    assert _jobs(spark, "trees-3", lambda: fit(3, 2)) == _jobs(spark, "trees-12", lambda: fit(12, 4))
+
+
+def test_trees_in_one_task_and_in_many(table, data, monkeypatch):
+    plans = [boosting.Plan(), boosting.Plan((0, 1, 4), frozenset({0, 1, 3})), boosting.Plan(parts=frozenset({9}))]
+    small = boosting.Boosting(trees=4, depth=4)
+    alone = boosting.fit_many(table, plans, small, part="part")
+    monkeypatch.setattr(boosting, "TASK_CELLS", 0)
+    monkeypatch.setattr(blocks, "PARTITION_ROWS", 50)
+    many = boosting.fit_many(table, plans, small, part="part")
+    for one, other in zip(alone, many):
+        assert len(one.trees) == len(other.trees) == 4
+        assert all((s.feature == t.feature).all() and (s.last == t.last).all() for s, t in zip(one.trees, other.trees))
+        assert np.allclose(one.margins(data[0]), other.margins(data[0]), atol=1e-9)
+    assert not alone[2].margins(data[0]).any()   # no rows
