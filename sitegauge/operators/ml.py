@@ -1,6 +1,6 @@
-"""Model training and validation: boosted trees and logistic models of our own, MLlib for the rest.
+"""Model training and validation: boosted trees, perceptrons and logistic models of our own, MLlib for the rest.
 
-Folds, groups, types and feature sets are models of one fit (``boosting.fit_many``, ``logistic.fit_many``), so the number of jobs
+Folds, groups, types and feature sets are models of one fit (``boosting.fit_many``, ``logistic.fit_many``, ``perceptron.fit_many``), so the number of jobs
 does not follow their number. Driver loops here run over models, never over rows.
 """
 
@@ -11,14 +11,14 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.scalar import hash_order, hash_uniform
-from sitegauge.operators import blocks, boosting, logistic
+from sitegauge.operators import blocks, boosting, logistic, perceptron
 from sitegauge.operators.dataset import stratified_folds, stratified_split
 from sitegauge.operators.metrics import accuracy, rank_metrics
 from sitegauge.operators.ranking import exact_rank, lookup
@@ -82,10 +82,8 @@ def fit(train: DataFrame, kind: str, settings: Settings = Settings(), features:
     if kind == "gbt":
         return boosting.fit_many(train, [boosting.Plan()], settings.boosting, features, label)[0]
     if kind == "mlp":
-        width = len(train.select(vector_to_array(features).alias("v")).first()["v"])
-        return MultilayerPerceptronClassifier(
-            featuresCol=features, labelCol=label, layers=[width, *settings.hidden, 2],
-            maxIter=settings.mlp_iterations, seed=settings.seed).fit(train)
+        return perceptron.fit_many(blocks.spread(train), [perceptron.Plan()], settings.hidden, settings.mlp_iterations, settings.seed, features, label,
+                                   scale=False)[0]
     raise ValueError(f"unknown model {kind!r}")
 
 
@@ -145,10 +143,11 @@ def _layout(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, ...]]
 
 def ablation(df: DataFrame, key: str, feature_sets: Mapping[str, Sequence[str]], kinds: Sequence[str] = ("logistic", "gbt", "mlp"),
              settings: Settings = Settings(), label: str = "label") -> DataFrame:
-    """Metrics of every (feature set, model) on one stratified 80/20 split. Sets share one fit of each kind but the perceptron."""
+    """Metrics of every (feature set, model) on one stratified 80/20 split. Sets share one fit of each kind."""
     every = list(dict.fromkeys(c for columns in feature_sets.values() for c in columns))
-    split = durable(assemble_columns(stratified_split(df, label, key), every).withColumn("_part", F.col("is_test").cast("int")))
-    places = _layout(split, every)
+    wide = assemble_columns(stratified_split(df, label, key), every).withColumn("_part", F.col("is_test").cast("int"))
+    split = durable(blocks.spread(wide.select(key, label, "is_test", "_part", "features")))
+    places = _layout(df, every)
     used = [tuple(i for c in columns for i in places[c]) for columns in feature_sets.values()]
     train, test = split.filter(~F.col("is_test")), split.filter("is_test")
     reports = None
@@ -157,15 +156,13 @@ def ablation(df: DataFrame, key: str, feature_sets: Mapping[str, Sequence[str]],
             models = boosting.fit_many(split, [boosting.Plan(u, frozenset({0})) for u in used], settings.boosting, label=label, part="_part")
         elif kind == "logistic":
             models = logistic.fit_many(split, [logistic.Plan(u, frozenset({0})) for u in used], label=label, part="_part", iterations=settings.lr_iterations)
+        elif kind == "mlp":
+            models = perceptron.fit_many(split, [perceptron.Plan(u, frozenset({0})) for u in used], settings.hidden, settings.mlp_iterations, settings.seed,
+                                         label=label, part="_part")
         else:
-            models = [None] * len(used)
-        for (name, columns), model in zip(feature_sets.items(), models):
-            seen, held_out = train, test
-            if model is None:
-                ready = assemble_columns(split.drop("features"), columns)
-                seen, held_out = standard_scale(ready.filter(~F.col("is_test")), ready.filter("is_test"))
-                model = fit(seen, kind, settings, label=label)
-            line = _tagged(report(model, seen, held_out, label), features=name, model=kind)
+            raise ValueError(f"unknown model {kind!r}")
+        for name, model in zip(feature_sets, models):
+            line = _tagged(report(model, train, test, label), features=name, model=kind)
             reports = line if reports is None else reports.unionByName(line)
     return reports
 

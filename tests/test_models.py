@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitegauge.operators import blocks, boosting, logistic, ml
+from sitegauge.operators import blocks, boosting, logistic, ml, perceptron
 
 SMALL = boosting.Boosting(trees=12, depth=3, bins=8)
 
@@ -188,3 +188,53 @@ def test_trees_in_one_task_and_in_many(table, data, monkeypatch):
         assert all((s.feature == t.feature).all() and (s.last == t.last).all() for s, t in zip(one.trees, other.trees))
         assert np.allclose(one.margins(data[0]), other.margins(data[0]), atol=1e-9)
     assert not alone[2].margins(data[0]).any()   # no rows
+
+
+def test_perceptron_gradient():
+    rng = np.random.default_rng(1)
+    z, y, sizes = rng.normal(size=(30, 3)), (rng.random(30) > 0.4).astype(float), (3, 5, 4, 2)
+    point = perceptron.first_point(sizes, 7)
+    slope = perceptron.loss_and_gradient(point, sizes, z, y)[1]
+    for i, unit in enumerate(np.eye(len(point)) * 1e-6):
+        up, down = (perceptron.loss_and_gradient(point + s * unit, sizes, z, y)[0] for s in (1, -1))
+        assert (up - down) / 2e-6 == pytest.approx(slope[i], abs=1e-6)
+
+
+def test_perceptrons_share_passes_and_equal_single_fits(spark, table, data):
+    x, y, part = data
+    plans = [perceptron.Plan(), perceptron.Plan((0, 1)), perceptron.Plan(parts=frozenset({0, 1, 3})), perceptron.Plan(parts=frozenset({9}))]
+    models = perceptron.fit_many(table, plans, (6, 4), 10, part="part")
+    for plan, model in zip(plans[:3], models):
+        use = np.isin(part, list(plan.parts)) if plan.parts else np.ones(400, bool)
+        alone = perceptron.fit_many(table.filter(F.col("part").isin(*(plan.parts or {0, 1, 2, 3}))), [perceptron.Plan(plan.columns)], (6, 4), 10)[0]
+        assert np.allclose(alone.mean, x[use][:, model.columns].mean(axis=0)) and np.allclose(alone.probabilities(x), model.probabilities(x), atol=1e-4)
+    assert np.allclose(models[3].point, perceptron.first_point(models[3].sizes, 42))   # no rows
+    got = {r["id"]: r["y_prob"] for r in ml.predict(models[0], table.filter("id < 400"), ["id"]).collect()}
+    assert np.allclose([got[i] for i in range(400)], models[0].probabilities(x))
+
+
+def test_perceptron_is_as_good_as_mllib(table):
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    clean = ml.as_vector(table.filter("features IS NOT NULL AND label IS NOT NULL"), "features")
+    scaled = ml.standard_scale(clean)[0].cache()
+    theirs = MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=[6, 6, 4, 2], maxIter=60, seed=42).fit(scaled)
+    ours = perceptron.fit_many(scaled, [perceptron.Plan()], (6, 4), 60, scale=False)[0]
+
+    def loss(model):
+        return sum(-np.log(r["y_prob"] if r["y_true"] else 1 - r["y_prob"]) for r in ml.predict(model, scaled, []).collect())
+    assert loss(ours) < 1.1 * loss(theirs)
+
+
+def test_ablation_shares_the_fit_of_perceptrons(spark, table):
+    rows = table.filter("id < 400").select("id", "label", *[F.col("features")[i].alias(f"f{i}") for i in range(4)])
+    few = ml.Settings(hidden=(4,), mlp_iterations=3)
+
+    def run(sets):
+        return lambda: ml.ablation(rows, "id", sets, ["mlp"], few)
+    one = _jobs(spark, "one-set", run({"a": ["f0", "f1"]}))
+    three = _jobs(spark, "three-sets", run({"a": ["f0", "f1"], "b": ["f2", "f3"], "both": ["f0", "f1", "f2", "f3"]}))
+    assert three < 1.5 * one
+
+
+def test_rows_are_spread_before_a_fit(spark):
+    assert blocks.spread(spark.range(1000).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
