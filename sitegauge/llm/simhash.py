@@ -6,8 +6,8 @@ fingerprint enumerates a small Hamming ball around each of its segments, looks t
 table of all fingerprints, and every match is verified over all 64 bits. From a ball only the values not below its centre are probed, so
 that a pair is found once. Verification is part of the join, so candidates are never emitted, only links.
 
-``near_groups`` is the same search with more bits, for copies with more changes: a second word of 64 bits from another seed, three or four
-segments for each word, a search that either word may win, and all 128 bits verified. There, nodes first join the smallest one of an equal segment, and pairs within what is joined so make no links.
+``near_groups`` is the same search with more bits, for copies with more changes: a second word of 64 bits from another seed, three
+segments for each word, a search that either word may win, and all 128 bits verified. Its look-ups run in numpy, group by group. There, nodes first join the smallest one of an equal segment, and pairs within what is joined so make no links.
 
 * Words are runs of characters other than space and tab to carriage return; A-Z is lower-cased. A text with fewer words than
   a shingle has is one shingle; without words (or NULL) its fingerprint is zero, linked like any other.
@@ -126,8 +126,7 @@ WORDS = 2
 GROUP_SHINGLE = 5
 GROUP_DISTANCE = 8      # in one of the words
 GROUP_COMPLETE = 22     # in all words together
-#: Four segments look up fewer values, three meet fewer strangers. The links are the same.
-FOUR_SEGMENTS = 1 << 24
+GROUP_SEGMENTS = 3      # long ones meet fewer strangers; the links are the same with any number
 
 
 def _segments(distance: int, segments: int) -> list[tuple[int, int, int]]:
@@ -163,34 +162,89 @@ def star_links(nodes: DataFrame, distance: int = GROUP_DISTANCE, complete: int =
     return met.select("a", F.col("node").alias("b"))
 
 
+GROUP_NODES = 1 << 16   # about so many nodes of one segment lie in a group
+PREFIX_BITS = 4         # at least: groups for every task
+CANDIDATES = 1 << 20    # look-ups and pairs that a task makes at once
+LONG_SLICE = 8
+
+
+def _met(low: np.ndarray, asks: np.ndarray, node: np.ndarray, bits: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (asking row, held row) of different nodes whose ``low`` bits differ in few places, a part at a time, each once.
+
+    ``asks`` is the number of bits in which a row's prefix differs from the group's. Rows of the group's own prefix are held, sorted by value: those
+    of one value are a slice. In long slices the asking row's own node is cut out, as it needs no links within.
+    """
+    rank = np.unique(node, return_inverse=True)[1]
+    key = low * len(low) + rank
+    held = np.flatnonzero(asks == 0)
+    held = held[np.argsort(key[held])]
+    held_key, counts = key[held], np.bincount(low[held], minlength=1 << bits)
+    starts = np.cumsum(counts) - counts
+    for apart in range(radius + 1):
+        flips, rows = np.array(_ball(bits, radius - apart), np.int64), np.flatnonzero(asks == apart)
+        for first in range(0, len(rows), step := max(1, CANDIDATES // len(flips))):
+            part = rows[first:first + step]
+            values = low[part][:, None] ^ flips
+            found = counts[values]
+            if apart == 0:
+                found[values < low[part][:, None]] = 0      # there the other row asks
+            hit = np.flatnonzero(found)
+            row, value, size = part[hit // len(flips)], values.ravel()[hit], found.ravel()[hit]
+            at, long = starts[value], size > LONG_SLICE
+            own = value[long] * len(low) + rank[row[long]]
+            left, right, end = np.searchsorted(held_key, own), np.searchsorted(held_key, own, "right"), at[long] + size[long]
+            size[long] = left - at[long]
+            row, at, size = np.r_[row, row[long]], np.r_[at, right], np.r_[size, end - right]
+            total = np.cumsum(size)
+            cuts = np.searchsorted(total, np.arange(CANDIDATES, total[-1] if len(total) else 0, CANDIDATES))
+            for some in np.split(np.arange(len(row)), np.unique(cuts)):
+                n = size[some]
+                a = np.repeat(row[some], n)
+                b = held[np.repeat(at[some] - (np.cumsum(n) - n), n) + np.arange(len(a))]
+                yield a, b
+
+
 def word_links(nodes: DataFrame, distance: int = GROUP_DISTANCE, complete: int = GROUP_COMPLETE, segments: int = 4,
                words: int = WORDS) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (node, w0, w1, ...) within ``distance`` in some word and within ``complete`` in all; each pair once."""
-    places = [(w, *segment) for w in range(words) for segment in _segments(distance, segments)]
+    """Pairs (a, b) of ``nodes`` (node, w0, w1, ...) within ``distance`` in some word and within ``complete`` in all; each pair once.
 
-    def of(side: str) -> list:
-        return [F.col("node").alias(side), *[F.col(f"w{w}").alias(f"{side}{w}") for w in range(words)]]
-    asked, held = [], []
-    for k, (w, first, bits, radius) in enumerate(places):
-        ball = nodes.select(*of("a"), _value(k, w, first, bits).alias("centre"), F.explode(F.lit(_ball(bits, radius))).alias("flips"))
-        probe = F.col("centre").bitwiseXOR(F.col("flips"))
-        asked.append(ball.filter(probe >= F.col("centre")).select(*[c for c in ball.columns if c not in ("centre", "flips")],
-                                                                  probe.alias("value")))
-        held.append(nodes.select(*of("b"), _value(k, w, first, bits).alias("value")))
-    differ = [F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}")) for w in range(words)]
-    apart = [F.bit_count(d) for d in differ]
-
-    def inside(w: int, first: int, bits: int):
-        return F.bit_count(F.shiftrightunsigned(differ[w], first).bitwiseAND(F.lit((1 << bits) - 1)))
-    # The first place that finds a pair reports it; where both values are equal both sides probe, and one order counts.
-    once, earlier = F.lit(False), F.lit(False)
-    for k, (w, first, bits, radius) in enumerate(places):
-        here = (inside(w, first, bits) <= radius) & (apart[w] <= distance)
-        ordered = (inside(w, first, bits) > 0) | (F.col("a") < F.col("b"))
-        once = once | ((F.shiftright("value", 56) == k) & here & ordered & ~earlier)
-        earlier = earlier | here
-    met = reduce(DataFrame.unionByName, asked).join(reduce(DataFrame.unionByName, held).hint("merge"), "value")
-    return met.filter((F.col("a") != F.col("b")) & _within(distance, complete, words) & once).select("a", "b")
+    A node travels only by flips of a segment's first bits, to the groups whose prefix is not below its own; flips of the others are
+    look-ups inside the group. One job counts the nodes while the plan is built: prefixes get longer with them, so groups do not grow.
+    """
+    places = [(w, *segment) for w in range(words) for segment in _segments(distance, segments)]
+    prefix = min(max(PREFIX_BITS, (nodes.count() // GROUP_NODES).bit_length()), 64 // segments - 1)
+    names = [f"w{w}" for w in range(words)]
+
+    def sent(k: int, w: int, first: int, bits: int, radius: int) -> DataFrame:
+        own = F.shiftrightunsigned(f"w{w}", first + bits - prefix).bitwiseAND(F.lit((1 << prefix) - 1))
+        ball = nodes.select("node", *names, own.alias("own"), F.explode(F.lit(_ball(prefix, radius))).alias("flips"))
+        probe = F.col("own").bitwiseXOR(F.col("flips"))
+        return ball.filter(probe >= F.col("own")).select((probe + F.lit(k << 56)).alias("group"), "node", *names)
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        k, there = divmod(key[0].as_py(), 1 << 56)
+        w, first, bits, radius = places[k]
+        node, values = rows.column("node").to_numpy(), [rows.column(c).to_numpy().view(np.uint64) for c in names]
+        segment = (values[w] >> np.uint64(first)).astype(np.int64) & ((1 << bits) - 1)
+        rest = bits - prefix
+        low, asks = segment & ((1 << rest) - 1), np.bitwise_count((segment >> rest) ^ there)
+        found = [(node[:0], node[:0])]
+        for a, b in _met(low, asks, node, rest, radius):
+            near = np.flatnonzero(np.bitwise_count(values[w][a] ^ values[w][b]) <= distance)
+            a, b = a[near], b[near]
+            # Equal values find each other from both sides.
+            once = (node[a] != node[b]) & ((asks[a] > 0) | (low[a] != low[b]) | (a < b))
+            a, b = a[once], b[once]
+            differ = [v[a] ^ v[b] for v in values]
+            apart = [np.bitwise_count(d).astype(np.int64) for d in differ]
+            kept = sum(apart) <= complete
+            for v, start, width, most in places[:k]:    # the first place that finds a pair reports it
+                inside = np.bitwise_count(differ[v] >> np.uint64(start) & np.uint64((1 << width) - 1))
+                kept &= (inside > most) | (apart[v] > distance)
+            found.append((node[a[kept]], node[b[kept]]))
+        return pa.table([np.concatenate(side) for side in zip(*found)], names=["a", "b"])
+    everything = reduce(DataFrame.unionByName, [sent(k, *place) for k, place in enumerate(places)])
+    return everything.groupBy("group").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, shingle: int = GROUP_SHINGLE, distance: int = GROUP_DISTANCE, complete: int = GROUP_COMPLETE) -> DataFrame:
@@ -201,8 +255,7 @@ def near_groups(docs: DataFrame, shingle: int = GROUP_SHINGLE, distance: int = G
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, w]) for w in range(WORDS)]], names=["doc_id", "w0", "w1"])
     rows = saved(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, w0 bigint, w1 bigint"), "words")
     nodes = saved(rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("smallest")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    segments = 4 if nodes.count() <= FOUR_SEGMENTS else 3
-    settings = (distance, complete, segments)
+    settings = (distance, complete, GROUP_SEGMENTS)
     # Copies of one text are near each other, all with all. What stars join first needs no links within it.
     stars = saved(connected_components(star_links(nodes.select("node", "w0", "w1"), *settings)), "stars")
     joined = saved(nodes.join(stars, "node", "left").select("w0", "w1", "smallest", F.coalesce("component", "node").alias("node")), "joined")

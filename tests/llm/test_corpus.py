@@ -737,6 +737,29 @@ def test_word_links_equal_all_pairs(spark, segments):
     assert {(b, a) for a, b in got} == want and len(got) == len(want)
 
 
+def test_word_links_in_small_groups(spark, monkeypatch):
+    """Long prefixes, long slices of one segment and parts of a few pairs give the same links; strangers with an equal segment make no rows of a join."""
+    rng = np.random.default_rng(5)
+    words = rng.integers(-2 ** 63, 2 ** 63 - 1, (120, 2))
+    words[:60, 0] = words[0, 0] ^ (rng.integers(0, 2 ** 43, 60) << 21)     # an equal first segment, far apart elsewhere
+    for k in range(120):
+        near = words[k % 9].copy()
+        for f in rng.choice(128, rng.integers(1, 24), replace=False):
+            near[f // 64] ^= np.int64(np.uint64(1) << np.uint64(f % 64))
+        words = np.vstack([words, near])
+    ids = [i // 2 if i > 200 else i + 1000 for i in range(len(words))]      # some nodes have two rows
+    nodes = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in zip(ids, words)], "node long, w0 long, w1 long")
+    apart = np.bitwise_count((words[:, None] ^ words[None]).view(np.uint64)).astype(int)
+    want = Counter(frozenset((ids[i], ids[j])) for i in range(len(words)) for j in range(i)
+                   if ids[i] != ids[j] and apart[i, j].min() <= 8 and apart[i, j].sum() <= 22)
+    whole = simhash.word_links(nodes, segments=3)
+    assert "Join" not in whole._jdf.queryExecution().toString()
+    for name, value in (("GROUP_NODES", 1), ("CANDIDATES", 512), ("LONG_SLICE", 1)):
+        monkeypatch.setattr(simhash, name, value)
+    for links in (whole, simhash.word_links(nodes, segments=3), simhash.word_links(nodes, segments=4)):
+        assert Counter(frozenset(r) for r in links.collect()) == want and len(want) > 50
+
+
 def test_many_near_copies_make_few_links(spark):
     """A crowd of copies with one change each: one group, by far fewer links than pairs."""
     rng = np.random.default_rng(9)
