@@ -1,6 +1,6 @@
 """Points in polygons: even-odd tests against rings of any length.
 
-Rings of few edges are tested whole, in the few cells that their box covers. All others go by edges: every ring has a grid of
+Rings of few edges are tested whole, in the few cells that their box covers: points and rings meet there in groups, in numpy. All others go by edges: every ring has a grid of
 its own, fine enough for about one cell to an edge. A point meets only the edges that pass through its cell. What lies to the right of the cell counts at once:
 
 * Within a band (a row of cells) each edge has a leftmost column, ``first``. For a cell left of it the edge lies wholly to the
@@ -16,11 +16,17 @@ meet by cell: a ring of many edges is spread over many tasks, and no ring is cop
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from sitegauge.operators.meeting import PAIRS, meet, slices
+from sitegauge.session import durable
 
 SIZES = tuple(0.1 * 4.0 ** k for k in range(-5, 7))
 SHORT_SIZES = SIZES[5:]
@@ -165,7 +171,8 @@ def _short_cells(rings: DataFrame) -> tuple[DataFrame, Column]:
     edges = F.zip_with(F.slice("ring", F.lit(1), F.size("ring") - 1), F.slice("ring", F.lit(2), F.size("ring") - 1), lambda p, q: F.struct(
         p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy")))
     extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    held = rings.select("gid", edges.alias("edges"), "x0", "x1", "y0", "y1", _finest(lambda s: extent <= 2 * s, SHORT_SIZES).alias("level"))
+    held = rings.select("gid", edges.alias("edges"), F.transform("ring", lambda p: p["x"]).alias("xs"), F.transform("ring", lambda p: p["y"]).alias("ys"),
+                        "x0", "x1", "y0", "y1", _finest(lambda s: extent <= 2 * s, SHORT_SIZES).alias("level"))
     s = F.element_at(F.array(*[F.lit(v) for v in SHORT_SIZES]), F.col("level") + 1)
 
     def span(low: str, high: str) -> Column:
@@ -194,24 +201,85 @@ def _by_length(polygons: DataFrame, polygon_id: str, short: int) -> tuple[DataFr
     return distinct_rings(polygons.filter(F.size("ring") <= short), polygon_id), None if long.isEmpty() else distinct_rings(long, polygon_id)
 
 
+BLOCK_RINGS, BLOCK_POINTS = 8192, 16_384    # at most about so many meet in one group
+
+
+def _inside(rings: pa.RecordBatch, points: pa.RecordBatch, cells: np.ndarray, point_cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(pid, gid) of the points inside rings of their cell. The points of a cell lie sorted by longitude: a ring meets a slice of them."""
+    x0, x1, y0, y1 = (rings.column(c).to_numpy() for c in ("x0", "x1", "y0", "y1"))
+    xs, ys = (rings.column(c).flatten().to_numpy() for c in ("xs", "ys"))
+    start = rings.column("xs").offsets.to_numpy()
+    start = start - start[0]
+    edges = np.diff(start) - 1
+    lat, lon = points.column("plat").to_numpy(), points.column("plon").to_numpy()
+    order = np.lexsort((lon, point_cells))
+    lat, lon, pids, gids = lat[order], lon[order], points.column("pid").take(pa.array(order)), rings.column("gid")
+    known, cell = np.unique(point_cells[order], return_inverse=True)
+    at = np.searchsorted(known, cells)
+    present = known[np.minimum(at, len(known) - 1)] == cells
+    # Rank of a longitude among all; with the cell before it, one number tells the place.
+    ranks, n = np.sort(lon), len(lon) + 1
+    place = cell * n + np.searchsorted(ranks, lon)
+    begin = np.searchsorted(place, at * n + np.searchsorted(ranks, x0))
+    end = np.searchsorted(place, at * n + np.searchsorted(ranks, x1, "right"))
+    for ring, point in slices(begin, np.where(present, np.maximum(end - begin, 0), 0), PAIRS):
+        near = np.flatnonzero((lat[point] >= y0[ring]) & (lat[point] <= y1[ring]))
+        ring, point = ring[near], point[near]
+        if not len(ring):
+            continue
+        u, v, first, count = lon[point], lat[point], start[ring], edges[ring]
+        odd, py = np.zeros(len(ring), dtype=bool), ys[first] > v
+        fewest = count.min()
+        for e in range(count.max()):
+            # A ring that has ended stays at its last vertex.
+            here, there = (first + e, first + e + 1) if e < fewest else (first + np.minimum(e, count), first + np.minimum(e + 1, count))
+            qy = ys[there] > v
+            over = np.flatnonzero(py != qy)
+            p, q = here[over], there[over]
+            odd[over] ^= u[over] < xs[p] + (v[over] - ys[p]) / (ys[q] - ys[p]) * (xs[q] - xs[p])
+            py = qy
+        yield pa.RecordBatch.from_arrays([pids.take(pa.array(point[odd])), gids.take(pa.array(ring[odd]))], names=["pid", "gid"])
+
+
+def _in_short(spots: DataFrame, rings: DataFrame, few: bool) -> DataFrame:
+    """(pid, gid) of points in rings of few edges: they meet in groups of cells, of the sizes that rings have. One small job tells which.
+
+    ``few`` points take only the rings of their own cells along.
+    """
+    cells = _short_cells(rings)[0].drop("edges").withColumn("level", F.col("level").cast("int"))
+    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())   # at most len(SHORT_SIZES)
+    sizes = [(k, SHORT_SIZES[k]) for k in levels]
+    probes = spots.select("plat", "plon", "pid", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("level"), F.floor(F.col("plat") / s).alias("band"), F.floor(F.col("plon") / s).alias("column"))
+        for k, s in sizes])).alias("c")).select("plat", "plon", "pid", "c.*") if sizes else spots.select("plat", "plon", "pid", *[
+            F.lit(0).alias(c) for c in _CELL]).limit(0)
+    if few:
+        cells = cells.join(probes.select(*_CELL).distinct().hint("merge"), list(_CELL), "left_semi")
+    schema = StructType([StructField("pid", spots.schema["pid"].dataType), StructField("gid", rings.schema["gid"].dataType)])
+    return meet(cells, probes, _CELL, _CELL, ["gid", "x0", "y0"], ["plat", "plon"], BLOCK_RINGS, BLOCK_POINTS, _inside, schema)
+
+
 def containing(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, short: int = SHORT_RING) -> DataFrame:
     """(point_id, polygon_id) for every point inside a ring by the even-odd rule. Rings above ``short`` vertices use the edge index.
 
-    One small job tells while the plan is built whether there are such rings.
+    Small jobs tell while the plan is built whether there are such rings, and whether coordinates repeat.
 
     Vertices without a known coordinate are left out, and an open ring is closed. A ring that comes again under the same id counts
     once; different rings of one id give a row each. Points with one coordinate are tested once; repeated rows keep their rows, and
     points without a known coordinate lie in no ring. A coordinate of one row carries its id, so that its pairs are never shuffled.
     """
     short_rings, long_rings = _by_length(polygons, polygon_id, short)
-    cells, inside = _short_cells(short_rings)
-
-    def pairs(spots: DataFrame) -> DataFrame:
-        found = _same_cell(_probes(spots, SHORT_SIZES), cells, inside).select("plat", "plon", "pid", "gid")
-        return found if long_rings is None else found.unionByName(_in_long(spots, long_rings))
-    spots = _spots(points, point_id)
-    once = pairs(spots.filter("rows = 1")).select(F.col("pid").alias(point_id), F.col("gid").alias(polygon_id))
-    again = pairs(spots.filter("rows > 1")).drop("pid")
+    short_rings, spots = durable(short_rings), durable(_spots(points, point_id))
+
+    def pairs(some: DataFrame, few: bool) -> DataFrame:
+        """(pid, gid)"""
+        found = _in_short(some, short_rings, few)
+        return found if long_rings is None else found.unionByName(_in_long(some, long_rings).select("pid", "gid"))
+    once = pairs(spots.filter("rows = 1"), False).select(F.col("pid").alias(point_id), F.col("gid").alias(polygon_id))
+    crowded = spots.filter("rows > 1").select("plat", "plon", F.struct("plat", "plon").alias("pid"))
+    if crowded.isEmpty():
+        return once
+    again = pairs(crowded, True).select(F.col("pid.plat").alias("plat"), F.col("pid.plon").alias("plon"), "gid")
     rows = points.select(F.col(point_id), F.col("lat"), F.col("lon"))
     return once.unionByName(rows.join(again.hint("merge"), (F.col("lat") == F.col("plat")) & (F.col("lon") == F.col("plon"))).select(
         F.col(point_id), F.col("gid").alias(polygon_id)))

@@ -113,3 +113,21 @@ def test_no_side_is_broadcast_and_one_hit_is_enough(spark):
     few = shapes.filter("gid < 99")
     for df in (polygons.containing(points, few, "pid", "gid"), polygons.covered(points, few, "gid")):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_rings_meet_points_in_groups(spark, monkeypatch):
+    """Rings of 0 to 64 edges of very different sizes, repeated points, text ids, cells in blocks: pairs are no rows of a join."""
+    rng = np.random.default_rng(8)
+    rings = {f"r{g}": wavy(int(rng.integers(1, 60)), *rng.uniform(-3, 3, 2), float(rng.choice([0.01, 0.3, 2.0, 40.0])), rng) for g in range(90)}
+    lat, lon = np.round(rng.uniform(-4, 4, (2, 700)), 1)
+    shapes = spark.createDataFrame([(g, [tuple(map(float, v)) for v in ring]) for g, ring in rings.items()], RING.replace("gid bigint", "gid string"))
+    points = spark.createDataFrame([(f"p{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))], POINT.replace("pid bigint", "pid string"))
+    want = sorted((f"p{i}", g) for g, ring in rings.items() for i in np.flatnonzero(inside(ring, lat, lon)))
+    assert sorted(map(tuple, polygons.containing(points, shapes, "pid", "gid").collect())) == want and len(want) > 1000
+    monkeypatch.setattr(polygons, "BLOCK_RINGS", 3)
+    monkeypatch.setattr(polygons, "BLOCK_POINTS", 5)
+    assert sorted(map(tuple, polygons.containing(points, shapes, "pid", "gid").collect())) == want
+    monkeypatch.undo()
+    apart = points.dropDuplicates(["lat", "lon"])
+    assert "Join" not in polygons.containing(apart, shapes, "pid", "gid")._jdf.queryExecution().optimizedPlan().toString()
+    assert polygons.containing(apart.limit(0), shapes, "pid", "gid").count() == polygons.containing(apart, shapes.limit(0), "pid", "gid").count() == 0
